@@ -64,7 +64,7 @@ def write_blob(uri: str, chunks: Iterable[bytes]) -> int:
     fs, path = open_fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     size = 0
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
