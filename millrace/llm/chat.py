@@ -53,16 +53,20 @@ def parse(rendered):
 
     Null if the grammar doesn't take in the whole of it.
     """
-    wholes, roles, texts = (F.regexp_extract_all(rendered, F.lit(TURN), F.lit(k)) for k in (0, 1, 2))
-    turns = F.transform(wholes, lambda w, i: F.struct(F.length(w).alias("n"), F.get(roles, i).alias("role"), F.get(texts, i).alias("text")))
+    found = [F.regexp_extract_all(rendered, F.lit(TURN), F.lit(k)) for k in (0, 1, 2)]
+    # Zipped once: inside a lambda each would be extracted again for every turn.
+    turns = F.arrays_zip(*found)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,text:string,start:int,length:int>>").alias("turns"))
 
     def add(acc, t):
-        start = acc["at"] + len(START) + F.length(t["role"]) + 1
-        one = F.struct(unescape_role(t["role"]).alias("role"), unescape_text(t["text"]).alias("text"), start.alias("start"), F.length(t["text"]).alias("length"))
-        return F.struct((acc["at"] + t["n"]).alias("at"), F.concat(acc["turns"], F.array(one)).alias("turns"))
-
-    return F.when(F.array_join(wholes, "") == rendered, F.aggregate(turns, zero, add, lambda acc: acc["turns"]))
+        whole, role, text = t["0"], t["1"], t["2"]
+        start = acc["at"] + len(START) + F.length(role) + 1
+        one = F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"), start.alias("start"), F.length(text).alias("length"))
+        return F.struct((acc["at"] + F.length(whole)).alias("at"), F.concat(acc["turns"], F.array(one)).alias("turns"))
+
+    parsed = F.aggregate(turns, zero, add)
+    # The turns' lengths add up to the whole only if nothing lies between or after them.
+    return F.transform(F.array(parsed), lambda p: F.when(p["at"] == F.length(rendered), p["turns"]))[0]
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
