@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import re
 import tempfile
 import uuid
@@ -12,8 +13,10 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words kept per worker by a memoised tokenizer before the memory is started anew.
-MEMO_WORDS = 1_000_000
+#: Words after which a worker's memory of encoded words becomes its old one, and a new one starts.
+MEMO_WORDS = 200_000
+#: White space other than single spaces and line feeds between two other characters.
+ODD = "[\\t\\x01\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,70 +118,94 @@ class WordMemo:
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
+        # A task has one core: threads of the library's own would only wait for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.known: dict[str, bytes] = {}
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.marks = [t.content for t in added.values()]
-        self.mark_id = next(iter(added), None)
+        self.before: dict[str, bytes] = {}
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # What goes between words that share a text: it is one token, and in no word.
+        self.gap = "\n" if spaced else " \x01 "
+        (self.gap_id,) = self.tokenizer.encode(self.gap, add_special_tokens=False).ids
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> Iterable[bytes]:
-        """The words' ids; many words share a text, with a special token, which no word holds, after each."""
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words without white space; many words share a text, with a gap after each."""
         import numpy as np
 
-        if self.mark_id is None:
-            return self._encode(words)
-        mark, out = self.marks[0], []
+        gap, out = self.gap, []
         parts = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([mark.join(p) + mark for p in parts], add_special_tokens=False)):
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([gap.join(p) + gap for p in parts], add_special_tokens=False)):
             ids = np.asarray(e.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
+            ends = np.flatnonzero(ids == self.gap_id)
             if len(ends) != len(part):
-                raise ValueError("a word holds a special token")
+                raise ValueError("a word holds the gap")
             flat, at = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
             out += [flat[i : j - 4] for i, j in zip(at, at[1:])]
         return out
 
-    def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is the empty text."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole, words = [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-                continue
-            plain = text.replace("\n", " ") if "\n" in text else text
-            own = plain.split(" ")
-            if len(own) != len(text.split()) or any(m in text for m in self.marks):
-                whole.append(i)
-            elif self.spaced:
-                # A leading mark keeps the first word apart from the same word after a space.
-                words[i] = ("\n\n" + text.replace("\n", " \n")).split(" ")
-            else:
-                words[i] = own
-        known = self.known
-        if len(known) > MEMO_WORDS:
-            known.clear()
-        new = list({w for own in words.values() for w in own if w not in known})
+    def __call__(self, texts) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text of a list or Arrow array; null is the empty text."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())).cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, ODD)
+        for mark in self.marks:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
+        plain = pc.and_(pc.invert(odd), pc.greater(pc.binary_length(texts), 0))
+        out = [b""] * len(texts)
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._encode([texts[i].as_py()])[0]  # one at a time: a very long text's offsets are large
+        rows = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        if not len(rows):
+            return out
+        own = texts.filter(plain)
+        if self.spaced:
+            # Words keep the space before them; line feeds become words of their own.
+            own = pc.replace_substring(pc.replace_substring(own, " ", "\t "), "\n", "\t\n\t")
+            split = pc.split_pattern(own, "\t")
+        else:
+            split = pc.split_pattern(pc.replace_substring(own, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self._of(words).__getitem__, words))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        # Each word's ids in a row, without a Python object a word.
+        sizes = lengths[at]
+        ends = np.cumsum(sizes)
+        placed = flat[np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        edges = np.r_[0, ends][np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
+        for i, a, b in zip(rows.tolist(), edges, edges[1:]):
+            out[i] = placed[a:b].tobytes()
+        return out
+
+    def _of(self, words: list[str]) -> dict[str, bytes]:
+        """The memory, with all of the words in it; a word's key starts with what stands before it."""
+        if len(self.known) > MEMO_WORDS:  # what isn't met again before the next time is forgotten then
+            self.known, self.before = {}, self.known
+        known, before, new = self.known, self.before, []
+        if self.spaced and "\n" not in known:
+            known["\n"] = self._encode(["\n"])[0]
+        for w in words:
+            if w not in known:
+                ids = before.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            if self.spaced:
-                texts_ = [w[2:] if w.startswith("\n\n") else w if w.startswith("\n") else " " + w for w in part]
-            else:
-                texts_ = part
-            known.update(zip(part, self._encode_words(texts_)))
-        get = known.__getitem__
-        for i, own in words.items():
-            out[i] = b"".join(map(get, own))
-        for i in whole:  # one at a time: a very long text's offsets are large
-            out[i] = self._encode([texts[i]])[0]
-        return out
+            known.update(zip(part, self._encode_words(part)))
+        return known
 
 
 _memos: dict[tuple[str, bool], WordMemo] = {}
@@ -192,6 +219,18 @@ def memo(path: str, spaced: bool) -> WordMemo:
     return _memos[key]
 
 
+def forget() -> None:
+    """Frees the memories of encoded words that an earlier stage has left in this worker."""
+    if _memos:
+        import ctypes
+        import gc
+
+        _memos.clear()
+        gc.collect()
+        with contextlib.suppress(Exception):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

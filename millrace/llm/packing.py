@@ -182,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int | None, ca
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
-                for key, raw in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                for key, raw in zip(part.column(0).to_pylist(), encode(part.column(1))):
                     raw += end
                     for i, start in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[start : start + 4 * capacity]

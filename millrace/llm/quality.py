@@ -170,6 +170,7 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def measured(column):
         import pandas as pd
 
+        S.forget()
         texts, parts = [t if isinstance(t, str) else None for t in column], []
         for a, b in _groups(texts):
             c = coverage(texts[a:b])

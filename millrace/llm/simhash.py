@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
     def run(batches):
         import pyarrow as pa
 
+        S.forget()
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
@@ -195,6 +196,7 @@ def links(distinct: DataFrame, radius: int, uri: str, n: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        S.forget()
         for batch in batches:
             for row in batch.to_pylist():
                 a = _load(row["path_a"])

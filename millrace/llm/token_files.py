@@ -182,7 +182,7 @@ def write_token_files(
             for batch in (b for own in ([first], batches) for b in own):
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    for key, raw in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    for key, raw in zip(part.column(0).to_pylist(), encode(part.column(1))):
                         yield key, raw + end
 
         part, totals = TaskContext.get().partitionId(), {}
