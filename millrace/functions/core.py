@@ -110,14 +110,14 @@ class Predictor(Estimator):
     def score(self, df: DataFrame, label: str | None = None) -> float:
         from millrace.functions import metrics
 
-        return metrics.r2_score(self.predict(df, out="_p"), label or self.label, "_p")
+        return metrics.r2_score(self.predict(df, out="_scored"), label or self.label, "_scored")
 
 
 class Classifier(Predictor):
     def score(self, df: DataFrame, label: str | None = None) -> float:
         from millrace.functions import metrics
 
-        return metrics.accuracy_score(self.predict(df, out="_p"), label or self.label, "_p")
+        return metrics.accuracy_score(self.predict(df, out="_scored"), label or self.label, "_scored")
 
 
 def width(df: DataFrame, features: Any) -> int:

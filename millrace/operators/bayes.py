@@ -148,7 +148,7 @@ class MultinomialNB(_Counting):
     def _finish(self):
         n = self.feature_count_ + self._alpha()
         self.feature_log_prob_ = np.log(n) - np.log(n.sum(axis=1, keepdims=True))
-        self.class_log_prior_ = np.log(self._priors(self.class_prior, not self.fit_prior))
+        self.class_log_prior_ = np.log(np.maximum(1e-300, self._priors(self.class_prior, not self.fit_prior)))
 
     def _scores(self, cols):
         return [dot(cols, w, b) for w, b in zip(self.feature_log_prob_, self.class_log_prior_)]
@@ -170,7 +170,7 @@ class BernoulliNB(_Counting):
         n = np.maximum(self.class_count_, 1e-300)[:, None]
         self.feature_log_prob_ = np.log(self.feature_count_ + a) - np.log(n + 2 * a)
         self._off = np.log(n + a - self.feature_count_) - np.log(n + 2 * a)
-        self.class_log_prior_ = np.log(self._priors(self.class_prior, not self.fit_prior))
+        self.class_log_prior_ = np.log(np.maximum(1e-300, self._priors(self.class_prior, not self.fit_prior)))
 
     def _scores(self, cols):
         on = [self._on(c) for c in cols]

@@ -430,7 +430,7 @@ def platt(d: np.ndarray, positive: np.ndarray, max_iter: int = 100) -> tuple[flo
 
     def loss(w):
         f = z @ w
-        return float((np.logaddexp(0, -f) - (1 - t) * -f).sum())
+        return float((np.logaddexp(0, f) - (1 - t) * f).sum())
 
     now = loss(w)
     for _ in range(max_iter):
