@@ -106,6 +106,31 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return renamed.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names)])
 
 
+def aside(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with only the needed columns' names; all others get names that nothing clashes with.
+
+    The second value puts a result's columns back in their order and under their names, with
+    further columns after them.
+    """
+    at = {}
+    for name in needed:
+        same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"column {name!r} is missing; there are {df.columns}")
+        at[same[0]] = name
+    inner = [at.get(i, f"_x{i}") for i in range(len(df.columns))]
+    own = list(df.columns)
+    return df.toDF(*inner), lambda out, *more: out.select(*[F.col(f"`{c}`") for c in inner], *more).toDF(*own, *[free_name(own, m) for m in more])
+
+
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores after it if a column has that name already."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class WordMemo:
     """Encodes whole texts with a tokenizers file, each distinct space-delimited word once.
 
@@ -219,6 +244,23 @@ def memo(path: str, spaced: bool) -> WordMemo:
     return _memos[key]
 
 
+#: Bytes of text that are encoded at once: the more, the fewer distinct words there are to look up.
+SLICE_BYTES = 4_000_000
+
+
+def slices(batch, column: int):
+    """Parts of an Arrow batch with about SLICE_BYTES of text in a column."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    edges = np.flatnonzero(part[1:] != part[:-1]) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def forget() -> None:
     """Frees the memories of encoded words that an earlier stage has left in this worker."""
     if _memos:

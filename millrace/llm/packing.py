@@ -179,8 +179,7 @@ def pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int | None, ca
         encode = S.memo(tokenizer, spaced)
         end = b"" if end_id is None else struct.pack("<I", end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in S.slices(batch, 1):
                 rows = []
                 for key, raw in zip(part.column(0).to_pylist(), encode(part.column(1))):
                     raw += end

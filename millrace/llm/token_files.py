@@ -58,7 +58,7 @@ def from_planes(rows: list[bytes], n: int, planes: str) -> np.ndarray:
     for i, row in enumerate(rows):
         if row:
             bits[i] = np.unpackbits(np.frombuffer(row, np.uint8), count=n, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").reshape(-1)
 
 
 def file_chunks(documents: Iterable[tuple[int | None, bytes]], planes: str, chunk_ids: int, totals: dict) -> Iterator[bytes]:
@@ -180,8 +180,7 @@ def write_token_files(
 
         def documents():
             for batch in (b for own in ([first], batches) for b in own):
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for part in S.slices(batch, 1):
                     for key, raw in zip(part.column(0).to_pylist(), encode(part.column(1))):
                         yield key, raw + end
 
@@ -197,31 +196,36 @@ def write_token_files(
     return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids (binary, little-endian u32) of every document in the files."""
-    files = manifest.select("path", "first")
+def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and (if asked for) ids, little-endian u32 bytes, of every document in the files."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def read(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+        types = [pa.int64()] * 4 + [pa.binary()] * with_ids
+        names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(types)]
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+
         for batch in batches:
             for row in batch.to_pylist():
                 held, size = [], 0
                 for key, at, raw in TokenFile(row["path"]).documents():
-                    held.append((key, row["first"] + at, len(raw) // 4, raw))
-                    size += len(raw)
+                    held.append((key, row["first"] + at, len(raw) // 4, zlib.crc32(raw), *([raw] if with_ids else [])))
+                    size += len(raw) if with_ids else 100
                     if size > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held), schema)], schema=schema)
+                        yield batch_of(held)
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held), schema)], schema=schema)
+                    yield batch_of(held)
 
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.select("path", "first").repartition(tasks).mapInArrow(read, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.table(spark, sf_dir, "documents")
     manifest = write_token_files(docs, S.shared_dir(spark), S.tokenizer_path("byte_bpe_50k.json"))
-    return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(manifest, with_ids=False)
