@@ -6,9 +6,11 @@ quarters and cut into equal tiles, which are stored in the shared folder.  Two t
 compared - exclusive or and bit counts in numpy - unless their bit counts differ by more
 than the radius; inside large tiles the same test skips cells of equal counts.  A task
 emits a spanning forest of the links that it finds, never all pairs, so a group of n near
-copies costs about n edges; components follow by contraction.
+copies costs about n edges; components follow by contraction.  Wide fingerprints (several
+times 64 bits) tell a given similarity of shingles; they are compared by their first 64 bits
+and, where those are near, in full.
 
-Every pair within the radius is found: the sum of the differences of the quarters' bit
+With 64 bits every pair within the radius is found: the sum of the differences of the quarters' bit
 counts never exceeds the Hamming distance.  Only exact fingerprints' representatives are
 compared, so copies cost nothing.
 
@@ -33,6 +35,13 @@ from millrace.llm import _shared as S
 RADIUS = 3
 WORDS = 3
 SEED = 42
+#: For a share of equal five-word shingles of 0.8 or more: fingerprints of 4 x 64 bits.  At 0.8 they differ in
+#: 39 bits on the average, with a standard deviation of 6; those of unrelated texts in 128, give or take 8.
+WIDE, WIDE_RADIUS = 4, 52
+#: Wide fingerprints are compared in full where their first 64 bits differ in no more than this (10 expected at 0.8).
+FIRST_RADIUS = 22
+#: Cells of equal counts are worth telling apart up to this radius.
+CELLS_RADIUS = 8
 #: Tiles are about this many in a run, from 1,024 up to 65,536 fingerprints each.
 TILES = 200
 LEAST_TILE, LARGEST_TILE = 1_024, 65_536
@@ -40,13 +49,22 @@ LEAST_TILE, LARGEST_TILE = 1_024, 65_536
 CELLS_FROM = 4_096
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles (repeats included)."""
+def _spread(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash (splitmix64's finaliser)."""
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> list[int]:
+    """The unsigned 64-bit SimHashes (``width`` of them) of a text's word shingles, with their repeats or each once."""
     import xxhash
 
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not own:
-        return 0
+        return [0] * width
     joined = b" ".join(own)
     ends = np.cumsum([len(w) + 1 for w in own]) - 1
     n = max(1, len(own) - words + 1)
@@ -54,25 +72,32 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     stops = ends[min(words, len(own)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
-        bits = np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long). No shuffle."""
+    if not repeats:
+        hashes = np.unique(hashes)
+        n = len(hashes)
+    out = []
+    for k in range(width):
+        each, counts = _spread(hashes, k) if k else hashes, np.zeros(64, np.int64)
+        for at in range(0, n, 65_536):
+            bits = np.unpackbits(each[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> DataFrame:
+    """doc_id and fps (the fingerprint's words as signed longs). No shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
         S.forget()
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words, seed, width, repeats) for t in batch.column(1)], np.uint64).reshape(-1).view(np.int64)
+            at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(fps))], names=["doc_id", "fps"])
 
-    return S.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return S.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def quarters(fps: np.ndarray) -> np.ndarray:
@@ -101,12 +126,17 @@ class Forest:
 
 
 def compare(a: np.ndarray, b: np.ndarray, first_a: int, first_b: int, radius: int, forest: Forest) -> None:
-    """Joins places of ``a`` and ``b`` whose fingerprints differ in at most ``radius`` bits."""
-    step = max(1, 131_072 // max(1, len(b)))  # stays in the cache
+    """Joins places of ``a`` and ``b`` (a row of words a fingerprint) that differ in at most ``radius`` bits."""
+    step, wide = max(1, 131_072 // max(1, len(b))), a.shape[1] > 1  # a step stays in the cache
     for at in range(0, len(a), step):
-        near = np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius
+        part = a[at : at + step]
+        near = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0]) <= (min(radius, FIRST_RADIUS) if wide else radius)
         if first_a == first_b:
-            near &= np.arange(len(b))[None, :] > np.arange(at, min(at + step, len(a)))[:, None]
+            near &= np.arange(len(b))[None, :] > np.arange(at, at + len(part))[:, None]
+        if wide:
+            i, j = np.nonzero(near)
+            far = np.bitwise_count(part[i] ^ b[j]).sum(axis=1, dtype=np.int64) > radius
+            near[i[far], j[far]] = False
         rows = np.flatnonzero(near.any(axis=1))
         for i in rows.tolist():
             others = np.flatnonzero(near[i])
@@ -134,11 +164,11 @@ def cells(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest) -> None:
     """All links inside tile ``a``, or between ``a`` and ``b``; tiles are sorted by bit counts."""
     other, shift = (a, 0) if b is None else (b, len(a))
-    if len(a) < CELLS_FROM and len(other) < CELLS_FROM:
+    if radius > CELLS_RADIUS or len(a) < CELLS_FROM and len(other) < CELLS_FROM:
         compare(a, other, 0, shift, radius, forest)
         return
-    at, mine = cells(quarters(a))
-    bt, theirs = cells(quarters(other))
+    at, mine = cells(quarters(a[:, 0]))
+    bt, theirs = cells(quarters(other[:, 0]))
     for i in range(len(mine)):
         close = np.flatnonzero(np.abs(theirs - mine[i]).sum(axis=1) <= radius)
         for j in close.tolist():
@@ -148,34 +178,39 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest)
 
 
 @functools.lru_cache(maxsize=24)
-def _load(uri: str) -> np.ndarray:
-    return np.frombuffer(S.read_blob(uri), np.uint64)
+def _load(uri: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A tile's keys and its fingerprints, a row each."""
+    rows = np.frombuffer(S.read_blob(uri), np.uint64).reshape(-1, 1 + width)
+    return rows[:, 0].view(np.int64), np.ascontiguousarray(rows[:, 1:])
 
 
-def make_tiles(distinct: DataFrame, uri: str, n: int) -> DataFrame:
-    """Stores the sorted tiles of the distinct fingerprints; returns the committed list of them."""
+def make_tiles(distinct: DataFrame, uri: str, n: int, width: int) -> DataFrame:
+    """Stores the sorted tiles of the distinct fingerprints (key, fps); returns the committed list of them."""
     tiles = max(1, -(-n // min(LARGEST_TILE, max(LEAST_TILE, n // TILES))))
+    limit = 2 * LARGEST_TILE
 
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        fps = np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)]).view(np.uint64)
-        if not len(fps):
+        parts = [np.column_stack([b.column(0).to_numpy(), np.asarray(b.column(1).flatten()).reshape(-1, width)]) for b in batches if b.num_rows]
+        if not parts:
             return
-        counts = quarters(fps)
-        fps = fps[np.lexsort((fps, *counts.T[::-1]))]
+        rows = np.concatenate(parts).astype(np.int64).view(np.uint64)
+        counts = quarters(np.ascontiguousarray(rows[:, 1]))
+        rows = rows[np.lexsort((rows[:, 1], *counts.T[::-1]))]
         # The number of output partitions may be more than asked for: a tile still has its bound.
-        for k, at in enumerate(range(0, len(fps), 2 * LARGEST_TILE)):
-            own = fps[at : at + 2 * LARGEST_TILE]
-            counts = quarters(own)
+        for k, at in enumerate(range(0, len(rows), limit)):
+            own = rows[at : at + limit]
+            counts = quarters(np.ascontiguousarray(own[:, 1]))
             name = f"{uri}/tiles/{uuid.uuid4().hex}.fp"
             S.write_blob(name, [own.tobytes()])
             row = {"tile": [TaskContext.get().partitionId() * 1_000_000 + k], "path": [name], "n": [len(own)], "low": [counts.min(axis=0).tolist()], "high": [counts.max(axis=0).tolist()]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("tile", pa.int64()), ("path", pa.string()), ("n", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))]))
 
-    part = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
-    ordered = distinct.select("fp", *[p.alias(f"q{i}") for i, p in enumerate(part)]).repartitionByRange(tiles, "q0", "q1", "q2", "q3", "fp").select("fp")
+    first = F.col("fps")[0]
+    part = [F.bit_count(F.shiftrightunsigned(first, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
+    ordered = distinct.select("key", "fps", first.alias("f"), *[p.alias(f"q{i}") for i, p in enumerate(part)]).repartitionByRange(tiles, "q0", "q1", "q2", "q3", "f", "key").select("key", "fps")
     return S.written(ordered.mapInArrow(write, "tile long, path string, n long, low array<int>, high array<int>"), f"{uri}/tile_list")
 
 
@@ -188,10 +223,10 @@ def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
     return pairs.select("a", "b", "path_a", "path_b", "n_a", "n_b").distinct()
 
 
-def links(distinct: DataFrame, radius: int, uri: str, n: int) -> DataFrame:
-    """Edges (fp_a, fp_b) whose components are those of all links within the radius."""
-    tiles = make_tiles(distinct, uri, n)
-    pairs = S.written(tile_pairs(tiles, radius), f"{uri}/pairs")
+def links(distinct: DataFrame, radius: int, uri: str, n: int, width: int = 1) -> DataFrame:
+    """Edges (a, b) between keys whose components are those of all links within the radius."""
+    tiles = make_tiles(distinct, uri, n, width)
+    pairs = S.written(tile_pairs(tiles, min(radius, FIRST_RADIUS) if width > 1 else radius), f"{uri}/pairs")
 
     def run(batches):
         import pyarrow as pa
@@ -199,19 +234,21 @@ def links(distinct: DataFrame, radius: int, uri: str, n: int) -> DataFrame:
         S.forget()
         for batch in batches:
             for row in batch.to_pylist():
-                a = _load(row["path_a"])
-                b = None if row["a"] == row["b"] else _load(row["path_b"])
-                both = a if b is None else np.concatenate([a, b])
-                forest = Forest(len(both))
+                keys, a = _load(row["path_a"], width)
+                b = None
+                if row["a"] != row["b"]:
+                    more, b = _load(row["path_b"], width)
+                    keys = np.concatenate([keys, more])
+                forest = Forest(len(keys))
                 tile_links(a, b, radius, forest)
                 if forest.edges:
                     e = np.array(forest.edges)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[e[:, 0]].view(np.int64)), pa.array(both[e[:, 1]].view(np.int64))], names=["fp_a", "fp_b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[e[:, 0]]), pa.array(keys[e[:, 1]])], names=["a", "b"])
 
     tasks = max(8, 4 * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Dealt by a number of their own, so that no task gets a tile's pairs only.
     dealt = pairs.repartition(tasks, F.xxhash64("a", "b"))
-    return dealt.mapInArrow(run, "fp_a long, fp_b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, uri: str, a: str = "a", b: str = "b") -> DataFrame:
@@ -245,17 +282,21 @@ def components(edges: DataFrame, uri: str, a: str = "a", b: str = "b") -> DataFr
     return label
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable by links) of every row."""
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> DataFrame:
+    """doc_id, fp (the first 64 bits) and component_id (the smallest doc_id reachable by links) of every row.
+
+    A wide fingerprint's key is a 64-bit hash of its words; a narrow one's is itself.
+    """
     uri = S.shared_dir(docs.sparkSession)
-    marked = S.written(fingerprints(docs, words, seed), f"{uri}/fingerprints")
-    distinct = S.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{uri}/distinct")
-    edges = links(distinct.select("fp"), radius, uri, S.row_count(distinct))
-    classes = components(edges, uri, "fp_a", "fp_b").select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    key = F.col("fps")[0] if width == 1 else F.xxhash64("fps")
+    marked = S.written(fingerprints(docs, words, seed, width, repeats).withColumn("key", key), f"{uri}/fingerprints")
+    distinct = S.written(marked.groupBy("key").agg(F.any_value("fps").alias("fps"), F.min("doc_id").alias("least")), f"{uri}/distinct")
+    edges = links(distinct.select("key", "fps"), radius, uri, S.row_count(distinct), width)
+    classes = components(edges, uri).select(F.col("node").alias("key"), "root")
+    rooted = distinct.select("key", "least").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = S.written(rooted.join(least, "root").select("fp", "component_id"), f"{uri}/classes")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = S.written(rooted.join(least, "root").select("key", "component_id"), f"{uri}/classes")
+    return marked.join(of, "key").select("doc_id", F.col("fps")[0].alias("fp"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,12 +307,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, that with the smallest doc_id.
 
-    The stage takes five-word shingles.  A row without a doc_id stays: nothing names its group.
+    The stage takes sets of five-word shingles and wide fingerprints, whose radius finds pairs of a
+    similarity of 0.8 and more.  A row without a doc_id stays: nothing names its
+    group; rows that repeat a doc_id stay or go together.
     """
-    found = near_duplicates(docs, words=5)
-    keep = found.filter((F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    of = keep.withColumnRenamed("doc_id", "_keep")
-    return docs.join(of, F.col("doc_id") == F.col("_keep"), "left_semi").union(docs.filter(F.col("doc_id").isNull()))
+    inner, back = S.aside(docs, "doc_id", "text")
+    found = near_duplicates(inner, WIDE_RADIUS, words=5, width=WIDE, repeats=False)
+    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    kept = inner.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
+    return back(kept.union(inner.filter(F.col("doc_id").isNull())))
 
 
 ORACLE_SQL = None
