@@ -89,7 +89,9 @@ def candidates(docs: DataFrame, found: DataFrame, n: int) -> DataFrame:
             lists.append(F.transform(hit, _cut_out(k)))
         hits = F.concat(*lists) if lists else F.array().cast("array<struct<at:int,size:int,window:string>>")
         return hashed.withColumn("c", F.explode_outer(hits)).withColumn("n_words", F.size("w")).drop("h", "w").select("*", "c.at", "c.size", "c.window").drop("c")
-    parts = []
+    # Both sides of the join need the same numbers of rows: these are written, not made twice.
+    rows = S.written(docs, f"{S.shared_dir(docs.sparkSession)}/rows")
+    hashed, parts = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))), []
     for k in sizes:
         starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
         each = hashed.select("row", F.posexplode(F.transform(starts, _hash_of(k))).alias("at", "whole"))
@@ -117,15 +119,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, how: str = "documents", n: int
     Spans are cut from a contaminated document's normalised words, which are then space-joined.
     """
     uri = S.shared_dir(docs.sparkSession)
+    inner, back = S.aside(docs, "doc_id", "text")
     # The rows are written with their numbers, so that both reads see the same ones.
-    numbered = S.written(docs.withColumn("_row", F.monotonically_increasing_id()), f"{uri}/numbered")
-    own = S.pick(numbered, "doc_id", "text", "_row").select(F.col("_row").alias("row"), F.col("doc_id"), words(F.col("text")).alias("w"))
+    numbered = S.written(inner.withColumn("_row", F.monotonically_increasing_id()), f"{uri}/numbered")
+    own = numbered.select(F.col("_row").alias("row"), "doc_id", words(F.col("text")).alias("w"))
     found = scan_words(own, benchmark, n).filter(_contaminated()).select(F.col("row").alias("_row"), "hit")
     if how == "documents":
-        return numbered.join(found.select("_row"), "_row", "left_anti").select(*docs.columns)
+        return back(numbered.join(found.select("_row"), "_row", "left_anti"))
     left = F.filter(words(F.col("text")), lambda w, i: ~F.array_contains("hit", i))
     cut = numbered.join(found, "_row", "left")
-    return cut.select(*[F.when(F.col("hit").isNotNull(), F.array_join(left, " ")).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return back(cut.withColumn("text", F.when(F.col("hit").isNotNull(), F.array_join(left, " ")).otherwise(F.col("text"))))
 
 
 def scan_words(own: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

@@ -320,7 +320,7 @@ def main_text(page: str | None, nodes: Sequence[tuple] | None = None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "main_text") -> DataFrame:
     """``pages`` with the main text of each page. No shuffle; the tree's nodes go with the tasks."""
     nodes = tree()
-    S.pick(pages, html_col)  # raises if it is missing
+    inner, back = S.aside(pages, html_col)
 
     @F.pandas_udf("string")
     def run(column):
@@ -328,7 +328,7 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "main_text") ->
 
         return pd.Series([main_text(p if isinstance(p, str) else None, nodes) for p in column], dtype=object)
 
-    return pages.withColumn(out, run(F.col(f"`{html_col}`")))
+    return back(inner.withColumn(out, run(F.col(f"`{html_col}`"))), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,7 @@ def boilerplate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def remove_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with ``removed`` (places of removed lines, ascending) and ``clean_text``."""
+    docs, back = S.aside(docs, id_col, text_col, site_col)
     lines, found = boilerplate(docs, text_col, id_col, site_col, min_sites)
     # A very common line's occurrences are shared by several tasks.
     salted = lines.withColumn("_salt", F.pmod(F.xxhash64("_id", "_at"), F.lit(SALTS)).cast("int"))
@@ -81,9 +82,8 @@ def remove_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     keyed = keyed.withColumn("_k", F.xxhash64("_key"))
     out = keyed.join(gone, (keyed["_k"] == gone["_k"]) & (keyed["_key"] == gone["_key2"]), "left").drop(gone["_k"]).drop("_k", "_key", "_key2")
     left = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains("removed", i))
-    return out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).withColumn(
-        "clean_text", F.when(F.size("removed") == 0, F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n"))
-    )
+    out = out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    return back(out.withColumn("clean_text", F.when(F.size("removed") == 0, F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n"))), "removed", "clean_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +94,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: boilerplate goes from the texts; a document of nothing else goes too."""
-    names = docs.columns
-    out = remove_lines(docs)
+    inner, back = S.aside(docs, "doc_id", "text", "source")
+    out = remove_lines(inner)
     gone = (F.size("removed") > 0) & (F.regexp_replace("clean_text", r"[ \t\n\x0B\f\r]+", "") == "")
-    own = [F.when(F.size("removed") > 0, F.col("clean_text")).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in names]
-    return out.filter(~gone | F.col("text").isNull()).select(*own)
+    return back(out.filter(~gone | F.col("text").isNull()).withColumn("text", F.when(F.size("removed") > 0, F.col("clean_text")).otherwise(F.col("text"))))
 
 
 ORACLE_SQL = rf"""

@@ -163,7 +163,7 @@ def _groups(texts: list[str | None]):
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with one more column, ``quality``: a struct of the counts and verdicts. No shuffle."""
+    """``docs`` with one more column, ``quality`` (``quality_`` if there is one): a struct of the counts and verdicts. No shuffle."""
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     @F.pandas_udf(FIELDS)
@@ -179,9 +179,8 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
             parts.append(pd.DataFrame({n: c[n] for n in names}))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: [] for n in names})
 
-    at = S.pick(docs, text_col)  # raises if it is missing
-    del at
-    return docs.withColumn("quality", measured(F.col(f"`{text_col}`")))
+    inner, back = S.aside(docs, text_col)
+    return back(inner.withColumn("quality", measured(F.col(f"`{text_col}`"))), "quality")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +190,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go; the others' columns stay as they are."""
-    judged = judge(docs)
-    return judged.filter("quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner, back = S.aside(docs, "text")
+    return back(judge(inner).filter("quality.kept"))
 
 
 ORACLE_SQL = None
