@@ -127,6 +127,18 @@ def within(index: Index, df: DataFrame, cols: list[Column], id_col: str, radius:
     return index.search(df, cols, id_col, near, "query_id long, id long, distance double, label double")
 
 
+def cosine(index: Index, df: DataFrame, cols: list[Column], id_col: str) -> DataFrame:
+    """query_id, id, similarity of a set of queries and all training rows; norms are at least the double's epsilon."""
+    eps = float(np.finfo(float).eps)
+
+    def similar(qids, q, ids, x, y):
+        norms = np.maximum(np.linalg.norm(q, axis=1), eps)[:, None] * np.maximum(np.linalg.norm(x, axis=1), eps)[None]
+        s = q @ x.T / norms
+        return {"query_id": np.repeat(qids, len(ids)), "id": np.tile(ids, len(qids)), "similarity": s.ravel()}
+
+    return index.search(df, cols, id_col, similar, "query_id long, id long, similarity double")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (smallest node reachable) of every node with an edge (a, b); rounds are checkpointed."""
     sc = edges.sparkSession.sparkContext

@@ -282,11 +282,12 @@ def ranked(df: DataFrame, order: Sequence, name: str = "_rank") -> DataFrame:
     for k in sorted(counts):
         before.append((k, total))
         total += counts[k]
-    first = F.lit(0).cast("long")
-    for k, n in before:
-        first = F.when(F.col("_part") == k, F.lit(n)).otherwise(first)
+    if not before:
+        return parts.withColumn(name, F.lit(0).cast("long")).drop("_part", *keys)
+    # A row for each range: its size doesn't depend on the number of rows.
+    first = df.sparkSession.createDataFrame(before, "_part int, _first long")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return parts.withColumn(name, first + own - 1).drop("_part", *keys)
+    return parts.withColumn("_own", own).join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_own") - 1).drop("_part", "_own", "_first", *keys)
 
 
 def train_test_split(df: DataFrame, id_col: str, test_size: float = 0.25, seed: int = 42, order: Sequence | None = None) -> Split:

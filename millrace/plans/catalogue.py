@@ -572,9 +572,9 @@ def euclidean_distances(spark, sf):
 @query(_ROUND.format("list_cosine_similarity(list_transform(q.embedding, lambda v: v::DOUBLE), list_transform(t.embedding, lambda v: v::DOUBLE))"))
 def cosine_similarity(spark, sf):
     e = embedded(spark, sf)
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    # A fiftieth of the rows as queries, in blocks against all: every task holds a block of each.
-    return q.join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))).select("a", "b", F.round(metrics.cosine(F.col("x"), F.col("y")), 6).alias("value"))
+    cols = [F.get("embedding", i).cast("double") for i in range(64)]
+    d = pairwise.cosine(pairwise.Index(e, cols, "vec_id"), e.filter("vec_id % 50 = 0"), cols, "vec_id")
+    return d.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("similarity", 6).alias("value"))
 
 
 def _lloyd(steps):
