@@ -74,6 +74,18 @@ class Estimator:
             raise ValueError(f"X has {n} features, but {type(self).__name__} was fitted with {self.width}")
         return columns(df, features)
 
+    def fit_long(self, df: DataFrame, n_features: int, targets: DataFrame | None = None, row: str = "row_id", feature: str = "feature_idx", value: str = "value", label: str = "y", **arguments: Any) -> Estimator:
+        """Fits long-form sparse rows (absent = 0); ``targets`` has a (row, label) for every sample.
+
+        Estimators on moments have ``fit_sparse``, which doesn't make the rows dense.
+        """
+        dense = densify(df, n_features, row, feature, value)
+        if targets is None:
+            return self.fit(dense, "x", **arguments)
+        rows = targets.select(F.col(row), F.col(label)).join(dense, row, "left")
+        zeros = F.array_repeat(F.lit(0.0), n_features)
+        return self.fit(rows.withColumn("x", F.coalesce("x", zeros)), "x", label, **arguments)
+
     def to_rows(self) -> list[tuple[str, str]]:
         """(name, value) of everything that was fitted, for saving."""
         import json
@@ -139,6 +151,13 @@ def columns(df: DataFrame, features: Any) -> list[Column]:
     return [F.col(f"`{f}`").cast("double") for f in features]
 
 
+def densify(df: DataFrame, n_features: int, row: str = "row_id", feature: str = "feature_idx", value: str = "value") -> DataFrame:
+    """(row, x) with an array of all features for each row that stores any."""
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col(feature).cast("int"), F.col(value).cast("double"))))
+    places = F.sequence(F.lit(0), F.lit(n_features - 1))
+    return df.groupBy(row).agg(pairs.alias("m")).select(row, F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
+
+
 def names(features: Any, n: int) -> list[str]:
     return [f"{features}_{i}" for i in range(n)] if isinstance(features, str) else list(features)
 

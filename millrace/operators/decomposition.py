@@ -96,11 +96,10 @@ class FactorAnalysis(Estimator):
             root = np.sqrt(psi)
             values, vectors = np.linalg.eigh(s / np.outer(root, root))
             values, vectors = values[::-1], vectors[:, ::-1]
-            top = np.maximum(values[:k] - 1, 0)
-            w = root[:, None] * vectors[:, :k] * np.sqrt(top)
-            rest = np.maximum(values, 1e-300)
-            like = -0.5 * m.n * (p * np.log(2 * np.pi) + np.log(np.maximum(rest[:k], 1)).sum() + np.minimum(rest[:k], 1).sum() * 0 + k + rest[k:].sum() + np.log(psi).sum())
+            w = root[:, None] * vectors[:, :k] * np.sqrt(np.maximum(values[:k] - 1, 0))
             psi = np.maximum(np.diag(s) - (w * w).sum(axis=1), 1e-12)
+            sigma = w @ w.T + np.diag(psi)
+            like = -0.5 * m.n * (p * np.log(2 * np.pi) + np.linalg.slogdet(sigma)[1] + np.trace(np.linalg.solve(sigma, s)))
             if abs(like - old) < self.tol:
                 break
             old = like

@@ -60,6 +60,20 @@ def chi2(df: DataFrame, features, label: str) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([special.chi2_sf(v, len(rows) - 1) for v in x])
 
 
+def chi2_sparse(df: DataFrame, targets: DataFrame, n_features: int, row: str = "row_id", feature: str = "feature_idx", value: str = "value", label: str = "y") -> tuple[np.ndarray, np.ndarray]:
+    """``chi2`` of long-form rows: what is absent adds nothing to the sums."""
+    n = {r["y"]: r["n"] for r in targets.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    at, seen = {c: k for k, c in enumerate(sorted(n))}, np.zeros((len(n), n_features))
+    v = F.when(F.col(value) < 0, F.raise_error(F.lit("negative value")).cast("double")).otherwise(F.col(value).cast("double"))
+    for r in df.join(targets, row).groupBy(F.col(label).alias("y"), F.col(feature).alias("i")).agg(F.sum(v).alias("s")).collect():
+        seen[at[r["y"]], r["i"]] = r["s"]
+    share = np.array([n[c] for c in sorted(n)], float)
+    want = share[:, None] / share.sum() * seen.sum(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.where(want > 0, (seen - want) ** 2 / want, 0).sum(axis=0)
+    return x, np.array([special.chi2_sf(t, len(n) - 1) for t in x])
+
+
 def _mutual(df: DataFrame, features, label: str, k: int, discrete: bool, max_rows: int) -> tuple[np.ndarray, None]:
     """Nearest-neighbour mutual information, one feature a task; rows of a feature are bounded by ``max_rows``."""
     cols = columns(df, features)

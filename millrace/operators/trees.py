@@ -117,10 +117,10 @@ def build_distributed(rows: DataFrame, p: int, m: int, max_depth=None, min_split
     tree.add(root / r["n"], r["n"])
     open_, depth = {0}, 0
     limit = 64 if max_depth is None else max_depth
-    rows = rows.withColumn("node", F.lit(0))
+    spark = rows.sparkSession
+    rows = rows.select(F.array(*[F.col(f"x{i}") for i in range(p)]).alias("x"), *[F.col(f"y{j}") for j in range(m)], F.lit(0).alias("node"))
     while open_ and depth < limit:
-        live = rows.filter(F.col("node").isin(sorted(open_)))
-        each = live.select("node", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(p)])).alias("f", "v"), *y)
+        each = rows.select("node", F.posexplode("x").alias("f", "v"), *y)
         by = each.groupBy("node", "f", "v").agg(*sums)
         w = Window.partitionBy("node", "f").orderBy("v")
         run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -130,7 +130,7 @@ def build_distributed(rows: DataFrame, p: int, m: int, max_depth=None, min_split
         right = sum(((F.col(f"t{j}") - F.col(f"a{j}")) * (F.col(f"t{j}") - F.col(f"a{j}")) for j in range(m)), F.lit(0.0)) / (F.col("n") - F.col("nl"))
         base = sum((F.col(f"t{j}") * F.col(f"t{j}") for j in range(m)), F.lit(0.0)) / F.col("n")
         best = cum.withColumn("gain", left + right - base).groupBy("node").agg(F.max(F.struct("gain", (-F.col("f")).alias("f"), (-F.col("v")).alias("v"), "v2", "nl", "n", *[f"a{j}" for j in range(m)], *[f"t{j}" for j in range(m)])).alias("b")).collect()
-        depth, go, grown = depth + 1, F.col("node"), set()
+        depth, splits, grown = depth + 1, [], set()
         for r in best:
             b = r["b"]
             if b["gain"] <= 1e-12 or b["n"] < min_split:
@@ -139,11 +139,14 @@ def build_distributed(rows: DataFrame, p: int, m: int, max_depth=None, min_split
             a, s = (np.array([b[f"{c}{j}"] for j in range(m)], float) for c in "at")
             kids = tree.add(a / b["nl"], b["nl"]), tree.add((s - a) / (b["n"] - b["nl"]), b["n"] - b["nl"])
             tree.split(r["node"], f, t, *kids, b["gain"])
-            go = F.when(F.col("node") == r["node"], F.when(F.col(f"x{f}") <= F.lit(float(t)), kids[0]).otherwise(kids[1])).otherwise(go)
+            splits.append((r["node"], int(f), float(t), *kids))
             grown |= {k for k in kids if tree.n[k] >= min_split}
         if not grown:
             break
-        rows, open_ = rows.withColumn("node", go), grown
+        # Rows of nodes that are done fall out; a level's splits are a small table.
+        table = F.broadcast(spark.createDataFrame(splits, "node int, f int, t double, a int, b int"))
+        moved = rows.join(table, "node").withColumn("node", F.when(F.get("x", F.col("f")) <= F.col("t"), F.col("a")).otherwise(F.col("b"))).drop("f", "t", "a", "b")
+        rows, open_ = moved, grown
         if depth % 4 == 0:
             rows = rows.persist()
     return tree
@@ -516,10 +519,125 @@ class _Hist:
     def _codes(x, edges):
         return np.column_stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)])
 
+    def _split(self, hg, hh, hn, j, lo, hi):
+        """The best cut of one feature's histogram: (gain, bin or bins to the left, sums to the left)."""
+        lam, mono = self.l2_regularization, (self.monotonic_cst or [0] * self.width)[j]
+        cat = j in set(self.categorical_features or ())
+        gs, hs, ns = hg.sum(), hh.sum(), hn.sum()
+        order = np.argsort(np.where(hn > 0, hg / (hh + lam + 1e-15), np.inf), kind="stable") if cat else np.arange(len(hn))
+        cg, ch, cn = np.cumsum(hg[order])[:-1], np.cumsum(hh[order])[:-1], np.cumsum(hn[order])[:-1]
+        ok = (cn >= self.min_samples_leaf) & (ns - cn >= self.min_samples_leaf)
+        gain = cg**2 / (ch + lam + 1e-15) + (gs - cg) ** 2 / (hs - ch + lam + 1e-15) - gs**2 / (hs + lam + 1e-15)
+        if mono:
+            ok &= (-(gs - cg) / (hs - ch + lam + 1e-15) + cg / (ch + lam + 1e-15)) * mono >= 0
+        gain = np.where(ok, gain, -np.inf)
+        i = int(gain.argmax())
+        return float(gain[i]), (np.sort(order[: i + 1]) if cat else i), (cg[i], ch[i], cn[i])
+
+    def _grow_far(self, rows, gradients, head, trees):
+        """One tree from Spark aggregations: each pass sums the histograms of all open leaves' children.
+
+        Children of every open leaf are counted in one pass, so the best-first order needs
+        about as many passes as the tree is deep.  Leaves * features * bins * 3 numbers
+        reach the driver, whatever the number of rows.
+        """
+        p, nb, lam = self.width, self.max_bins + 1, self.l2_regularization
+        tree, span = ([-1], [None], [0], [0], [0.0]), {0: (-np.inf, np.inf)}
+        mono = self.monotonic_cst or [0] * p
+
+        def value(g, h, k):
+            return float(np.clip(-g / (h + lam + 1e-15), *span[k]))
+
+        def histograms(of):
+            now = (np.array(tree[0]), list(tree[1]), np.array(tree[2]), np.array(tree[3]), np.arange(len(tree[0])).astype(float))
+            slot = {k: i for i, k in enumerate(of)}
+            score, walk = self._scorer(trees), self._walk
+
+            def sums(batches):
+                import pyarrow as pa
+
+                out = np.zeros((len(slot), p, nb, 3))
+                for b in batches:
+                    codes = np.asarray(b.column(0).flatten()).reshape(-1, p)
+                    t = np.asarray(b.column(1).flatten(), float).reshape(len(codes), -1)
+                    g, h = (v[:, head] for v in gradients(score(codes), t))
+                    at = walk(now, codes).astype(int)
+                    for k, i in slot.items():
+                        own = np.flatnonzero(at == k)
+                        for j in range(p):
+                            c = codes[own, j]
+                            for m, w in enumerate((g[own], h[own], None)):
+                                out[i, j, :, m] += np.bincount(c, w, nb)
+                at = np.flatnonzero(out)
+                yield pa.RecordBatch.from_pydict({"i": pa.array(at), "v": pa.array(out.ravel()[at])})
+
+            flat = np.zeros(len(of) * p * nb * 3)
+            for r in rows.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+                flat[r["i"]] = r["v"]
+            return dict(zip(of, flat.reshape(len(of), p, nb, 3)))
+
+        def best(hist, k, depth):
+            if hist[0, :, 2].sum() < 2 * self.min_samples_leaf or self.max_depth is not None and depth >= self.max_depth:
+                return None
+            found = max(((*self._split(*hist[j].T, j, *span[k]), j) for j in range(p)), key=lambda x: x[0])
+            return found if found[0] > 1e-12 else None
+
+        def leaf(depth):
+            for a, v in zip(tree, (-1, None, 0, 0, 0.0)):
+                a.append(v)
+            return len(tree[0]) - 1, depth
+
+        root = histograms([0])[0]
+        tree[4][0] = value(root[0, :, 0].sum(), root[0, :, 1].sum(), 0)
+        open_, known, n_leaves, limit = {0: (best(root, 0, 0), 0)}, {}, 1, self.max_leaf_nodes or 1 << 30
+        open_ = {k: v for k, v in open_.items() if v[0]}
+        while open_ and n_leaves < limit:
+            k = max(open_, key=lambda k: open_[k][0][0])
+            if k not in known:  # split all open leaves for a trial, and count their children at once
+                made = {}
+                for q, ((_, b, _, j), depth) in open_.items():
+                    if q not in known:
+                        a, c = leaf(depth + 1)[0], leaf(depth + 1)[0]
+                        tree[0][q], tree[1][q], tree[2][q], tree[3][q] = j, b, a, c
+                        made[q] = (a, c)
+                hist = histograms([x for pair in made.values() for x in pair])
+                for q, (a, c) in made.items():
+                    known[q] = (a, c, hist[a], hist[c])
+                    tree[0][q] = -1
+            (_, b, _, j), depth = open_.pop(k)
+            a, c, ha, hc = known.pop(k)
+            tree[0][k] = j
+            lo, hi = span[k]
+            span[a] = span[c] = (lo, hi)
+            if mono[j]:
+                m = (value(ha[0, :, 0].sum(), ha[0, :, 1].sum(), a) + value(hc[0, :, 0].sum(), hc[0, :, 1].sum(), c)) / 2
+                span[a], span[c] = ((lo, m), (m, hi)) if mono[j] > 0 else ((m, hi), (lo, m))
+            for x, hx in ((a, ha), (c, hc)):
+                tree[4][x] = value(hx[0, :, 0].sum(), hx[0, :, 1].sum(), x)
+                found = best(hx, x, depth + 1)
+                if found:
+                    open_[x] = (found, depth + 1)
+            n_leaves += 1
+        return np.array(tree[0]), tree[1], np.array(tree[2]), np.array(tree[3]), np.array(tree[4])
+
+    def _scorer(self, trees):
+        init, rate, walk = self.init_, self.learning_rate, self._walk
+
+        def score(codes):
+            f = np.tile(init, (len(codes), 1))
+            for stage in trees:
+                for j, tree in enumerate(stage):
+                    f[:, j] += rate * walk(tree, codes)
+            return f
+
+        return score
+
     def _boost(self, df, features, cols, targets, heads, gradients, init):
         rows = df.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)], *[c.alias(f"y{j}") for j, c in enumerate(targets)])
+        self.bin_edges_, self.init_ = self._bins(df, cols), init
+        if rows.limit(self.local_rows + 1).count() > self.local_rows:
+            return self._boost_far(rows, len(cols), len(targets), heads, gradients)
         x, t, _ = collect_bounded(rows, [f"x{i}" for i in range(len(cols))], [f"y{j}" for j in range(len(targets))], None, self.local_rows)
-        self.bin_edges_ = self._bins(df, cols)
         codes, rng = self._codes(x, self.bin_edges_), np.random.default_rng(self.random_state)
         held = np.zeros(len(x), bool)
         if self.early_stopping:  # held-out rows take no part in growing at all
@@ -540,9 +658,56 @@ class _Hist:
                 best, since = (now, 0) if now < best - self.tol else (best, since + 1)
                 if since >= self.n_iter_no_change:
                     break
-        self.init_, self.fitted = init, True
+        self.fitted = True
+        return self
+
+    def _boost_far(self, rows, p, m, heads, gradients):
+        """Rows stay in Spark as bin numbers and targets; early stopping watches rows held out by a hash."""
+        edges, code = self.bin_edges_, self._codes
+
+        def binned(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                x = np.asarray(b.column(0).flatten(), float).reshape(-1, p)
+                at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * p)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(code(x, edges).ravel().astype(np.int16))), b.column(1)], names=["c", "t"])
+
+        data = rows.select(F.array(*[F.col(f"x{i}") for i in range(p)]).alias("x"), F.array(*[F.col(f"y{j}") for j in range(m)]).alias("t")).mapInArrow(binned, "c array<short>, t array<double>").persist()
+        share = int(self.validation_fraction * 1000) if self.early_stopping else 0
+        draw = F.pmod(F.xxhash64(F.lit(self.random_state or 0), "c", "t"), F.lit(1000))
+        train, held = data.filter(draw >= share), data.filter(draw < share)
+        self.estimators_, self.train_score_, best, since = [], [], np.inf, 0
+        try:
+            for self.n_iter_ in range(1, self.max_iter + 1):
+                self.estimators_.append([self._grow_far(train, gradients, j, self.estimators_) for j in range(heads)])
+                if share:
+                    now = self._mean_objective(held, p)
+                    best, since = (now, 0) if now < best - self.tol else (best, since + 1)
+                    if since >= self.n_iter_no_change:
+                        break
+            self.train_score_.append(self._mean_objective(train, p))
+        finally:
+            data.unpersist()
+        self.fitted = True
         return self
 
+    def _mean_objective(self, rows, p):
+        score, objective = self._scorer(self.estimators_), self._objective
+
+        def total(batches):
+            import pyarrow as pa
+
+            s, n = 0.0, 0
+            for b in batches:
+                if b.num_rows:
+                    codes = np.asarray(b.column(0).flatten()).reshape(-1, p)
+                    s, n = s + objective(score(codes), np.asarray(b.column(1).flatten(), float).reshape(len(codes), -1)) * len(codes), n + len(codes)
+            yield pa.RecordBatch.from_pydict({"s": [s], "n": [float(n)]})
+
+        r = rows.mapInArrow(total, "s double, n double").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+        return r["s"] / r["n"] if r["n"] else 0.0
+
     def _raw(self):
         trees, init, rate, edges = self.estimators_, self.init_, self.learning_rate, self.bin_edges_
         walk, code = self._walk, self._codes

@@ -155,3 +155,36 @@ def test_long_form_and_saved_models(frame, spark, tmp_path):
     m = preprocessing.StandardScaler().fit(df, f)
     tables.save_model(m, spark, f"{tmp_path}/m")
     assert np.allclose(tables.load_model(spark, f"{tmp_path}/m").mean_, m.mean_)
+
+
+def test_histogram_boosting_in_spark_equals_numpy(frame):
+    df, f = frame(X, T)
+    for settings in ({}, {"max_leaf_nodes": 6}, {"max_depth": 2}, {"monotonic_cst": [1, 0]}):
+        a = trees.HistGradientBoostingRegressor(max_iter=3, min_samples_leaf=5, max_bins=32, **settings).fit(df, f, "y")
+        b = trees.HistGradientBoostingRegressor(max_iter=3, min_samples_leaf=5, max_bins=32, **settings)
+        b.local_rows = 0
+        b.fit(df, f, "y")
+        assert np.allclose(column(a.predict(df), "prediction"), column(b.predict(df), "prediction"), atol=1e-9), settings
+    df, f = frame(X, Y)
+    c = trees.HistGradientBoostingClassifier(max_iter=3, min_samples_leaf=5)
+    c.local_rows = 0
+    assert c.fit(df, f, "y").score(df) > 0.9
+
+
+def test_long_form_fits(frame, spark):
+    from millrace.operators import selection
+
+    x = np.abs(np.round(X)) * (RNG.random(X.shape) < 0.6)
+    df, f = frame(x, Y)
+    rows = spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if v], "row_id int, feature_idx int, value double")
+    y = spark.createDataFrame([(i, int(v)) for i, v in enumerate(Y)], "row_id int, y int")
+    a, b = trees.DecisionTreeClassifier(max_depth=3).fit(df, f, "y"), trees.DecisionTreeClassifier(max_depth=3).fit_long(rows, 2, y)
+    assert a.tree_.threshold == b.tree_.threshold
+    assert np.allclose(selection.chi2(df, f, "y")[0], selection.chi2_sparse(rows, y, 2)[0])
+
+
+def test_concepts():
+    from millrace.functions import concepts
+
+    assert isinstance(preprocessing.StandardScaler(), concepts.TransformerLike) and isinstance(preprocessing.StandardScaler(), concepts.IncrementalLike)
+    assert isinstance(trees.DecisionTreeRegressor(), concepts.MultiOutputRegressorLike) and not isinstance(preprocessing.StandardScaler(), concepts.PredictorLike)
