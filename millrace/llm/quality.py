@@ -194,4 +194,31 @@ def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back(judge(inner).filter("quality.kept"))
 
 
-ORACLE_SQL = None
+def _oracle() -> str:
+    word = r"[^\x20\x09-\x0D]+"
+    parts, joins, counts, bad = [], [], [], []
+    for n in (BASE, *NGRAM_LIMITS):
+        parts.append(f"""
+w{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, g) AS c
+  FROM (SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d WHERE len(w) >= {n}))),
+p{n} AS (SELECT doc_id, p, max((k > 1)::INT) AS later FROM (SELECT doc_id, k, unnest(range(i, i + {n})) AS p FROM w{n} WHERE c > 1) GROUP BY ALL),
+s{n} AS (SELECT p{n}.doc_id, count(*) AS words, sum(CASE WHEN later = 1 THEN length(d.w[p]) ELSE 0 END) AS chars FROM p{n} JOIN d ON d.doc_id = p{n}.doc_id GROUP BY 1)""")
+        joins.append(f"LEFT JOIN s{n} ON s{n}.doc_id = d.doc_id")
+        if n != BASE:
+            counts.append(f"coalesce(s{n}.chars, 0)::BIGINT AS repeat_chars_{n}")
+            bad.append(f"repeat_chars_{n} > {NGRAM_LIMITS[n]!r}::DOUBLE * word_chars + {FREE_CHARS}")
+    return rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents), {", ".join(parts)},
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) WHERE regexp_matches(line, '{word}')),
+ls AS (SELECT doc_id, count(*) FILTER (k > 1) AS n, coalesce(sum(length(line)) FILTER (k > 1), 0) AS chars, sum(length(line)) AS total FROM l GROUP BY 1),
+r AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(d.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(ls.n, 0)::BIGINT AS n_dup_lines, coalesce(s{BASE}.words, 0)::BIGINT AS n_repeat_words, coalesce(ls.chars, 0)::BIGINT AS dup_line_chars, coalesce(ls.total, 0) AS line_chars, {", ".join(counts)}
+  FROM d LEFT JOIN ls ON ls.doc_id = d.doc_id {" ".join(joins)}),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
+SELECT * EXCLUDE (line_chars), NOT base_failed AND NOT (dup_line_chars > {LINE_LIMIT!r}::DOUBLE * line_chars + {FREE_CHARS} OR n_symbols > {SYMBOL_LIMIT!r}::DOUBLE * n_words OR {" OR ".join(bad)}) AS kept FROM v
+"""
+
+
+ORACLE_SQL = _oracle()

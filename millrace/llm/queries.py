@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_salvage": warc.ORACLE_SQL,
+        "op4_quality_repetition": quality.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op8_url_language_model": url_lm.ORACLE_SQL,
         "op9_decontamination": decontam.ORACLE_SQL,

@@ -265,3 +265,14 @@ def read_archives(paths: DataFrame, with_payload: bool = False) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(S.table(spark, sf_dir, "pages"), S.shared_dir(spark))
     return read_archives(archives).filter("gap IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base 32 of the hexadecimal SHA-1: five digits are four characters.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last, count(*) AS n FROM p GROUP BY h)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(p.h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN n > 1 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n > 1 AND page_id <> last THEN last END AS refers_to
+FROM p JOIN g ON g.h = p.h
+"""
