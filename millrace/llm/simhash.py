@@ -7,8 +7,8 @@ compared - exclusive or and bit counts in numpy - unless their bit counts differ
 than the radius; inside large tiles the same test skips cells of equal counts.  A task
 emits a spanning forest of the links that it finds, never all pairs, so a group of n near
 copies costs about n edges; components follow by contraction.  Wide fingerprints (several
-times 64 bits) tell a given similarity of shingles; they are compared by their first 64 bits
-and, where those are near, in full.
+times 64 bits) tell a given similarity of shingle sets; their tiles go by the sets' sizes, and
+they are compared by their first 64 bits and, where those are near, in full.
 
 With 64 bits every pair within the radius is found: the sum of the differences of the quarters' bit
 counts never exceeds the Hamming distance.  Only exact fingerprints' representatives are
@@ -38,6 +38,8 @@ SEED = 42
 #: For a share of equal five-word shingles of 0.8 or more: fingerprints of 4 x 64 bits.  At 0.8 they differ in
 #: 39 bits on the average, with a standard deviation of 6; those of unrelated texts in 128, give or take 8.
 WIDE, WIDE_RADIUS = 4, 52
+#: Sets of a similarity of 0.8 have sizes of that ratio at least: wide fingerprints are told apart by sizes first.
+RATIO = 0.8
 #: Wide fingerprints are compared in full where their first 64 bits differ in no more than this (10 expected at 0.8).
 FIRST_RADIUS = 22
 #: Cells of equal counts are worth telling apart up to this radius.
@@ -58,13 +60,13 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> list[int]:
-    """The unsigned 64-bit SimHashes (``width`` of them) of a text's word shingles, with their repeats or each once."""
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> tuple[list[int], int]:
+    """The unsigned 64-bit SimHashes (``width`` of them) of a text's word shingles, with their repeats or each once, and their number."""
     import xxhash
 
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not own:
-        return [0] * width
+        return [0] * width, 0
     joined = b" ".join(own)
     ends = np.cumsum([len(w) + 1 for w in own]) - 1
     n = max(1, len(own) - words + 1)
@@ -82,22 +84,23 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, width: i
             bits = np.unpackbits(each[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts += bits.sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]))
-    return out
+    return out, n
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> DataFrame:
-    """doc_id and fps (the fingerprint's words as signed longs). No shuffle."""
+    """doc_id, fps (the fingerprint's words as signed longs) and size (its shingles). No shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
         S.forget()
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words, seed, width, repeats) for t in batch.column(1)], np.uint64).reshape(-1).view(np.int64)
+            found = [fingerprint(t.as_py(), words, seed, width, repeats) for t in batch.column(1)]
+            fps = np.array([f for f, _ in found], np.uint64).reshape(-1).view(np.int64)
             at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(fps))], names=["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(fps)), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "fps", "size"])
 
-    return S.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fps array<long>")
+    return S.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fps array<long>, size long")
 
 
 def quarters(fps: np.ndarray) -> np.ndarray:
@@ -125,17 +128,28 @@ class Forest:
             self.edges.append((i, j))
 
 
-def compare(a: np.ndarray, b: np.ndarray, first_a: int, first_b: int, radius: int, forest: Forest) -> None:
-    """Joins places of ``a`` and ``b`` (a row of words a fingerprint) that differ in at most ``radius`` bits."""
-    step, wide = max(1, 131_072 // max(1, len(b))), a.shape[1] > 1  # a step stays in the cache
+def compare(a: np.ndarray, b: np.ndarray, first_a: int, first_b: int, radius: int, forest: Forest, sizes: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    """Joins places of ``a`` and ``b`` (a row of words a fingerprint) that differ in at most ``radius`` bits.
+
+    ``sizes``, ascending, of wide fingerprints: pairs whose sizes are too far apart aren't looked at.
+    """
+    whole, all_first = b, first_b
+    step = max(1, 131_072 // max(1, len(b)))  # a step stays in the cache
     for at in range(0, len(a), step):
         part = a[at : at + step]
-        near = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0]) <= (min(radius, FIRST_RADIUS) if wide else radius)
-        if first_a == first_b:
-            near &= np.arange(len(b))[None, :] > np.arange(at, at + len(part))[:, None]
-        if wide:
+        if sizes:
+            low = int(np.searchsorted(sizes[1], RATIO * sizes[0][at] - 1e-9, side="left"))
+            high = int(np.searchsorted(sizes[1], sizes[0][at + len(part) - 1] / RATIO + 1e-9, side="right"))
+            b, first_b = whole[low:high], all_first + low
+            if not len(b):
+                continue
+        near = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0]) <= (min(radius, FIRST_RADIUS) if sizes else radius)
+        if first_a == all_first:
+            near &= first_b + np.arange(len(b))[None, :] > first_a + np.arange(at, at + len(part))[:, None]
+        if sizes:
             i, j = np.nonzero(near)
-            far = np.bitwise_count(part[i] ^ b[j]).sum(axis=1, dtype=np.int64) > radius
+            one, other = sizes[0][at + i], sizes[1][first_b - all_first + j]
+            far = (np.minimum(one, other) < RATIO * np.maximum(one, other)) | (np.bitwise_count(part[i] ^ b[j]).sum(axis=1, dtype=np.int64) > radius)
             near[i[far], j[far]] = False
         rows = np.flatnonzero(near.any(axis=1))
         for i in rows.tolist():
@@ -161,11 +175,11 @@ def cells(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[starts, len(counts)], counts[starts]
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest) -> None:
-    """All links inside tile ``a``, or between ``a`` and ``b``; tiles are sorted by bit counts."""
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest, sizes: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    """All links inside tile ``a``, or between ``a`` and ``b``; tiles are sorted by bit counts, or by sizes."""
     other, shift = (a, 0) if b is None else (b, len(a))
-    if radius > CELLS_RADIUS or len(a) < CELLS_FROM and len(other) < CELLS_FROM:
-        compare(a, other, 0, shift, radius, forest)
+    if sizes or radius > CELLS_RADIUS or len(a) < CELLS_FROM and len(other) < CELLS_FROM:
+        compare(a, other, 0, shift, radius, forest, sizes)
         return
     at, mine = cells(quarters(a[:, 0]))
     bt, theirs = cells(quarters(other[:, 0]))
@@ -178,14 +192,18 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest)
 
 
 @functools.lru_cache(maxsize=24)
-def _load(uri: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A tile's keys and its fingerprints, a row each."""
-    rows = np.frombuffer(S.read_blob(uri), np.uint64).reshape(-1, 1 + width)
-    return rows[:, 0].view(np.int64), np.ascontiguousarray(rows[:, 1:])
+def _load(uri: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tile's keys, sizes and fingerprints, a row each."""
+    rows = np.frombuffer(S.read_blob(uri), np.uint64).reshape(-1, 2 + width)
+    return rows[:, 0].view(np.int64), np.ascontiguousarray(rows[:, 1]).view(np.int64), np.ascontiguousarray(rows[:, 2:])
 
 
 def make_tiles(distinct: DataFrame, uri: str, n: int, width: int) -> DataFrame:
-    """Stores the sorted tiles of the distinct fingerprints (key, fps); returns the committed list of them."""
+    """Stores the sorted tiles of the distinct fingerprints (key, size, fps); returns the committed list of them.
+
+    ``low`` and ``high`` bound the quarters' bit counts or, of wide fingerprints, the size's
+    logarithm to the base 1 / RATIO: tiles more than 1 apart in it hold no pair.
+    """
     tiles = max(1, -(-n // min(LARGEST_TILE, max(LEAST_TILE, n // TILES))))
     limit = 2 * LARGEST_TILE
 
@@ -193,32 +211,39 @@ def make_tiles(distinct: DataFrame, uri: str, n: int, width: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        parts = [np.column_stack([b.column(0).to_numpy(), np.asarray(b.column(1).flatten()).reshape(-1, width)]) for b in batches if b.num_rows]
+        parts = [np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy(), np.asarray(b.column(2).flatten()).reshape(-1, width)]) for b in batches if b.num_rows]
         if not parts:
             return
         rows = np.concatenate(parts).astype(np.int64).view(np.uint64)
-        counts = quarters(np.ascontiguousarray(rows[:, 1]))
-        rows = rows[np.lexsort((rows[:, 1], *counts.T[::-1]))]
+        if width > 1:
+            order = np.lexsort((rows[:, 0], rows[:, 1]))
+            place = np.floor(np.log(np.maximum(rows[:, 1], 1).astype(float)) / -np.log(RATIO)).astype(np.int32)[:, None]
+        else:
+            place = quarters(np.ascontiguousarray(rows[:, 2]))
+            order = np.lexsort((rows[:, 2], *place.T[::-1]))
+        rows, place = rows[order], place[order]
         # The number of output partitions may be more than asked for: a tile still has its bound.
         for k, at in enumerate(range(0, len(rows), limit)):
-            own = rows[at : at + limit]
-            counts = quarters(np.ascontiguousarray(own[:, 1]))
+            own, spot = rows[at : at + limit], place[at : at + limit]
             name = f"{uri}/tiles/{uuid.uuid4().hex}.fp"
             S.write_blob(name, [own.tobytes()])
-            row = {"tile": [TaskContext.get().partitionId() * 1_000_000 + k], "path": [name], "n": [len(own)], "low": [counts.min(axis=0).tolist()], "high": [counts.max(axis=0).tolist()]}
+            row = {"tile": [TaskContext.get().partitionId() * 1_000_000 + k], "path": [name], "n": [len(own)], "low": [spot.min(axis=0).tolist()], "high": [spot.max(axis=0).tolist()]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("tile", pa.int64()), ("path", pa.string()), ("n", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))]))
 
     first = F.col("fps")[0]
-    part = [F.bit_count(F.shiftrightunsigned(first, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
-    ordered = distinct.select("key", "fps", first.alias("f"), *[p.alias(f"q{i}") for i, p in enumerate(part)]).repartitionByRange(tiles, "q0", "q1", "q2", "q3", "f", "key").select("key", "fps")
+    if width > 1:
+        keys = {"q0": F.col("size")}
+    else:
+        keys = {f"q{i}": F.bit_count(F.shiftrightunsigned(first, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)}
+    ordered = distinct.select("key", "size", "fps", first.alias("f"), *[c.alias(k) for k, c in keys.items()]).repartitionByRange(tiles, *keys, "f", "key").select("key", "size", "fps")
     return S.written(ordered.mapInArrow(write, "tile long, path string, n long, low array<int>, high array<int>"), f"{uri}/tile_list")
 
 
-def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
-    """Pairs of tiles whose quarters' bit counts don't differ beyond the radius: an equi-join on the first quarter's count."""
+def tile_pairs(tiles: DataFrame, radius: int, parts: int = 4) -> DataFrame:
+    """Pairs of tiles whose places (quarters' bit counts, or sizes) don't differ beyond the radius: an equi-join on the first."""
     left = tiles.select(F.col("tile").alias("a"), F.col("path").alias("path_a"), F.col("n").alias("n_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence(F.col("low")[0] - radius, F.col("high")[0] + radius)).alias("q"))
     right = tiles.select(F.col("tile").alias("b"), F.col("path").alias("path_b"), F.col("n").alias("n_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(F.col("low")[0], F.col("high")[0])).alias("q"))
-    gap = [F.greatest(F.col("low_a")[i] - F.col("high_b")[i], F.col("low_b")[i] - F.col("high_a")[i], F.lit(0)) for i in range(4)]
+    gap = [F.greatest(F.col("low_a")[i] - F.col("high_b")[i], F.col("low_b")[i] - F.col("high_a")[i], F.lit(0)) for i in range(parts)]
     pairs = left.join(right, "q").filter((F.col("a") <= F.col("b")) & (sum(gap[1:], gap[0]) <= radius))
     return pairs.select("a", "b", "path_a", "path_b", "n_a", "n_b").distinct()
 
@@ -226,7 +251,7 @@ def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
 def links(distinct: DataFrame, radius: int, uri: str, n: int, width: int = 1) -> DataFrame:
     """Edges (a, b) between keys whose components are those of all links within the radius."""
     tiles = make_tiles(distinct, uri, n, width)
-    pairs = S.written(tile_pairs(tiles, min(radius, FIRST_RADIUS) if width > 1 else radius), f"{uri}/pairs")
+    pairs = S.written(tile_pairs(tiles, 1, 1) if width > 1 else tile_pairs(tiles, radius), f"{uri}/pairs")
 
     def run(batches):
         import pyarrow as pa
@@ -234,13 +259,13 @@ def links(distinct: DataFrame, radius: int, uri: str, n: int, width: int = 1) ->
         S.forget()
         for batch in batches:
             for row in batch.to_pylist():
-                keys, a = _load(row["path_a"], width)
-                b = None
+                keys, size_a, a = _load(row["path_a"], width)
+                size_b, b = size_a, None
                 if row["a"] != row["b"]:
-                    more, b = _load(row["path_b"], width)
+                    more, size_b, b = _load(row["path_b"], width)
                     keys = np.concatenate([keys, more])
                 forest = Forest(len(keys))
-                tile_links(a, b, radius, forest)
+                tile_links(a, b, radius, forest, (size_a, size_b) if width > 1 else None)
                 if forest.edges:
                     e = np.array(forest.edges)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[e[:, 0]]), pa.array(keys[e[:, 1]])], names=["a", "b"])
@@ -285,13 +310,13 @@ def components(edges: DataFrame, uri: str, a: str = "a", b: str = "b") -> DataFr
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> DataFrame:
     """doc_id, fp (the first 64 bits) and component_id (the smallest doc_id reachable by links) of every row.
 
-    A wide fingerprint's key is a 64-bit hash of its words; a narrow one's is itself.
+    A wide fingerprint's key is a 64-bit hash of its words and size; a narrow one's is itself.
     """
     uri = S.shared_dir(docs.sparkSession)
-    key = F.col("fps")[0] if width == 1 else F.xxhash64("fps")
+    key = F.col("fps")[0] if width == 1 else F.xxhash64("fps", "size")
     marked = S.written(fingerprints(docs, words, seed, width, repeats).withColumn("key", key), f"{uri}/fingerprints")
-    distinct = S.written(marked.groupBy("key").agg(F.any_value("fps").alias("fps"), F.min("doc_id").alias("least")), f"{uri}/distinct")
-    edges = links(distinct.select("key", "fps"), radius, uri, S.row_count(distinct), width)
+    distinct = S.written(marked.groupBy("key").agg(F.any_value("fps").alias("fps"), F.any_value("size").alias("size"), F.min("doc_id").alias("least")), f"{uri}/distinct")
+    edges = links(distinct.select("key", "size", "fps"), radius, uri, S.row_count(distinct), width)
     classes = components(edges, uri).select(F.col("node").alias("key"), "root")
     rooted = distinct.select("key", "least").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

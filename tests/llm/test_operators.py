@@ -422,7 +422,7 @@ def test_many_tiles(spark, monkeypatch):
     rng = np.random.default_rng(5)
     fps = rng.integers(0, 1 << 62, 400)
     fps = np.unique(np.r_[fps, fps[:100] ^ 5, fps[:50] ^ (1 << 40)])
-    df = spark.createDataFrame([(int(f), [int(f)]) for f in fps], "key long, fps array<long>")
+    df = spark.createDataFrame([(int(f), 1, [int(f)]) for f in fps], "key long, size long, fps array<long>")
     uri = _shared.shared_dir(spark)
     edges = simhash.links(df, 3, uri, len(fps))
     got = {r["node"]: r["root"] for r in simhash.components(edges, uri).collect()}
