@@ -30,9 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     folder of its own, and is told of it.
     """
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or "cluster" in context.master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(base)
