@@ -7,8 +7,10 @@ compared - exclusive or and bit counts in numpy - unless their bit counts differ
 than the radius; inside large tiles the same test skips cells of equal counts.  A task
 emits a spanning forest of the links that it finds, never all pairs, so a group of n near
 copies costs about n edges; components follow by contraction.  Wide fingerprints (several
-times 64 bits) tell a given similarity of shingle sets; their tiles go by the sets' sizes, and
-they are compared by their first 64 bits and, where those are near, in full.
+times 64 bits) find candidates for a given similarity of shingle sets; their tiles go by the
+sets' sizes, and they are compared by their first 64 bits and, where those are near, in full.
+The sets of texts with a candidate are then cut into tiles of their own, whose comparison makes
+an edge only of pairs whose exact Jaccard similarity is at least RATIO.
 
 With 64 bits every pair within the radius is found: the sum of the differences of the quarters' bit
 counts never exceeds the Hamming distance.  Only exact fingerprints' representatives are
@@ -38,7 +40,8 @@ SEED = 42
 #: For a share of equal five-word shingles of 0.8 or more: fingerprints of 4 x 64 bits.  At 0.8 they differ in
 #: 39 bits on the average, with a standard deviation of 6; those of unrelated texts in 128, give or take 8.
 WIDE, WIDE_RADIUS = 4, 52
-#: Sets of a similarity of 0.8 have sizes of that ratio at least: wide fingerprints are told apart by sizes first.
+#: Sets are near copies from this Jaccard similarity on.  Their sizes have that ratio at least, too: wide
+#: fingerprints are told apart by sizes first.
 RATIO = 0.8
 #: Wide fingerprints are compared in full where their first 64 bits differ in no more than this (10 expected at 0.8).
 FIRST_RADIUS = 22
@@ -49,6 +52,8 @@ TILES = 200
 LEAST_TILE, LARGEST_TILE = 1_024, 65_536
 #: From this size on, tiles are compared cell by cell.
 CELLS_FROM = 4_096
+#: Shingles in the sets of a tile with sets, about, and those looked up at once.
+TILE_SHINGLES, LOOKED_UP = 2_000_000, 1_000_000
 
 
 def _spread(h: np.ndarray, k: int) -> np.ndarray:
@@ -60,13 +65,13 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> tuple[list[int], int]:
-    """The unsigned 64-bit SimHashes (``width`` of them) of a text's word shingles, with their repeats or each once, and their number."""
+def shingles(text: str | None, words: int = WORDS, seed: int = SEED, repeats: bool = True) -> np.ndarray:
+    """The XXH64 hashes of a text's word shingles: with their repeats in order, or each once, ascending."""
     import xxhash
 
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not own:
-        return [0] * width, 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(own)
     ends = np.cumsum([len(w) + 1 for w in own]) - 1
     n = max(1, len(own) - words + 1)
@@ -74,33 +79,82 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, width: i
     stops = ends[min(words, len(own)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
-    if not repeats:
-        hashes = np.unique(hashes)
-        n = len(hashes)
-    out = []
+    return hashes if repeats else np.unique(hashes)
+
+
+def majority(hashes: np.ndarray, width: int = 1) -> list[int]:
+    """The unsigned 64-bit SimHashes (``width`` of them) of shingles' hashes."""
+    n, out = len(hashes), []
+    if not n:
+        return [0] * width
     for k in range(width):
         each, counts = _spread(hashes, k) if k else hashes, np.zeros(64, np.int64)
         for at in range(0, n, 65_536):
             bits = np.unpackbits(each[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts += bits.sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]))
-    return out, n
+    return out
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> tuple[list[int], int]:
+    """The unsigned 64-bit SimHashes (``width`` of them) of a text's word shingles, with their repeats or each once, and their number."""
+    hashes = shingles(text, words, seed, repeats)
+    return majority(hashes, width), len(hashes)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> DataFrame:
-    """doc_id, fps (the fingerprint's words as signed longs) and size (its shingles). No shuffle."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True, uri: str | None = None) -> DataFrame:
+    """doc_id, fps (the fingerprint's words as signed longs), size (its shingles) and key. No shuffle.
+
+    A narrow fingerprint's key is itself, a wide one's a 64-bit hash of its shingles.  Below
+    ``uri`` the shingles' hashes are stored: ``path`` is a row's file, ``at`` the place of its first.
+    """
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         S.forget()
         for batch in batches:
-            found = [fingerprint(t.as_py(), words, seed, width, repeats) for t in batch.column(1)]
-            fps = np.array([f for f, _ in found], np.uint64).reshape(-1).view(np.int64)
+            found = [shingles(t.as_py(), words, seed, repeats) for t in batch.column(1)]
+            fps = np.array([majority(h, width) for h in found], np.uint64).reshape(-1).view(np.int64)
+            sizes = np.array([len(h) for h in found], np.int64)
+            keys = fps if width == 1 else np.array([xxhash.xxh64_intdigest(np.sort(h).tobytes()) for h in found], np.uint64).view(np.int64)
             at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(fps)), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "fps", "size"])
+            columns = [batch.column(0), pa.ListArray.from_arrays(at, pa.array(fps)), pa.array(sizes), pa.array(keys)]
+            if uri:
+                name = f"{uri}/{uuid.uuid4().hex}.sh"
+                S.write_blob(name, (h.tobytes() for h in found))
+                columns += [pa.array([name] * len(found), pa.string()), pa.array(np.cumsum(sizes) - sizes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fps", "size", "key", "path", "at"][: len(columns)])
+
+    schema = "doc_id long, fps array<long>, size long, key long" + (", path string, at long" if uri else "")
+    return S.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
 
-    return S.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fps array<long>, size long")
+def with_sets(nodes: DataFrame) -> DataFrame:
+    """key, size, fps and the stored shingles (``set``) of the nodes; a file is read once a run of its rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, stored = None, None
+        for batch in batches:
+            paths, at, sizes = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(1).to_pylist()
+            start = 0
+            while start < len(paths):
+                stop, total = start, 0
+                while stop < len(paths) and paths[stop] == paths[start] and (stop == start or total + sizes[stop] <= TILE_SHINGLES):
+                    total, stop = total + sizes[stop], stop + 1
+                if paths[start] != last:
+                    last, stored = paths[start], np.frombuffer(S.read_blob(paths[start]), np.int64)
+                own = [stored[a : a + n] for a, n in zip(at[start:stop], sizes[start:stop])]
+                ends = pa.array(np.r_[0, np.cumsum(sizes[start:stop])].astype(np.int32))
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], names=["key", "size", "fps", "set"])
+                start = stop
+
+    dealt = nodes.select("key", "size", "fps", "path", "at").repartition("path").sortWithinPartitions("path", "at")
+    return dealt.mapInArrow(run, "key long, size long, fps array<long>, set array<long>")
 
 
 def quarters(fps: np.ndarray) -> np.ndarray:
@@ -127,11 +181,66 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
             self.edges.append((i, j))
 
+    def tops(self, at: np.ndarray) -> np.ndarray:
+        """The roots of several places."""
+        up = self.up
+        top = up[at]
+        while True:
+            higher = up[top]
+            if (higher == top).all():
+                break
+            top = higher
+        up[at] = top
+        return top
+
+
+class Sets:
+    """A tile's shingle sets: ascending hashes, set by set."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
+
+    def similar(self, i: int, other: Sets, places: np.ndarray) -> np.ndarray:
+        """Whether set ``i`` and each of the other's at ``places`` have a Jaccard similarity of RATIO or more."""
+        own, out = self.flat[self.starts[i] : self.starts[i] + self.sizes[i]], np.zeros(len(places), bool)
+        part = np.cumsum(other.sizes[places]) // LOOKED_UP
+        for which in np.split(np.arange(len(places)), np.flatnonzero(np.diff(part)) + 1):
+            sizes = other.sizes[places[which]]
+            before = np.cumsum(sizes) - sizes
+            theirs = other.flat[np.repeat(other.starts[places[which]] - before, sizes) + np.arange(sizes.sum())]
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            shared = np.add.reduceat((own[at] == theirs).astype(np.int64), before)
+            out[which] = shared >= RATIO * (len(own) + sizes - shared) - 1e-9
+        return out
+
+
+def confirm(i: int, place: int, others: np.ndarray, first: int, sets: tuple[Sets, Sets], near: np.ndarray, forest: Forest) -> None:
+    """Joins ``place`` with every tree that holds a set similar to set ``i``; ``near`` are the candidates' bits that differ.
+
+    Of each tree the nearest are looked at first, and no more of it once it is joined.
+    """
+    others, step = others[np.argsort(near, kind="stable")], 1
+    while True:
+        top = forest.tops(first + others)
+        apart = top != forest.root(place)
+        others, top = others[apart], top[apart]
+        if not len(others):
+            return
+        order = np.argsort(top, kind="stable")
+        new = np.r_[True, np.diff(top[order]) != 0]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        now = others[rank < step]
+        for j in now[sets[0].similar(i, sets[1], now)].tolist():
+            forest.join(place, first + j)
+        others, step = others[rank >= step], 4 * step
+
 
-def compare(a: np.ndarray, b: np.ndarray, first_a: int, first_b: int, radius: int, forest: Forest, sizes: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+def compare(a: np.ndarray, b: np.ndarray, first_a: int, first_b: int, radius: int, forest: Forest, sizes: tuple[np.ndarray, np.ndarray] | None = None, sets: tuple[Sets, Sets] | None = None) -> None:
     """Joins places of ``a`` and ``b`` (a row of words a fingerprint) that differ in at most ``radius`` bits.
 
     ``sizes``, ascending, of wide fingerprints: pairs whose sizes are too far apart aren't looked at.
+    With ``sets`` only pairs are joined whose sets are similar.
     """
     whole, all_first = b, first_b
     step = max(1, 131_072 // max(1, len(b)))  # a step stays in the cache
@@ -154,16 +263,12 @@ def compare(a: np.ndarray, b: np.ndarray, first_a: int, first_b: int, radius: in
         rows = np.flatnonzero(near.any(axis=1))
         for i in rows.tolist():
             others = np.flatnonzero(near[i])
+            if sets:
+                bits = np.bitwise_count(part[i] ^ b[others]).sum(axis=1, dtype=np.int64)
+                confirm(at + i, first_a + at + i, first_b - all_first + others, all_first, sets, bits, forest)
+                continue
             # Most of a dense group is joined already: look at roots, once each.
-            up = forest.up
-            top = up[first_b + others]
-            while True:
-                higher = up[top]
-                if (higher == top).all():
-                    break
-                top = higher
-            up[first_b + others] = top
-            _, where = np.unique(top, return_index=True)
+            _, where = np.unique(forest.tops(first_b + others), return_index=True)
             for j in others[where].tolist():
                 forest.join(first_a + at + i, first_b + j)
 
@@ -175,11 +280,11 @@ def cells(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[starts, len(counts)], counts[starts]
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest, sizes: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest, sizes: tuple[np.ndarray, np.ndarray] | None = None, sets: tuple[Sets, Sets] | None = None) -> None:
     """All links inside tile ``a``, or between ``a`` and ``b``; tiles are sorted by bit counts, or by sizes."""
     other, shift = (a, 0) if b is None else (b, len(a))
     if sizes or radius > CELLS_RADIUS or len(a) < CELLS_FROM and len(other) < CELLS_FROM:
-        compare(a, other, 0, shift, radius, forest, sizes)
+        compare(a, other, 0, shift, radius, forest, sizes, sets)
         return
     at, mine = cells(quarters(a[:, 0]))
     bt, theirs = cells(quarters(other[:, 0]))
@@ -198,20 +303,33 @@ def _load(uri: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[:, 0].view(np.int64), np.ascontiguousarray(rows[:, 1]).view(np.int64), np.ascontiguousarray(rows[:, 2:])
 
 
-def make_tiles(distinct: DataFrame, uri: str, n: int, width: int) -> DataFrame:
+@functools.lru_cache(maxsize=4)
+def _load_sets(uri: str) -> np.ndarray:
+    """The shingles of a tile's sets."""
+    return np.frombuffer(S.read_blob(f"{uri}.sets"), np.uint64)
+
+
+def make_tiles(distinct: DataFrame, uri: str, n: int, width: int, shingles: int = 0) -> DataFrame:
     """Stores the sorted tiles of the distinct fingerprints (key, size, fps); returns the committed list of them.
 
+    With a number of ``shingles`` there is a ``set`` of them, too, stored beside each tile.
+
     ``low`` and ``high`` bound the quarters' bit counts or, of wide fingerprints, the size's
     logarithm to the base 1 / RATIO: tiles more than 1 apart in it hold no pair.
     """
-    tiles = max(1, -(-n // min(LARGEST_TILE, max(LEAST_TILE, n // TILES))))
+    tiles = max(1, -(-n // min(LARGEST_TILE, max(LEAST_TILE, n // TILES))), -(-shingles // TILE_SHINGLES))
     limit = 2 * LARGEST_TILE
 
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        parts = [np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy(), np.asarray(b.column(2).flatten()).reshape(-1, width)]) for b in batches if b.num_rows]
+        parts, own_sets = [], []
+        for b in batches:
+            if b.num_rows:
+                parts.append(np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy(), np.asarray(b.column(2).flatten()).reshape(-1, width)]))
+                if shingles:
+                    own_sets += np.split(np.asarray(b.column(3).flatten()), np.cumsum(b.column(1).to_numpy())[:-1])
         if not parts:
             return
         rows = np.concatenate(parts).astype(np.int64).view(np.uint64)
@@ -223,10 +341,16 @@ def make_tiles(distinct: DataFrame, uri: str, n: int, width: int) -> DataFrame:
             order = np.lexsort((rows[:, 2], *place.T[::-1]))
         rows, place = rows[order], place[order]
         # The number of output partitions may be more than asked for: a tile still has its bound.
-        for k, at in enumerate(range(0, len(rows), limit)):
-            own, spot = rows[at : at + limit], place[at : at + limit]
+        edges = [*range(0, len(rows), limit), len(rows)]
+        if shingles:  # a tile's sets have a bound, too
+            ends = np.cumsum(rows[:, 1].view(np.int64)) // (2 * TILE_SHINGLES)
+            edges = sorted({*edges, *(np.flatnonzero(np.diff(ends)) + 1).tolist()})
+        for k, (at, end) in enumerate(zip(edges, edges[1:])):
+            own, spot = rows[at:end], place[at:end]
             name = f"{uri}/tiles/{uuid.uuid4().hex}.fp"
             S.write_blob(name, [own.tobytes()])
+            if shingles:
+                S.write_blob(f"{name}.sets", (own_sets[i].tobytes() for i in order[at:end].tolist()))
             row = {"tile": [TaskContext.get().partitionId() * 1_000_000 + k], "path": [name], "n": [len(own)], "low": [spot.min(axis=0).tolist()], "high": [spot.max(axis=0).tolist()]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("tile", pa.int64()), ("path", pa.string()), ("n", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))]))
 
@@ -235,7 +359,8 @@ def make_tiles(distinct: DataFrame, uri: str, n: int, width: int) -> DataFrame:
         keys = {"q0": F.col("size")}
     else:
         keys = {f"q{i}": F.bit_count(F.shiftrightunsigned(first, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)}
-    ordered = distinct.select("key", "size", "fps", first.alias("f"), *[c.alias(k) for k, c in keys.items()]).repartitionByRange(tiles, *keys, "f", "key").select("key", "size", "fps")
+    names = ["key", "size", "fps", *(["set"] if shingles else [])]
+    ordered = distinct.select(*names, first.alias("f"), *[c.alias(k) for k, c in keys.items()]).repartitionByRange(tiles, *keys, "f", "key").select(*names)
     return S.written(ordered.mapInArrow(write, "tile long, path string, n long, low array<int>, high array<int>"), f"{uri}/tile_list")
 
 
@@ -248,9 +373,12 @@ def tile_pairs(tiles: DataFrame, radius: int, parts: int = 4) -> DataFrame:
     return pairs.select("a", "b", "path_a", "path_b", "n_a", "n_b").distinct()
 
 
-def links(distinct: DataFrame, radius: int, uri: str, n: int, width: int = 1) -> DataFrame:
-    """Edges (a, b) between keys whose components are those of all links within the radius."""
-    tiles = make_tiles(distinct, uri, n, width)
+def links(distinct: DataFrame, radius: int, uri: str, n: int, width: int = 1, shingles: int = 0) -> DataFrame:
+    """Edges (a, b) between keys whose components are those of all links within the radius.
+
+    With a number of ``shingles`` the rows have sets, and links are pairs with similar sets only.
+    """
+    tiles = make_tiles(distinct, uri, n, width, shingles)
     pairs = S.written(tile_pairs(tiles, 1, 1) if width > 1 else tile_pairs(tiles, radius), f"{uri}/pairs")
 
     def run(batches):
@@ -261,11 +389,14 @@ def links(distinct: DataFrame, radius: int, uri: str, n: int, width: int = 1) ->
             for row in batch.to_pylist():
                 keys, size_a, a = _load(row["path_a"], width)
                 size_b, b = size_a, None
+                sets = [Sets(_load_sets(row["path_a"]), size_a)] * 2 if shingles else None
                 if row["a"] != row["b"]:
                     more, size_b, b = _load(row["path_b"], width)
                     keys = np.concatenate([keys, more])
+                    if shingles:
+                        sets[1] = Sets(_load_sets(row["path_b"]), size_b)
                 forest = Forest(len(keys))
-                tile_links(a, b, radius, forest, (size_a, size_b) if width > 1 else None)
+                tile_links(a, b, radius, forest, (size_a, size_b) if width > 1 else None, sets)
                 if forest.edges:
                     e = np.array(forest.edges)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[e[:, 0]]), pa.array(keys[e[:, 1]])], names=["a", "b"])
@@ -307,16 +438,37 @@ def components(edges: DataFrame, uri: str, a: str = "a", b: str = "b") -> DataFr
     return label
 
 
+def similar_sets(distinct: DataFrame, candidates: DataFrame, radius: int, uri: str, width: int) -> DataFrame:
+    """Edges whose components are those of all pairs within the radius with similar sets.
+
+    A spanning forest of candidates names every text that has one; those texts' sets are compared
+    tile by tile again, because a forest of confirmed pairs isn't part of a forest of candidates.
+    """
+    found = S.written(candidates.select("a", "b"), f"{uri}/candidates")
+    keys = found.select(F.col("a").alias("key")).union(found.select("b")).distinct()
+    nodes = distinct.join(keys, "key", "left_semi").select("key", "size", "fps", "stored.path", "stored.at")
+    sets = S.written(with_sets(nodes), f"{uri}/sets")
+    S._remove(f"{uri}/shingles")
+    total = sets.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).first()
+    if not total["n"]:
+        return found
+    return links(sets, radius, f"{uri}/confirmed", total["n"], width, total["shingles"])
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED, width: int = 1, repeats: bool = True) -> DataFrame:
     """doc_id, fp (the first 64 bits) and component_id (the smallest doc_id reachable by links) of every row.
 
-    A wide fingerprint's key is a 64-bit hash of its words and size; a narrow one's is itself.
+    Wide fingerprints of sets (no repeats) within the radius are candidates only; links are
+    those whose sets have a Jaccard similarity of RATIO or more.
     """
     uri = S.shared_dir(docs.sparkSession)
-    key = F.col("fps")[0] if width == 1 else F.xxhash64("fps", "size")
-    marked = S.written(fingerprints(docs, words, seed, width, repeats).withColumn("key", key), f"{uri}/fingerprints")
-    distinct = S.written(marked.groupBy("key").agg(F.any_value("fps").alias("fps"), F.any_value("size").alias("size"), F.min("doc_id").alias("least")), f"{uri}/distinct")
+    exact = width > 1 and not repeats
+    marked = S.written(fingerprints(docs, words, seed, width, repeats, f"{uri}/shingles" if exact else None), f"{uri}/fingerprints")
+    stored = [F.min(F.struct("path", "at")).alias("stored")] if exact else []
+    distinct = S.written(marked.groupBy("key").agg(F.any_value("fps").alias("fps"), F.any_value("size").alias("size"), F.min("doc_id").alias("least"), *stored), f"{uri}/distinct")
     edges = links(distinct.select("key", "size", "fps"), radius, uri, S.row_count(distinct), width)
+    if exact:
+        edges = similar_sets(distinct, edges, radius, uri, width)
     classes = components(edges, uri).select(F.col("node").alias("key"), "root")
     rooted = distinct.select("key", "least").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

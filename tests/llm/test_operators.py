@@ -454,6 +454,37 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert pairs > 200 and linked >= 0.99 * pairs
 
 
+def near_texts(seed, pairs, low, high):
+    """Pairs of texts whose five-word shingle sets have similarities from low to high, their ends being different."""
+    r, rows = random.Random(seed), []
+    for g in range(pairs):
+        own = [f"w{r.randrange(10**9)}" for _ in range(r.randint(60, 300))]
+        n = len(own) - 4
+        m = r.choice([m for m in range(1, n) if low <= (n - m) / (n + m) <= high] or [n // 9])
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(own[:-m] + [f"v{r.randrange(10**9)}" for _ in range(m)]))]
+    return rows
+
+
+def similar_components(rows):
+    sets = [(d, {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}) for d, t in rows]
+    return brute_components(sets, lambda x, y: 5 * len(x & y) >= 4 * len(x | y))
+
+
+@pytest.mark.parametrize("tile", [1_024, 40])
+def test_links_are_exact(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "LEAST_TILE", tile)
+    rows = near_texts(3, 80, 0.6, 0.79)
+    chain = [f"c{i}" for i in range(200)]  # a chain of similar texts whose ends differ, and texts that many are nearly similar to
+    rows += [(1000 + k, " ".join(chain[10 * k :] + [f"d{i}" for i in range(10 * k)])) for k in range(8)]
+    rows += [(2000 + k, " ".join(chain[::-1][: 200 - 26] + [f"e{k}x{i}" for i in range(26)])) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = by_id(simhash.near_duplicates(df, simhash.WIDE_RADIUS, words=5, width=simhash.WIDE, repeats=False))
+    want = similar_components(rows)
+    assert {d: r["component_id"] for d, r in got.items()} == want
+    assert sum(d != c for d, c in want.items()) == 7  # only the chain
+    assert simhash.keep_one_stage(spark, df, "").count() == len(rows) - 7
+
+
 def test_keep_one_of_each_group(spark, docs):
     df = clashing(docs)
     out = simhash.keep_one_stage(spark, df, "")
