@@ -37,14 +37,15 @@ from millrace.llm import _shared as S
 RADIUS = 3
 WORDS = 3
 SEED = 42
-#: For a share of equal five-word shingles of 0.8 or more: fingerprints of 4 x 64 bits.  At 0.8 they differ in
-#: 39 bits on the average, with a standard deviation of 6; those of unrelated texts in 128, give or take 8.
-WIDE, WIDE_RADIUS = 4, 52
+#: Candidates for a share of equal five-word shingles of 0.8 or more: fingerprints of 4 x 64 bits.  At 0.8 they differ
+#: in 39 bits on the average, with a standard deviation of 6; those of unrelated texts in 128, give or take 8.
+#: Binomial tails at 0.8: one pair in a million is missed, of sets of 4 and 5 shingles one in 20,000.
+WIDE, WIDE_RADIUS = 4, 76
 #: Sets are near copies from this Jaccard similarity on.  Their sizes have that ratio at least, too: wide
 #: fingerprints are told apart by sizes first.
 RATIO = 0.8
 #: Wide fingerprints are compared in full where their first 64 bits differ in no more than this (10 expected at 0.8).
-FIRST_RADIUS = 22
+FIRST_RADIUS = 25
 #: Cells of equal counts are worth telling apart up to this radius.
 CELLS_RADIUS = 8
 #: Tiles are about this many in a run, from 1,024 up to 65,536 fingerprints each.
@@ -484,8 +485,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, that with the smallest doc_id.
 
-    The stage takes sets of five-word shingles and wide fingerprints, whose radius finds pairs of a
-    similarity of 0.8 and more.  A row without a doc_id stays: nothing names its
+    The stage takes sets of five-word shingles of a similarity of 0.8 and more; wide fingerprints find
+    the candidates.  A row without a doc_id stays: nothing names its
     group; rows that repeat a doc_id stay or go together.
     """
     inner, back = S.aside(docs, "doc_id", "text")

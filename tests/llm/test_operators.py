@@ -485,6 +485,16 @@ def test_links_are_exact(spark, monkeypatch, tile):
     assert simhash.keep_one_stage(spark, df, "").count() == len(rows) - 7
 
 
+def test_every_similar_pair_is_linked(spark):
+    rows = near_texts(8, 1500, 0.8, 0.81)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = by_id(simhash.near_duplicates(df, simhash.WIDE_RADIUS, words=5, width=simhash.WIDE, repeats=False))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    want = {d: d - (d % 2 and 5 * len(sets[d - 1] & sets[d]) >= 4 * len(sets[d - 1] | sets[d])) for d, _ in rows}
+    assert sum(d != c for d, c in want.items()) > 1000
+    assert {d: r["component_id"] for d, r in got.items()} == want
+
+
 def test_keep_one_of_each_group(spark, docs):
     df = clashing(docs)
     out = simhash.keep_one_stage(spark, df, "")
