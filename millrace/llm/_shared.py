@@ -264,13 +264,18 @@ def slices(batch, column: int):
 def forget() -> None:
     """Frees the memories of encoded words that an earlier stage has left in this worker."""
     if _memos:
-        import ctypes
-        import gc
-
         _memos.clear()
-        gc.collect()
-        with contextlib.suppress(Exception):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that Python has freed back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(Exception):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def tokenizer_path(name: str) -> str:

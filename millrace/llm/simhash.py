@@ -24,6 +24,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
 from collections.abc import Sequence
@@ -54,7 +55,7 @@ LEAST_TILE, LARGEST_TILE = 1_024, 65_536
 #: From this size on, tiles are compared cell by cell.
 CELLS_FROM = 4_096
 #: Shingles in the sets of a tile with sets, about, and those looked up at once.
-TILE_SHINGLES, LOOKED_UP = 2_000_000, 1_000_000
+TILE_SHINGLES, LOOKED_UP = 1_000_000, 500_000
 
 
 def _spread(h: np.ndarray, k: int) -> np.ndarray:
@@ -115,47 +116,43 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, width: i
         import xxhash
 
         S.forget()
-        for batch in batches:
-            found = [shingles(t.as_py(), words, seed, repeats) for t in batch.column(1)]
-            fps = np.array([majority(h, width) for h in found], np.uint64).reshape(-1).view(np.int64)
-            sizes = np.array([len(h) for h in found], np.int64)
-            keys = fps if width == 1 else np.array([xxhash.xxh64_intdigest(np.sort(h).tobytes()) for h in found], np.uint64).view(np.int64)
-            at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
-            columns = [batch.column(0), pa.ListArray.from_arrays(at, pa.array(fps)), pa.array(sizes), pa.array(keys)]
+        name, stored = f"{uri}/{uuid.uuid4().hex}.sh", 0
+        with contextlib.ExitStack() as stack:
             if uri:
-                name = f"{uri}/{uuid.uuid4().hex}.sh"
-                S.write_blob(name, (h.tobytes() for h in found))
-                columns += [pa.array([name] * len(found), pa.string()), pa.array(np.cumsum(sizes) - sizes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fps", "size", "key", "path", "at"][: len(columns)])
+                fs, path = S.open_fs(name)
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                out = stack.enter_context(fs.open_output_stream(path, compression=None))
+            for batch in (b for whole in batches for b in S.slices(whole, 1)):
+                found = [shingles(t.as_py(), words, seed, repeats) for t in batch.column(1)]
+                fps = np.array([majority(h, width) for h in found], np.uint64).reshape(-1).view(np.int64)
+                sizes = np.array([len(h) for h in found], np.int64)
+                keys = fps if width == 1 else np.array([xxhash.xxh64_intdigest(np.sort(h).tobytes()) for h in found], np.uint64).view(np.int64)
+                at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+                columns = [batch.column(0), pa.ListArray.from_arrays(at, pa.array(fps)), pa.array(sizes), pa.array(keys)]
+                if uri:
+                    columns += [pa.array([name] * len(found), pa.string()), pa.array(stored + np.cumsum(sizes) - sizes)]
+                    stored += int(sizes.sum())
+                    out.write(np.concatenate(found).tobytes())
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fps", "size", "key", "path", "at"][: len(columns)])
+        S.trim()
 
     schema = "doc_id long, fps array<long>, size long, key long" + (", path string, at long" if uri else "")
     return S.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def with_sets(nodes: DataFrame) -> DataFrame:
-    """key, size, fps and the stored shingles (``set``) of the nodes; a file is read once a run of its rows."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        last, stored = None, None
-        for batch in batches:
-            paths, at, sizes = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(1).to_pylist()
-            start = 0
-            while start < len(paths):
-                stop, total = start, 0
-                while stop < len(paths) and paths[stop] == paths[start] and (stop == start or total + sizes[stop] <= TILE_SHINGLES):
-                    total, stop = total + sizes[stop], stop + 1
-                if paths[start] != last:
-                    last, stored = paths[start], np.frombuffer(S.read_blob(paths[start]), np.int64)
-                own = [stored[a : a + n] for a, n in zip(at[start:stop], sizes[start:stop])]
-                ends = pa.array(np.r_[0, np.cumsum(sizes[start:stop])].astype(np.int32))
-                part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], names=["key", "size", "fps", "set"])
-                start = stop
-
-    dealt = nodes.select("key", "size", "fps", "path", "at").repartition("path").sortWithinPartitions("path", "at")
-    return dealt.mapInArrow(run, "key long, size long, fps array<long>, set array<long>")
+def read_sets(places: list[tuple[str, int, int]]) -> list[np.ndarray]:
+    """The stored shingles of each (file, place of the first, number); a file is opened once and read forwards."""
+    out, at = [np.zeros(0, np.uint64)] * len(places), 0
+    order = sorted(range(len(places)), key=places.__getitem__)
+    while at < len(order):
+        name = places[order[at]][0]
+        fs, path = S.open_fs(name)
+        with fs.open_input_file(path) as f:
+            while at < len(order) and places[order[at]][0] == name:
+                _, first, n = places[order[at]]
+                out[order[at]] = np.frombuffer(f.read_at(8 * n, 8 * first), np.uint64)
+                at += 1
+    return out
 
 
 def quarters(fps: np.ndarray) -> np.ndarray:
@@ -304,7 +301,7 @@ def _load(uri: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[:, 0].view(np.int64), np.ascontiguousarray(rows[:, 1]).view(np.int64), np.ascontiguousarray(rows[:, 2:])
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _load_sets(uri: str) -> np.ndarray:
     """The shingles of a tile's sets."""
     return np.frombuffer(S.read_blob(f"{uri}.sets"), np.uint64)
@@ -313,7 +310,7 @@ def _load_sets(uri: str) -> np.ndarray:
 def make_tiles(distinct: DataFrame, uri: str, n: int, width: int, shingles: int = 0) -> DataFrame:
     """Stores the sorted tiles of the distinct fingerprints (key, size, fps); returns the committed list of them.
 
-    With a number of ``shingles`` there is a ``set`` of them, too, stored beside each tile.
+    With a number of ``shingles`` the rows have the ``path`` and place (``at``) of theirs, which are stored beside each tile.
 
     ``low`` and ``high`` bound the quarters' bit counts or, of wide fingerprints, the size's
     logarithm to the base 1 / RATIO: tiles more than 1 apart in it hold no pair.
@@ -325,12 +322,12 @@ def make_tiles(distinct: DataFrame, uri: str, n: int, width: int, shingles: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        parts, own_sets = [], []
+        parts, sets_at = [], []
         for b in batches:
             if b.num_rows:
                 parts.append(np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy(), np.asarray(b.column(2).flatten()).reshape(-1, width)]))
                 if shingles:
-                    own_sets += np.split(np.asarray(b.column(3).flatten()), np.cumsum(b.column(1).to_numpy())[:-1])
+                    sets_at += zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(1).to_pylist())
         if not parts:
             return
         rows = np.concatenate(parts).astype(np.int64).view(np.uint64)
@@ -351,7 +348,7 @@ def make_tiles(distinct: DataFrame, uri: str, n: int, width: int, shingles: int
             name = f"{uri}/tiles/{uuid.uuid4().hex}.fp"
             S.write_blob(name, [own.tobytes()])
             if shingles:
-                S.write_blob(f"{name}.sets", (own_sets[i].tobytes() for i in order[at:end].tolist()))
+                S.write_blob(f"{name}.sets", (h.tobytes() for h in read_sets([sets_at[i] for i in order[at:end].tolist()])))
             row = {"tile": [TaskContext.get().partitionId() * 1_000_000 + k], "path": [name], "n": [len(own)], "low": [spot.min(axis=0).tolist()], "high": [spot.max(axis=0).tolist()]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("tile", pa.int64()), ("path", pa.string()), ("n", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))]))
 
@@ -360,7 +357,7 @@ def make_tiles(distinct: DataFrame, uri: str, n: int, width: int, shingles: int
         keys = {"q0": F.col("size")}
     else:
         keys = {f"q{i}": F.bit_count(F.shiftrightunsigned(first, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)}
-    names = ["key", "size", "fps", *(["set"] if shingles else [])]
+    names = ["key", "size", "fps", *(["path", "at"] if shingles else [])]
     ordered = distinct.select(*names, first.alias("f"), *[c.alias(k) for k, c in keys.items()]).repartitionByRange(tiles, *keys, "f", "key").select(*names)
     return S.written(ordered.mapInArrow(write, "tile long, path string, n long, low array<int>, high array<int>"), f"{uri}/tile_list")
 
@@ -377,7 +374,7 @@ def tile_pairs(tiles: DataFrame, radius: int, parts: int = 4) -> DataFrame:
 def links(distinct: DataFrame, radius: int, uri: str, n: int, width: int = 1, shingles: int = 0) -> DataFrame:
     """Edges (a, b) between keys whose components are those of all links within the radius.
 
-    With a number of ``shingles`` the rows have sets, and links are pairs with similar sets only.
+    With a number of ``shingles`` the rows have stored sets, and links are pairs with similar sets only.
     """
     tiles = make_tiles(distinct, uri, n, width, shingles)
     pairs = S.written(tile_pairs(tiles, 1, 1) if width > 1 else tile_pairs(tiles, radius), f"{uri}/pairs")
@@ -401,6 +398,9 @@ def links(distinct: DataFrame, radius: int, uri: str, n: int, width: int = 1, sh
                 if forest.edges:
                     e = np.array(forest.edges)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[e[:, 0]]), pa.array(keys[e[:, 1]])], names=["a", "b"])
+        if shingles:  # the worker stays: what it read goes
+            _load_sets.cache_clear()
+            S.trim()
 
     tasks = max(8, 4 * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Dealt by a number of their own, so that no task gets a tile's pairs only.
@@ -447,9 +447,7 @@ def similar_sets(distinct: DataFrame, candidates: DataFrame, radius: int, uri: s
     """
     found = S.written(candidates.select("a", "b"), f"{uri}/candidates")
     keys = found.select(F.col("a").alias("key")).union(found.select("b")).distinct()
-    nodes = distinct.join(keys, "key", "left_semi").select("key", "size", "fps", "stored.path", "stored.at")
-    sets = S.written(with_sets(nodes), f"{uri}/sets")
-    S._remove(f"{uri}/shingles")
+    sets = S.written(distinct.join(keys, "key", "left_semi").select("key", "size", "fps", "stored.path", "stored.at"), f"{uri}/sets")
     total = sets.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).first()
     if not total["n"]:
         return found
