@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html as html_module
+import os
 import random
 import re
 import zlib
@@ -166,11 +167,81 @@ def test_salvage_recovers_what_follows_damage(packed):
 # --- 3 HTML ---------------------------------------------------------------------------------
 
 
+#: Pages of other making than the labelled ones, with class names that those don't have.
+HELD_OUT = (
+    "<div class=topbar><a>{-1}</a> <a>{-2}</a> <a>{-1}</a></div><main id=lead><h1>{+8}</h1><p>{+45.}</p><h2>{+3}</h2><p>{+70.}</p><p>{+4.}</p><ol><li>{+12}</li><li>{+3}</li></ol></main><footer><p>{-30.}</p></footer>",
+    "<table><tr><td><a>{-1}</a></td><td><a>{-1}</a></td></tr></table><div class=z9><div class=q1><p>{+61.}</p><p>{+18.}</p><p>{+3.}</p></div></div><div class=k3><div><a>{-3}</a></div><div><a>{-4}</a></div><div><a>{-2}</a></div></div><div>{-4}</div>",
+    "<article class=x1><h1>{+4}</h1><p>{+30.}</p><div class=y2>{+9.}</div><p>{+2}</p><p>{+51.}</p><div class=y3><p><a>{-5}</a></p><p><a>{-6}</a></p><p><a>{-4}</a></p><p><a>{-6}</a></p></div></article><aside>{-33.}</aside>",
+    "<nav class=n><a>{-2}</a></nav><div class=b7><h1>{+7}</h1><p>{+37.}</p><p>{+80.}</p><p>{+12.}</p></div><form class=f2><p>{-6}</p></form>",
+    "<main><p>{+33.}</p><p><a>{+3}</a></p><p>{+64.}</p><p><a>{+9}</a></p><p>{+41.}</p></main><div><a>{-2}</a></div>",
+    "<article><p>{+12.}</p><p>{+50.}</p><p><a>{-9}</a></p><p><a>{-7}</a></p><p><a>{-8}</a></p></article>",
+    "<div><a>{-2}</a></div><div><a>{-1}</a></div><div>{-3}</div><div><a>{-2}</a></div><p>{+56.}</p><div>{+3}</div><p>{+48.}</p><div><a>{-3}</a></div><div>{-2}</div><div><a>{-3}</a></div>",
+    "<div class='layout has-sidebar'><article><h1>{+3}</h1><p>{+40.}</p><p>{+3.}</p><p>{+29.}</p></article></div>",
+)
+
+
 def test_tree_on_held_out_pages():
-    x, y = html_text.labelled_table(150, seed=1234)
-    assert (html_text.decide(html_text.tree(), x) == y).mean() > 0.98
-    used = {html_text.FEATURES[n[0]] for n in html_text.tree() if n[0] >= 0}
-    assert "words" in used and "words_after" in used
+    def score(by):
+        right = [(by.keep(html_text.blocks(page)) == y).tolist() for page, y in map(html_text.labelled_page, HELD_OUT)]
+        return sum(map(sum, right)) / sum(map(len, right))
+
+    whole, alone = html_text.classifier(), html_text.train(without=html_text.NEIGHBOURS)
+    assert score(whole) >= 0.97
+    assert score(alone) < score(whole)  # the neighbours' words and links decide some blocks
+    used = {html_text.FEATURES[n[0]] for n in whole.nodes if n[0] >= 0}
+    assert {"words_before", "words_after", "links_before"} & used and {"links"} <= used
+    assert max(whole.odds.values()) > 0 > min(whole.odds.values())
+
+
+def test_neighbours_decide():
+    links = "".join(f'<p><a href="/{i}">Another page of ours</a></p>' for i in range(4))
+    prose_ = "<p>" + "One more word of prose " * 8 + "here.</p>"
+    own = "<p><a href=/x>Another page of ours</a></p>"
+    assert "Another page" not in html_text.main_text(f"<article>{prose_}{links}</article>")
+    assert "Another page" in html_text.main_text(f"<article>{prose_}{own}{prose_}</article>")
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="sidebar-content"><p>Something at the side of it.</p></div><article><p>Main one.</p></article>', "Main one."),
+        ('<div class="footer-content"><p>We are here to stay.</p></div><article><p>Main one.</p></article>', "Main one."),
+        ('<article><section id="search-methods"><h2>Methods</h2><p>We searched many data bases.</p></section></article>', "Methods We searched many data bases."),
+        ('<article><h2 class="section-header">Head</h2><div class="entry-header"><h1>Title</h1></div><p>End.</p></article>', "Head Title End."),
+        ("<article><p>a b c <button>Share<p>next para<noscript>x<p>third para</article>", "a b c next para third para"),
+        ("<article><p>x <math><mi>y</mi></math> <object>obj text</object> z</article>", "x y obj text z"),
+        ("<article><p>x <select><option>no</select> z <button>no</button> w</article>", "x z w"),
+        ('<article><p><span class="tags"><b class=y>buy</span></b> rest of it</p></article>', "buy rest of it"),
+        ("<div><p>Short one.</p><p>Also short.</p></div>", "Short one. Also short."),
+        ("<form id=f><div><a>Home</a></div><article><p>In a form.</p></article></form>", "In a form."),
+    ],
+)
+def test_odd_markup(page, text):
+    assert html_text.main_text(page) == text
+
+
+def plain_text(page):
+    """The text that the test tables' pages have in their article, by another way."""
+    inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    for gone in ("script", "style"):
+        inner = re.sub(rf"<{gone}[^>]*>.*?</{gone}>", "", inner, flags=re.S)
+    inner = re.sub(r"<!--.*?-->", "", inner, flags=re.S)
+    inner = re.sub(r"</?(?:p|h1|br)[^>]*>", " ", inner)
+    return " ".join(html_module.unescape(re.sub(r"</?[a-zA-Z][^>]*>", "", inner)).split())
+
+
+def test_tables_pages_by_another_way():
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    own = [h for h in pq.read_table(path, columns=["html"])["html"].to_pylist() if h and "<article>" in h]
+    assert len(own) > 100 and [html_text.main_text(h) for h in own] == [plain_text(h) for h in own]
+
+
+def test_many_open_controls_take_no_square_time():
+    assert html_text.main_text("<article>" + "<p>a<button>b" * 20_000).count("a") == 20_000
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
