@@ -311,6 +311,12 @@ LABELLED = (
     "<article><p>{+26.}</p><p><a>{+2}</a></p><p>{+4.}</p><p><a>{+10}</a></p><h2>{+3}</h2><p>{+58.}</p><p><a>{-5}</a></p><p><a>{-10}</a></p><p><a>{-6}</a></p></article>",
     "<p><a>{-1}</a></p><p><a>{-3}</a></p><p><a>{-2}</a></p><p>{-2}</p><p><a>{-2}</a></p><p>{+37.}</p><p>{+3}</p><p>{+29.}</p><p>{+3}<a>{+2}</a>{+8.}</p>",
     "<article><h1>{+5}</h1><p>{+9}<a>{+4}</a></p><p>{+45.}</p><p>{+14}<a>{+5}</a>{+3.}</p><p>{+70.}</p><p>{+3}<a>{+2}</a></p><p>{+33.}</p></article>",
+    "<nav><a>{-1}</a> <a>{-2}</a></nav><article><p>{+5.}</p></article><footer><a>{-2}</a></footer>",
+    "<div><a>{-2}</a></div><div><a>{-1}</a></div><article><p>{+2}</p><p>{+3.}</p></article><div><a>{-2}</a></div><div><a>{-2}</a></div>",
+    "<nav><ul><li><a>{-1}</a><li><a>{-2}</a></ul></nav><main><h1>{+1}</h1></main><div><a>{-2}</a></div>",
+    "<article><p>{+60.}</p><p>{+30.}</p><p><a>{+4}</a></p><p>{+2.}</p><p>{+3}</p><p><a>{+6}</a></p><p>{+1.}</p></article><div><a>{-3}</a></div>",
+    "<form><div><a>{-1}</a></div><article><p>{+4.}</p></article></form>",
+    "<nav><a>{-1}</a><a>{-1}</a></nav><main><p>{+8}</p></main>",
 )
 RUN = re.compile(r"\{([+-])(\d+)(\.?)\}")
 
