@@ -2,12 +2,14 @@
 
 For each text the characters inside duplicated n-grams of words (several lengths n) and
 inside duplicated lines are measured with rolling 64-bit hashes in numpy; a text whose
-share of such characters is over the limit of any length is rejected, as is one with too
-many symbols to a word.
-
-Defined results: a null or empty text has no words and fails the base rules; repeated rows
-are judged each; an empty table gives no rows; other columns are kept by ``judge`` and
-ignored by ``measure``.
+share of such characters is over the limit of any length is rejected (``repetition_failed``),
+at any length of text alike.  Beside it stand the base rules and a limit of symbols to a word,
+each with a column of its own.
+
+Defined results: a null or empty text has no words and fails the base rules; texts of any
+length are measured whole (a long one by itself); a share that equals its limit passes;
+repeated rows are judged each; an empty table gives no rows; other columns are kept by
+``judge``, whatever their names,.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ BASE = 3
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters in lines that repeat an earlier line.
 LINE_LIMIT = 0.20
-#: Repeated characters that no limit counts: one short line said twice doesn't make a short text repetitive.
-FREE_CHARS = 200
 #: Most symbols to a word (a published limit for web text).
 SYMBOL_LIMIT = 0.1
 MIN_WORDS = 50
@@ -137,16 +137,17 @@ def coverage(texts: Sequence[str | None], lengths: Sequence[int] = (BASE, *NGRAM
     return out
 
 
-def verdicts(c: dict[str, np.ndarray], limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """base_failed and kept."""
-    failed = (c["n_words"] < min_words) | (100 * c[f"repeat_words_{BASE}"] > 50 * c["n_words"])
-    bad = (c["dup_line_chars"] > line_limit * c["line_chars"] + FREE_CHARS) | (c["n_symbols"] > SYMBOL_LIMIT * c["n_words"])
+def verdicts(c: dict[str, np.ndarray], limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT, min_words: int = MIN_WORDS, symbol_limit: float = SYMBOL_LIMIT) -> dict[str, np.ndarray]:
+    """base_failed; repetition_failed (a share of repeated characters is over its limit); symbols_failed; kept (none of them)."""
+    base = (c["n_words"] < min_words) | (100 * c[f"repeat_words_{BASE}"] > 50 * c["n_words"])
+    repeated = c["dup_line_chars"] > line_limit * c["line_chars"]
     for n, limit in limits.items():
-        bad |= c[f"repeat_chars_{n}"] > limit * c["word_chars"] + FREE_CHARS
-    return failed, ~failed & ~bad
+        repeated |= c[f"repeat_chars_{n}"] > limit * c["word_chars"]
+    symbols = c["n_symbols"] > symbol_limit * c["n_words"]
+    return {"base_failed": base, "repetition_failed": repeated, "symbols_failed": symbols, "kept": ~(base | repeated | symbols)}
 
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, " + ", ".join(f"repeat_chars_{n} long" for n in NGRAM_LIMITS) + ", base_failed boolean, kept boolean"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, " + ", ".join(f"repeat_chars_{n} long" for n in NGRAM_LIMITS) + ", base_failed boolean, repetition_failed boolean, symbols_failed boolean, kept boolean"
 
 
 def _groups(texts: list[str | None]):
@@ -174,8 +175,7 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
         texts, parts = [t if isinstance(t, str) else None for t in column], []
         for a, b in _groups(texts):
             c = coverage(texts[a:b])
-            failed, kept = verdicts(c)
-            c |= {"n_repeat_words": c[f"repeat_words_{BASE}"], "base_failed": failed, "kept": kept}
+            c |= {"n_repeat_words": c[f"repeat_words_{BASE}"], **verdicts(c)}
             parts.append(pd.DataFrame({n: c[n] for n in names}))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: [] for n in names})
 
@@ -206,7 +206,7 @@ s{n} AS (SELECT p{n}.doc_id, count(*) AS words, sum(CASE WHEN later = 1 THEN len
         joins.append(f"LEFT JOIN s{n} ON s{n}.doc_id = d.doc_id")
         if n != BASE:
             counts.append(f"coalesce(s{n}.chars, 0)::BIGINT AS repeat_chars_{n}")
-            bad.append(f"repeat_chars_{n} > {NGRAM_LIMITS[n]!r}::DOUBLE * word_chars + {FREE_CHARS}")
+            bad.append(f"repeat_chars_{n} > {NGRAM_LIMITS[n]!r}::DOUBLE * word_chars")
     return rf"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents), {", ".join(parts)},
 l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM (
@@ -216,8 +216,9 @@ r AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(list_sum(list_trans
   (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   coalesce(ls.n, 0)::BIGINT AS n_dup_lines, coalesce(s{BASE}.words, 0)::BIGINT AS n_repeat_words, coalesce(ls.chars, 0)::BIGINT AS dup_line_chars, coalesce(ls.total, 0) AS line_chars, {", ".join(counts)}
   FROM d LEFT JOIN ls ON ls.doc_id = d.doc_id {" ".join(joins)}),
-v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
-SELECT * EXCLUDE (line_chars), NOT base_failed AND NOT (dup_line_chars > {LINE_LIMIT!r}::DOUBLE * line_chars + {FREE_CHARS} OR n_symbols > {SYMBOL_LIMIT!r}::DOUBLE * n_words OR {" OR ".join(bad)}) AS kept FROM v
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  dup_line_chars > {LINE_LIMIT!r}::DOUBLE * line_chars OR {" OR ".join(bad)} AS repetition_failed, n_symbols > {SYMBOL_LIMIT!r}::DOUBLE * n_words AS symbols_failed FROM r)
+SELECT * EXCLUDE (line_chars), NOT (base_failed OR repetition_failed OR symbols_failed) AS kept FROM v
 """
 
 

@@ -311,6 +311,23 @@ def test_quality_verdicts(spark, docs, none):
     assert len(got) == docs.count() and not got[44]["base_failed"]
 
 
+def test_limits_are_shares_at_any_length():
+    r = random.Random(9)
+    for size in (45, 450, 4500):
+        own = [f"{w}{i}" for i, w in enumerate(prose(size, r).split())]
+        for share, failed in ((0.25, True), (0.05, False)):
+            spam, text = "buy cheap now today here".split(), list(own)
+            for k in range(1 + max(1, round(share * sum(map(len, own)) / (1 - share) / sum(map(len, spam))))):  # the first occurrence is no repeat
+                at = r.randrange(len(text) // 6) * 6 + k
+                text[at:at] = [*spam, f"{k}"]
+            c = quality.coverage([" ".join(text)])
+            most = max(brute_coverage(" ".join(text), n)[1] / limit for n, limit in quality.NGRAM_LIMITS.items()) / c["word_chars"][0]
+            assert quality.verdicts(c)["repetition_failed"][0] == (most > 1)
+            assert (most > 1) == failed or size == 45
+    spam = quality.coverage([" ".join(["buy cheap now today here", prose(11, r)] * 4)])
+    assert quality.verdicts(spam)["repetition_failed"][0]
+
+
 # --- 5 line dedup ------------------------------------------------------------------------
 
 
