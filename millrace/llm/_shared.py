@@ -90,6 +90,28 @@ def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
 
 
+#: Keys that go to every task, some 40 bytes each; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
+#: From this many rows on a key is hot, or from a 100,000th of all rows on: there are 100,000 hot keys at most.
+HOT_ROWS = 100_000
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int, keep: bool = False) -> DataFrame:
+    """``rows`` joined with ``keys``, which has each key once and in column ``n`` its number of rows, ``total`` at most in all.
+
+    Few keys go to every task.  Of many the hot ones do, whose number has a bound, and the
+    others are joined by shuffle, where no key has more than that share of the rows.  With
+    ``keep`` every row stays (a left join).
+    """
+    if row_count(keys) <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys.drop(n)), on, "left" if keep else "inner")
+    hot = keys.filter(F.col(n) >= max(HOT_ROWS, total // 100_000)).drop(n)
+    cold = keys.filter(F.col(n) < max(HOT_ROWS, total // 100_000)).drop(n)
+    split = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    others = split.filter("_hot IS NULL").select(*rows.columns).join(cold, on, "left" if keep else "inner")
+    return split.filter("_hot").drop("_hot").unionByName(others)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, with exact (case-sensitive) names when a table has clashing ones."""
     own = []

@@ -331,16 +331,16 @@ def test_limits_are_shares_at_any_length():
 # --- 5 line dedup ------------------------------------------------------------------------
 
 
-def brute_lines(rows, min_sites=line_dedup.MIN_SITES, min_words=line_dedup.MIN_WORDS):
+def brute_lines(rows, min_sites=line_dedup.MIN_SITES):
     at = {}
     for d, t, s in rows:
         for i, x in enumerate((t or "").split("\n") if t is not None else []):
             x = x.strip(" \t\x0b\x0c\r")
-            if len(re.split(r"[ \t\x0b\x0c\r]+", x)) >= min_words:
+            if x:
                 at.setdefault(x, []).append((d, i, s))
     gone = {}
-    for own in at.values():
-        if len({s for *_, s in own}) >= min_sites:
+    for line, own in at.items():
+        if len({s for *_, s in own}) >= min_sites * (2 if len(re.split(r"[ \t\x0b\x0c\r]+", line)) < 4 else 1):
             for d, i, _ in sorted(own)[1:]:
                 gone.setdefault(d, []).append(i)
     return {d: sorted(v) for d, v in gone.items()}
@@ -352,7 +352,7 @@ def test_lines_removed_are_those_of_brute_force(spark, docs, texts, min_sites):
     rows = [(i, t, f"s{i % 7}") for i, t in enumerate(texts)]
     for k in range(300):
         line = f"shared line number {k % 9} of many"
-        rows.append((1000 + k, f"{prose(8, r)}\n {line}\t\n{line}", f"site{r.randint(0, 10 + 15 * (k % 9))}"))
+        rows.append((1000 + k, f"{prose(8, r)}\n {line}\t\n{line}\nRead more {k % 9}\n", f"site{r.randint(0, 10 + 15 * (k % 9))}"))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
     got = {x["doc_id"]: x for x in line_dedup.remove_lines(df, min_sites=min_sites).collect()}
     want = brute_lines(rows, min_sites)
@@ -362,6 +362,30 @@ def test_lines_removed_are_those_of_brute_force(spark, docs, texts, min_sites):
         assert got[d]["clean_text"] == left
 
 
+def test_only_near_lines_are_counted_exactly(spark, monkeypatch):
+    rows = [(i, f"on very many sites indeed\nonly in this document {i}\non about five sites here {i % 12}", f"s{i % 60}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    asked, real = [], line_dedup.near_sites
+    monkeypatch.setattr(line_dedup, "near_sites", lambda lines, near, total: asked.append(near.count()) or real(lines, near, total))
+    want = brute_lines(rows)
+    for keys in (_shared.BROADCAST_KEYS, 0):  # a join by broadcast, and one by shuffle with hot keys apart
+        monkeypatch.setattr(_shared, "BROADCAST_KEYS", keys)
+        monkeypatch.setattr(_shared, "HOT_ROWS", 50)
+        got = {x["doc_id"]: x["removed"] for x in line_dedup.remove_lines(df).collect()}
+        assert {d: x for d, x in got.items() if x} == want
+    assert asked == [12, 12]
+    plan = line_dedup.near_sites(*[spark.createDataFrame([], t) for t in ("_h long, _g long, _site string", "_h long, _g long, n long")], 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")  # the join is below the aggregation
+
+
+def test_a_document_of_many_lines(spark):
+    line = "the same five words here again"
+    text = "\n".join(f"{line}\n{i} is the number of it" for i in range(20_000))
+    df = spark.createDataFrame([(0, text, "s0"), *[(i, line, f"s{i}") for i in range(1, 9)]], "doc_id long, text string, source string")
+    got = {x["doc_id"]: x for x in line_dedup.remove_lines(df).collect()}
+    assert len(got[0]["removed"]) == 19_999 and got[0]["clean_text"].count("\n") == 20_000 and got[1]["clean_text"] == ""
+
+
 def test_line_dedup_odd_tables(spark, none):
     assert line_dedup.remove_lines(none).count() == 0 and line_dedup.clean_stage(spark, none, "").count() == 0
     line = "the same five words here again"
