@@ -1,25 +1,32 @@
 """WARC archives: a writer that stores equal payloads once, and a salvage reader.
 
-Writer: a gzip member per record (HTTP response blocks).  Of records with equal payloads of
-at least ``least_bytes`` bytes, that with the largest page_id is a response and the others
-are revisits of it.  Reader: every member or record is checked (gzip trailer, version
-line, length, payload digest); after a failed check it looks for the next valid gzip member
-or version line, recovers the records from there on, and logs the bytes between as a gap.
+Writer: a gzip member per record (HTTP response blocks), in archives that end once they have
+``ARCHIVE_BYTES``.  Of records with equal payloads of at least ``least_bytes`` bytes, that with
+the largest page_id is a response and the others are revisits of it.  Reader: archives are
+read in windows; every member or record is checked (gzip trailer, version line, header
+fields, lengths, payload digest).  After a failed check it goes to the end that the record
+states, if another record or the archive's end is there, or else looks for the next valid gzip
+member or version line; it recovers the records from there on, and gives the bytes between as
+a gap.  What it finds inside the stated length of a damaged record is marked ``doubtful``: it
+may be part of that record's payload.  Nothing that an archive holds makes the reader fail.
 
 Defined results: null html is the empty payload; a null url has no target URI (control
 characters are percent-encoded); a null page_id is smaller than all others and reads back
-as null; rows that share the largest page_id of their payload are all responses; an empty
-table gives no records; other columns are ignored.
+as null; rows that share the largest page_id of their payload are all responses; payloads of
+any length are written whole; an empty table gives no records; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import logging
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -28,12 +35,17 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _shared as S
 
-#: Digests that are sent to every task when there are no more than these; beyond, rows are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: An archive is closed once it has as many bytes.
+ARCHIVE_BYTES = 64_000_000
+#: Bytes that are read at once, and the most that a record's headers take.
+WINDOW, HEADERS = 4_000_000, 65_536
 DATE = "2024-01-01T00:00:00Z"
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: The end of the headers, or a version line where none may be.
+HEADERS_END = re.compile(rb"\r\n(?:(\r\n)|WARC/1\.[01]\r\n)")
+NUMBER = re.compile(r"[0-9]{1,18}", re.ASCII)
 MANIFEST = "path string, n_records long, n_bytes long"
 
 
@@ -46,7 +58,7 @@ def _name(page_id: int | None) -> str:
 
 
 def _page_id(name: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
+    m = re.fullmatch(r"<urn:page:(-?[0-9]{1,18})>", name or "")
     return int(m[1]) if m else None
 
 
@@ -76,10 +88,8 @@ class Record:
     headers: dict[str, str]
     http: dict[str, str]
     payload: bytes | None
-
-    @property
-    def payload_bytes(self) -> int:
-        return len(self.payload) if self.payload is not None else int(self.http.get("content-length", 0))
+    payload_bytes: int
+    doubtful: bool = False
 
     @property
     def payload_digest(self) -> str:
@@ -94,7 +104,18 @@ class Gap:
 
 
 class Damaged(ValueError):
-    """A record fails a check."""
+    """A record fails a check.
+
+    ``stop``: its end, where it is known for certain; ``stated``: the end that its headers state.
+    """
+
+    def __init__(self, reason: str, stop: int | None = None, stated: int | None = None) -> None:
+        super().__init__(reason)
+        self.stop, self.stated = stop, stated
+
+
+class Cut(Damaged):
+    """The bytes end before the record does."""
 
 
 def _fields(raw: bytes) -> dict[str, str]:
@@ -108,81 +129,145 @@ def _fields(raw: bytes) -> dict[str, str]:
     return out
 
 
-def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], dict[str, str], bytes | None, int]:
-    """The record at a place: its headers, HTTP headers, payload and end; Damaged if a check fails."""
+def _number(text: str | None) -> int:
+    if not NUMBER.fullmatch(text or ""):
+        raise Damaged("a length is no number")
+    return int(text)
+
+
+def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], dict[str, str], bytes | None, int, int]:
+    """The record at a place: its headers, HTTP headers, payload, the payload's size, and its end; Damaged if a check fails."""
     m = VERSION.match(raw, at)
     if not m:
         raise Damaged("no version line")
-    end = raw.find(b"\r\n\r\n", m.end())
-    if end < 0:
-        raise Damaged("the headers have no end")
-    headers = _fields(raw[m.end() : end])
-    size = headers.get("content-length", "")
-    if not size.isdigit():
-        raise Damaged("no content length")
-    start = end + 4
-    stop = start + int(size)
-    if raw[stop : stop + 4] != b"\r\n\r\n" or stop + 4 > len(raw):
-        raise Damaged("the block doesn't end where its length says")
-    block = raw[start:stop]
-    http: dict[str, str] = {}
-    payload: bytes | None = block
-    if headers.get("content-type", "").startswith("application/http"):
-        head, sep, payload = block.partition(b"\r\n\r\n")
-        if not sep:
-            raise Damaged("the HTTP headers have no end")
-        http = _fields(head.partition(b"\r\n")[2])
-    if headers.get("warc-type") == "revisit":
-        payload = None
-    elif "warc-payload-digest" in headers and headers["warc-payload-digest"].rpartition(":")[2] != digest(payload):
-        raise Damaged("the payload doesn't have its digest")
-    return headers, http, payload, stop + 4
+    end = HEADERS_END.search(raw, m.end() - 2, m.end() + HEADERS)
+    if not end:
+        if len(raw) >= m.end() + HEADERS:
+            raise Damaged("the headers have no end")
+        raise Cut("the headers have no end")
+    if not end[1]:
+        raise Damaged("another record starts in the headers")
+    headers = _fields(raw[m.end() : end.start()])
+    start = end.end()
+    stop = start + _number(headers.get("content-length"))
+    if stop + 4 > len(raw):
+        raise Cut("the block doesn't end where its length says", stated=stop + 4)
+    if raw[stop : stop + 4] != b"\r\n\r\n":
+        raise Damaged("the block doesn't end where its length says", stated=stop + 4)
+    # From here on the record's end is certain if something starts there, or nothing is left.
+    sure = stop + 4 if START.match(raw, stop + 4) or stop + 4 == len(raw) else None
+    try:
+        block = raw[start:stop]
+        http: dict[str, str] = {}
+        payload: bytes | None = block
+        if headers.get("content-type", "").startswith("application/http"):
+            head, sep, payload = block.partition(b"\r\n\r\n")
+            if not sep:
+                raise Damaged("the HTTP headers have no end")
+            http = _fields(head.partition(b"\r\n")[2])
+        size = len(payload)
+        if headers.get("warc-type") == "revisit":
+            payload, size = None, _number(http.get("content-length", "0"))
+        elif "warc-payload-digest" in headers and headers["warc-payload-digest"].rpartition(":")[2] != digest(payload):
+            raise Damaged("the payload doesn't have its digest")
+    except Damaged as e:
+        raise Damaged(str(e), sure, stop + 4) from None
+    return headers, http, payload, size, stop + 4
+
+
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int]:
+    """A gzip member's content and its end."""
+    unpress = zlib.decompressobj(31)
+    try:
+        parts = [unpress.decompress(data[at : at + WINDOW], 10)]
+        if len(parts[0]) == 10 and not VERSION.match(parts[0]):
+            raise Damaged("a member without a version line")
+        parts.append(unpress.decompress(unpress.unconsumed_tail))
+        place = at + WINDOW
+        while not unpress.eof and place < len(data):
+            parts.append(unpress.decompress(data[place : place + WINDOW]))
+            place += WINDOW
+    except zlib.error as e:
+        raise Damaged(f"member: {e}") from None
+    if not unpress.eof:
+        raise Cut("the member is cut off")
+    return b"".join(parts), min(place, len(data)) - len(unpress.unused_data)
 
 
 def _record(data: bytes, at: int) -> Record:
-    if data.startswith(MEMBER, at):
-        unpress, parts, place = zlib.decompressobj(31), [], at
+    if not data.startswith(MEMBER, at):
+        *found, stop = parse(data, at)
+        return Record(at, stop - at, *found)
+    raw, end = _unpacked(data, at)
+    try:
+        *found, stop = parse(raw)
+    except Damaged as e:  # the member is whole, its record isn't
+        raise Damaged(str(e), end) from None
+    if stop != len(raw):
+        raise Damaged("bytes after the member's record", end)
+    return Record(at, end - at, *found)
+
+
+class _Window:
+    """The part of an archive that is being read; ``at`` is the place in it, ``base`` what was before it."""
+
+    def __init__(self, read: Callable[[int], bytes]) -> None:
+        self.read, self.data, self.base, self.at = read, b"", 0, 0
+
+    def more(self) -> bool:
+        """Forgets what is done and reads on, twice as much each time for a record that isn't whole."""
+        got = self.read(max(WINDOW, len(self.data) - self.at))
+        if got:
+            self.data, self.base, self.at = self.data[self.at :] + got, self.base + self.at, 0
+        return bool(got)
+
+    def record(self) -> Record:
+        while True:
+            try:
+                one = _record(self.data, self.at)
+                one.offset += self.base
+                return one
+            except Cut:
+                if not self.more():
+                    raise
+
+    def search(self) -> bool:
+        """Goes on to the next place where a record may start."""
+        while True:
+            m = START.search(self.data, self.at + 1)
+            if m:
+                self.at = m.start()
+                return True
+            self.at = max(self.at, len(self.data) - 10)
+            if not self.more():
+                return False
+
+
+def salvage(source: bytes | Callable[[int], bytes]) -> Iterator[Record | Gap]:
+    """All valid records of an archive in order, and the gaps between them; the source is its bytes or reads so many more."""
+    w = _Window(io.BytesIO(source).read if isinstance(source, bytes) else source)
+    while w.at < len(w.data) or w.more():
         try:
-            while not unpress.eof and place < len(data):
-                parts.append(unpress.decompress(data[place : place + 65_536]))
-                if len(parts) == 1 and not VERSION.match(parts[0][:10]) and len(parts[0]) >= 10:
-                    raise Damaged("a member without a version line")
-                place += 65_536
-        except zlib.error as e:
-            raise Damaged(f"member: {e}") from None
-        if not unpress.eof:
-            raise Damaged("the member is cut off")
-        end = min(place, len(data)) - len(unpress.unused_data)
-        raw = b"".join(parts)
-        headers, http, payload, stop = parse(raw)
-        if stop != len(raw):
-            raise Damaged("bytes after the member's record")
-        return Record(at, end - at, headers, http, payload)
-    headers, http, payload, stop = parse(data, at)
-    return Record(at, stop - at, headers, http, payload)
-
-
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All valid records of an archive's bytes in order, and the gaps between them."""
-    at = 0
-    while at < len(data):
-        try:
-            one = _record(data, at)
+            one = w.record()
         except Damaged as e:
-            reason, start, next_ = str(e), at, None
-            for m in START.finditer(data, at + 1):
+            start, stated = w.base + w.at, w.base + (e.stated or 0)
+            if e.stop is not None:
+                w.at = e.stop
+                yield Gap(start, w.base + w.at - start, str(e))
+                continue
+            one = None
+            while one is None and w.search():
                 try:
-                    next_ = _record(data, m.start())
-                    break
+                    one = w.record()
                 except Damaged:
                     continue
-            end = next_.offset if next_ else len(data)
-            yield Gap(start, end - start, reason)
-            if not next_:
+            end = one.offset if one else w.base + len(w.data)
+            yield Gap(start, end - start, str(e))
+            if one is None:
                 return
-            one = next_
+            one.doubtful = one.offset < stated
         yield one
-        at = one.offset + one.length
+        w.at += one.length
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -190,80 +275,92 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     own = S.pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     own = own.withColumn("_d", F.unhex(F.sha1("payload")))
     long_ = own.filter(F.octet_length("payload") >= least_bytes) if least_bytes else own
-    groups = long_.groupBy("_d").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    groups = long_.groupBy("_d").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = S.written(groups, f"{S.shared_dir(pages.sparkSession)}/groups")
-    if S.row_count(groups) <= BROADCAST_ROWS:  # 28 bytes a row
-        groups = F.broadcast(groups)
-    joined = own.join(groups, "_d", "left")
+    rows = groups.agg(F.sum("n").alias("n")).first()["n"] or 0
+    # Beyond the size of a broadcast the payloads are shuffled by digest, but for hot ones (empty and error pages).
+    joined = S.join_keys(own, groups, ["_d"], "n", rows, keep=True)
     again = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
     if least_bytes:
         again &= F.octet_length("payload") >= least_bytes
     return joined.select("page_id", "url", "payload", F.when(again, F.col("last")).alias("last"))
 
 
-def write_archives(pages: DataFrame, uri: str, least_bytes: int = 0) -> DataFrame:
-    """Writes an archive for each partition below ``uri``; the committed list of archives."""
+def write_archives(pages: DataFrame, uri: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes each partition's records below ``uri``, in archives of about ``archive_bytes``; the committed list of archives."""
 
     def write(batches):
         import pyarrow as pa
 
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        name, n = f"{uri}/warc/{uuid.uuid4().hex}.warc.gz", 0
+        rows = (row for b in batches for row in zip(*(b.column(i) for i in range(4))))
+        waiting = next(rows, None)
+        while waiting is not None:
+            name, n, size = f"{uri}/warc/{uuid.uuid4().hex}.warc.gz", 0, 0
 
-        def members():
-            nonlocal n
-            for batch in (b for own in ([first], batches) for b in own):
-                for page_id, url, payload, last in zip(*(batch.column(i) for i in range(4))):
-                    last = last.as_py()
-                    n += 1
-                    yield member(record(page_id.as_py(), url.as_py(), payload.as_py(), last, last is not None))
+            def members():
+                nonlocal waiting, n, size
+                while waiting is not None and size < archive_bytes:
+                    page_id, url, payload, last = (x.as_py() for x in waiting)
+                    packed = member(record(page_id, url, payload, last, last is not None))
+                    n, size, waiting = n + 1, size + len(packed), next(rows, None)
+                    yield packed
 
-        size = S.write_blob(name, members())
-        yield pa.RecordBatch.from_pydict({"path": [name], "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
+            S.write_blob(name, members())
+            yield pa.RecordBatch.from_pydict({"path": [name], "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
 
     return S.written(with_revisits(pages, least_bytes).mapInArrow(write, MANIFEST), f"{uri}/archives")
 
 
-READ = "path string, offset long, length long, gap string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "path string, offset long, length long, gap string, doubtful boolean, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_archives(paths: DataFrame, with_payload: bool = False) -> DataFrame:
-    """A row for each record and each gap (``gap``: the reason; null for records) of the archives in column ``path``."""
+    """A row for each record and each gap (``gap``: the reason; null for records) of the archives in column ``path``.
+
+    Gaps are logged, too.  Where ``paths`` has the number of records that were written
+    (``n_records``), an archive that gives another number of them is an error.
+    """
+    counted = "n_records" in paths.columns
 
     def read(batches):
         import pyarrow as pa
 
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.binary()] if with_payload else [])]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.binary()] if with_payload else [])]
         names = [f.split()[0] for f in READ.split(", ")] + (["payload"] if with_payload else [])
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows, held = [], 0
-                for x in salvage(S.read_blob(path)):
-                    if isinstance(x, Gap):
-                        row = (path, x.offset, x.length, x.reason, *[None] * 6)
-                    else:
-                        h = x.headers
-                        row = (path, x.offset, x.length, None, _page_id(h.get("warc-record-id")), h.get("warc-target-uri"), x.payload_bytes, x.payload_digest, h.get("warc-type"), _page_id(h.get("warc-refers-to")))
-                        held += len(x.payload or b"") if with_payload else 0
-                    rows.append(row + ((getattr(x, "payload", None),) if with_payload else ()))
-                    if len(rows) >= 10_000 or held > 8_000_000:
-                        yield batch_of(rows)
-                        rows, held = [], 0
+            for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows, held, n = [], 0, 0
+                fs, place = S.open_fs(path)
+                with fs.open_input_stream(place, compression=None) as source:
+                    for x in salvage(source.read):
+                        if isinstance(x, Gap):
+                            logging.getLogger(__name__).warning("%s: a gap of %d bytes at %d: %s", path, x.length, x.offset, x.reason)
+                            row = (path, x.offset, x.length, x.reason, *[None] * 7)
+                        else:
+                            h, n = x.headers, n + 1
+                            row = (path, x.offset, x.length, None, x.doubtful, _page_id(h.get("warc-record-id")), h.get("warc-target-uri"), x.payload_bytes, x.payload_digest, h.get("warc-type"), _page_id(h.get("warc-refers-to")))
+                            held += len(x.payload or b"") if with_payload else 0
+                        rows.append(row + ((getattr(x, "payload", None),) if with_payload else ()))
+                        if len(rows) >= 10_000 or held > 8_000_000:
+                            yield batch_of(rows)
+                            rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
+                if expected is not None and n != expected:
+                    raise ValueError(f"{path} has {n} valid records of {expected}")
 
     tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return paths.select("path").repartition(tasks).mapInArrow(read, READ + (", payload binary" if with_payload else ""))
+    own = paths.select("path", F.col("n_records") if counted else F.lit(None).cast("long").alias("n_records"))
+    return own.repartition(tasks).mapInArrow(read, READ + (", payload binary" if with_payload else ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(S.table(spark, sf_dir, "pages"), S.shared_dir(spark))
+    # A gap is an error here: the number of records is that of the manifest.
     return read_archives(archives).filter("gap IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -6,6 +6,7 @@ import html as html_module
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -164,6 +165,77 @@ def test_salvage_recovers_what_follows_damage(packed):
     assert list(warc.salvage(b"")) == [] and isinstance(next(warc.salvage(b"nothing here")), warc.Gap)
 
 
+@pytest.mark.parametrize("window", [64, warc.WINDOW])
+@pytest.mark.parametrize("packed", [True, False])
+def test_nothing_makes_the_reader_fail(monkeypatch, packed, window):
+    monkeypatch.setattr(warc, "WINDOW", window)
+    r = random.Random(window)
+    raw = [warc.record(i, "http://x/é", b"page " * i, 7, i % 3 == 2) for i in range(5)]
+    whole = b"".join(warc.member(x) if packed else x for x in raw)
+    fields = [m.start() for m in re.finditer(rb"Length: ", whole)]
+    for k in range(2500):
+        data = bytearray(whole)
+        for _ in range(r.randint(1, 3)):
+            at = r.choice(fields) + 8 + r.randrange(3) if fields and r.random() < 0.3 else r.randrange(len(data))
+            if k % 3 == 0:
+                del data[at : at + r.randint(1, 40)]
+            elif at < len(data):
+                data[at] = r.choice([r.randrange(256), 0xB2, 0x39])
+        at = 0
+        for x in warc.salvage(bytes(data)):
+            assert x.offset == at and x.length > 0
+            at += x.length
+        assert at == len(data)
+
+
+def test_numbers_that_are_none_are_damage():
+    for bad in ("²", "-5", "1e3", "9" * 30, ""):
+        one = warc.record(1, "u", b"abc").replace(b"Content-Length: 3", f"Content-Length: {bad}".encode())
+        two = warc.record(2, "u", b"abc", 1, True).replace(b"HTTP/1.1 200 OK", f"HTTP/1.1 200 OK\r\nX: 1\r\nContent-Length: {bad}".encode())
+        two = two.replace(b"Content-Length: 3", b"X: 3")
+        for x in (one.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: " + bad.encode(), 2), two):
+            assert [type(y).__name__ for y in warc.salvage(x)][0] == "Gap"
+
+
+def test_search_is_linear_and_records_inside_damaged_ones_are_doubtful():
+    started = time.perf_counter()
+    assert [type(x).__name__ for x in warc.salvage(b"WARC/1.1\r\n" * 100_000)] == ["Gap"]
+    assert time.perf_counter() - started < 5
+    inner = warc.record(777, "http://inner", b"inner")
+    outer = warc.record(1, "http://outer", b"<p>" + inner + b"</p>" + b"x" * 100)
+    after = warc.record(2, "http://after", b"after")
+    # The payload is damaged, its length isn't: what follows is found, nothing inside is.
+    got = list(warc.salvage(outer.replace(b"<p>", b"<q>") + after))
+    assert [type(x).__name__ for x in got] == ["Gap", "Record"] and warc._page_id(got[1].headers["warc-record-id"]) == 2
+    # Bytes are missing: what is found inside the stated length is marked.
+    got = [x for x in warc.salvage(outer.replace(b"x" * 50, b"") + after) if isinstance(x, warc.Record)]
+    assert [(warc._page_id(x.headers["warc-record-id"]), x.doubtful) for x in got] == [(777, True), (2, False)]
+
+
+def test_archives_are_of_bounded_size_and_gaps_are_no_silence(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "u", f"{i} " * 400) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    archives = warc.write_archives(rows, _shared.shared_dir(spark), archive_bytes=5_000)
+    sizes = [r["n_bytes"] for r in archives.collect()]
+    assert len(sizes) > 3 and max(sizes) < 7_000 and archives.agg(F.sum("n_records")).first()[0] == 60
+    assert warc.read_archives(archives).count() == 60
+    path = archives.first()["path"]
+    fs, name = _shared.open_fs(path)
+    raw = bytearray(_shared.read_blob(path))
+    raw[len(raw) // 2] ^= 255
+    with open(name, "wb") as f:
+        f.write(bytes(raw))
+    seen = warc.read_archives(archives.select("path"))
+    assert seen.filter("gap IS NOT NULL").count() == 1 and seen.filter("gap IS NULL").count() == 59
+    with pytest.raises(Exception, match="valid records"):
+        warc.read_archives(archives).collect()
+    monkeypatch.setattr(_shared, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(_shared, "HOT_ROWS", 5)
+    many = spark.createDataFrame([(i, "u", "same" if i % 2 else f"{i % 40}") for i in range(60)], "page_id long, url string, html string")
+    got = by_id(warc.read_archives(warc.write_archives(many, _shared.shared_dir(spark))), "page_id")
+    assert len(got) == 60 and all(got[i]["refers_to"] == (59 if i != 59 else None) for i in range(1, 60, 2))
+    assert all(got[i]["refers_to"] == (i + 40 if i < 20 else None) for i in range(0, 60, 2))
+
+
 # --- 3 HTML ---------------------------------------------------------------------------------
 
 
