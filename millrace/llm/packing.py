@@ -4,16 +4,19 @@ Documents are encoded, cut into pieces of at most ``capacity`` ids, and packed i
 sequences.  Only the histogram of lengths (at most ``capacity`` numbers) reaches the
 driver: the configuration program - cover every length's count with as few sequence
 layouts as possible - is solved by multiplicative weights, layouts being priced by a
-knapsack dynamic program; its solution is rounded down, and what is left over is placed by
-best fit, largest first.  Pieces then take their places by rank within their length.
-
-Defined results: a null text is the empty text, so only its end id; null doc_id and
-repeated rows are packed like any other; an empty table gives no rows; other columns are
-ignored.
+knapsack dynamic program.  Its fullest layouts are rounded to whole numbers, those with the
+largest shares first, and the program is solved again for what is left, until some 95 % of the
+pieces have their places; the last few are placed by best fit, largest first.  Pieces then
+take their places by rank within their length.
+
+Defined results: a null text is the empty text, so only its end id; a text of any length is
+cut into pieces, none is dropped; null doc_id and repeated rows are packed like any other,
+each row by itself; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 
@@ -26,7 +29,9 @@ from millrace.llm import _shared as S
 CAPACITY = 2048
 #: Share of the remaining demand that a layout may take in one round.
 STEP = 0.05
-ROUNDS = 100
+ROUNDS = 40
+#: Times that the program is solved for what its rounded layouts have left over; share of pieces from which best fit takes the rest.
+PASSES, ENOUGH = 8, 0.95
 #: How fast a length's price falls as its demand is met.
 ETA = 0.02
 #: Over 1, so that of equally full layouts those of longer pieces are dearer, and short ones stay for the gaps.
@@ -130,24 +135,40 @@ def best_fit(counts: np.ndarray, capacity: int) -> Layouts:
     return [(layout, n) for own in spare.values() for layout, n in own.items()]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[Layouts, float]:
-    """Layouts with whole numbers that hold every piece, and the lower bound on their number."""
-    alone = int(counts[capacity]) if len(counts) > capacity else 0
-    rest = counts.copy()
-    rest[capacity:] = 0
-    fractional, bound = solve_program(rest, capacity, rounds)
-    rounded, left = [], rest.copy()
-    for layout, x in fractional.items():
+def rounded(fractional: dict[tuple[int, ...], float], left: np.ndarray, least: int) -> Layouts:
+    """Whole numbers of the fullest layouts, the largest shares first, as far as ``left`` has their pieces (it loses them) down to ``least``."""
+    out: Layouts = []
+    full = max(map(sum, fractional), default=0)
+    for layout, x in sorted(fractional.items(), key=lambda t: (-t[1], t[0])):
+        if sum(layout) < full:
+            continue
         own = Counter(layout)
-        n = min([int(x + 1e-6), *(int(left[m]) // k for m, k in own.items())])
+        n = min([max(1, round(x)), *(int(left[m]) // k for m, k in own.items())])
         if n:
-            rounded.append((layout, n))
+            out.append((layout, n))
             for m, k in own.items():
                 left[m] -= k * n
-    rounded += best_fit(left, capacity)
-    plain = best_fit(rest, capacity)
-    chosen = min(rounded, plain, key=lambda x: sum(n for _, n in x))
-    return ([((capacity,), alone)] if alone else []) + chosen, alone + bound
+            if left.sum() <= least:
+                break
+    return out
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[Layouts, float, float]:
+    """Layouts with whole numbers that hold every piece, the lower bound on their number, and the share of pieces that the program placed."""
+    alone = int(counts[capacity]) if len(counts) > capacity else 0
+    left = counts.copy()
+    left[capacity:] = 0
+    total, chosen, bound = int(left.sum()), [], 0.0
+    for k in range(PASSES):
+        fractional, least = solve_program(left, capacity, rounds)
+        bound = least if k == 0 else bound
+        new = rounded(fractional, left, int((1 - ENOUGH) * total))
+        chosen += new
+        if not new or left.sum() <= (1 - ENOUGH) * total:
+            break
+    share = 1 - left.sum() / total if total else 1.0
+    chosen += best_fit(left, capacity)
+    return ([((capacity,), alone)] if alone else []) + chosen, alone + bound, float(share)
 
 
 def places(layouts: Layouts) -> dict[int, tuple[np.ndarray, ...]]:
@@ -206,22 +227,24 @@ def pack(
     """Every piece with its sequence_id and offset (and its ids if asked for)."""
     spark = docs.sparkSession
     uri = S.shared_dir(spark)
-    cut = S.written(pieces(docs, tokenizer, spaced, end_id, capacity, with_ids), f"{uri}/pieces")
+    # With numbers of their own, so that repeated rows can be told apart and dealt to several tasks.
+    cut = S.written(pieces(docs, tokenizer, spaced, end_id, capacity, with_ids).withColumn("_row", F.monotonically_increasing_id()), f"{uri}/pieces")
     # At most `capacity` rows.
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         counts[size] = n
-    layouts, _ = plan(counts, capacity)
+    layouts, bound, share = plan(counts, capacity)
+    logging.getLogger(__name__).info("%d sequences, %.2f at least; the program placed %.3f of the cut pieces", sum(n for _, n in layouts), bound, share)
     where = places(layouts)
     # Rank within a length, in salted shares: a length that a third of all pieces have is no one task's.
     n = int(counts.sum())
     salts = max(32, 1 << max(0, (n // RANK_ROWS)).bit_length())
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
     shares = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     shares = shares.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "_salt").orderBy("_row")
     ranked = salted.withColumn("_rank", F.row_number().over(own))
     if salts * len(histogram) <= 200_000:  # rows of three numbers: some MB
         shares = F.broadcast(shares)
