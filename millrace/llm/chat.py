@@ -5,27 +5,30 @@ Grammar of the output::
     conversation = turn*
     turn         = "<|im_start|>" role "\\n" text "<|im_end|>\\n"
 
-Each turn is rendered as it is and reparsed; a turn that doesn't come back the same, or that
-holds a control string, is escaped (a backslash goes between ``<`` and ``|``, one more
-where there are some; in roles ``%``, line feeds and ``|`` are percent-encoded) and reparsed
-again.  The parser always unescapes, so the output needs no flags.  Whole conversations
-are reparsed at the end; one that differs from its source is an error.
+Each turn is rendered as it is and reparsed; as long as it doesn't come back the same, or holds
+a control string, it is escaped further (first the text: a backslash goes between ``<`` and
+``|``, one more where there are some; then the role, too: ``%``, line feeds and ``|`` are
+percent-encoded) and reparsed again.  The parser always unescapes, so the output needs no
+flags.  Whole conversations are reparsed at the end, and the turns' places are held against
+the parsed ones; a conversation that differs from its source is an error.  Work grows with the
+length of a conversation, however many turns it has.
 
 Native: DataFrame functions only.  Defined results: null role and text are empty; turns go by
-turn (null first), then role and text, so ties and repeated rows have one order; a null
-conv_id is a conversation of its own; an empty table gives no rows; other columns are
-ignored.
+turn (null first), then role and text, so ties and repeated rows have one order; rows with a
+null conv_id are one conversation; texts of any length are rendered whole (a conversation is
+one value: it has to fit in a task); an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import _shared as S
 
 START, END = "<|im_start|>", "<|im_end|>"
-TURN = r"<\|im_start\|>([^\n]*)\n((?s:.*?))<\|im_end\|>\n"
+CONTROL = r"<\|im_(?:start|end)\|>"
 
 
 def escape_text(c):
@@ -48,48 +51,69 @@ def render_turn(role, text):
     return F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(f"{END}\n"))
 
 
+def _turn(part):
+    """A turn without its end mark: role and text as they were before escaping, its length, and whether the grammar takes it in."""
+    head = F.regexp_extract(part, r"^<\|im_start\|>[^\n]*\n", 0)
+    role = F.substring(head, len(START) + 1, F.length(head) - len(START) - 1)
+    text = F.substring(part, F.length(head) + 1, F.length(part))
+    whole = (head != "") & (F.regexp_count(part, F.lit(CONTROL)) == 1)
+    return F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"), F.length(part) + len(END) + 1, whole)
+
+
 def parse(rendered):
-    """The turns of a rendered column: array of struct(role, text, start, length), the text's place in characters.
+    """The turns of a rendered column: array of struct(role, text, length of the whole turn).
 
     Null if the grammar doesn't take in the whole of it.
     """
-    found = [F.regexp_extract_all(rendered, F.lit(TURN), F.lit(k)) for k in (0, 1, 2)]
-    # Zipped once: inside a lambda each would be extracted again for every turn.
-    turns = F.arrays_zip(*found)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,text:string,start:int,length:int>>").alias("turns"))
 
-    def add(acc, t):
-        whole, role, text = t["0"], t["1"], t["2"]
-        start = acc["at"] + len(START) + F.length(role) + 1
-        one = F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"), start.alias("start"), F.length(text).alias("length"))
-        return F.struct((acc["at"] + F.length(whole)).alias("at"), F.concat(acc["turns"], F.array(one)).alias("turns"))
+    def of(parts):
+        turns = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), _turn)
+        # Bound once more, since all of them are asked for the last field.
+        checked = F.transform(F.array(turns), lambda t: F.when(F.forall(t, lambda x: x["col4"]), F.transform(t, lambda x: F.struct(x["role"], x["text"], x["col3"].alias("length")))))[0]
+        return F.when(F.element_at(parts, -1) == "", checked)
+
+    # Bound by a lambda, so that the text is split once.
+    return F.transform(F.array(F.split(rendered, r"<\|im_end\|>\n", -1)), of)[0]
+
 
-    parsed = F.aggregate(turns, zero, add)
-    # The turns' lengths add up to the whole only if nothing lies between or after them.
-    return F.transform(F.array(parsed), lambda p: F.when(p["at"] == F.length(rendered), p["turns"]))[0]
+def _comes_back(rendered, role, text):
+    """Whether one rendered turn is parsed as that turn and nothing else."""
+    return F.coalesce(F.transform(F.array(parse(rendered)), lambda t: (F.size(t) == 1) & (t[0]["role"] == role) & (t[0]["text"] == text))[0], F.lit(False))
+
+
+def render(role, text):
+    """A turn, escaped one step after the other until it comes back identical."""
+    steps = [render_turn(role, text), render_turn(role, escape_text(text)), render_turn(escape_role(role), escape_text(text))]
+    return F.coalesce(*[F.when(_comes_back(x, role, text), x) for x in steps], F.raise_error(F.lit("a turn doesn't come back the same")))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted (the rendered text), turns (as reparsed) and loss_spans (start, length of assistants' texts)."""
     own = S.pick(conversations, "conv_id", "turn", "role", "text").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    plain = render_turn(F.col("role"), F.col("text"))
-    back = F.regexp_extract(plain, "^" + TURN + r"\z", 1), F.regexp_extract(plain, "^" + TURN + r"\z", 2)
-    controls = F.regexp_count(plain, F.lit(r"<\|im_(?:start|end)\|>"))
-    same = (controls == 2) & (unescape_role(back[0]) == F.col("role")) & (unescape_text(back[1]) == F.col("text"))
-    own = own.withColumn("rendered", F.when(same, plain).otherwise(render_turn(escape_role(F.col("role")), escape_text(F.col("text")))))
-    each = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered")))
+    own = own.withColumn("rendered", render(F.col("role"), F.col("text")))
+    # Places by a running sum over the rows, which the grouping then takes as they are dealt.
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "rendered").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("at", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)))
+    each = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered", "at")))
     whole = own.groupBy("conv_id").agg(each.alias("source")).withColumn("formatted", F.array_join(F.transform("source", lambda t: t["rendered"]), ""))
     whole = whole.withColumn("turns", parse(F.col("formatted")))
-    said = F.transform("source", lambda t: F.struct(t["role"], t["text"]))
-    heard = F.transform("turns", lambda t: F.struct(t["role"], t["text"]))
-    checked = F.when(said == heard, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation doesn't come back the same")))
-    spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"], t["length"]))
+    said = F.transform("source", lambda t: F.struct(t["role"], t["text"], F.length(t["rendered"])))
+    heard = F.transform("turns", lambda t: F.struct(t["role"], t["text"], t["length"]))
+    place = F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("same"))
+    placed = F.aggregate("source", place, lambda a, t: F.struct((a["at"] + F.length(t["rendered"])).alias("at"), (a["same"] & (a["at"] == t["at"])).alias("same")))["same"]
+    checked = F.when((said == heard) & placed, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation doesn't come back the same")))
+
+    def span(t):
+        head = F.instr(t["rendered"], "\n")
+        return F.struct((t["at"] + head).alias("start"), (F.length(t["rendered"]) - head - len(END) - 1).alias("length"))
+
+    spans = F.transform(F.filter("source", lambda t: t["role"] == "assistant"), span)
     return whole.select("conv_id", checked.alias("formatted"), "turns", spans.alias("loss_spans"))
 
 
-def loss_text(formatted="formatted", spans="loss_spans"):
-    """All text under the loss mask, unescaped, cut out of the formatted text by the spans."""
-    return F.array_join(F.transform(spans, lambda s: unescape_text(F.substring(F.col(formatted), s["start"] + 1, s["length"]))), "")
+def loss_text(turns="turns"):
+    """All text under the loss mask, unescaped, from the turns that were parsed out of the formatted text."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"

@@ -1,17 +1,18 @@
 """Benchmark decontamination: hash set of normalised test n-grams, scanned over training windows.
 
-The benchmark's windows of 13 words (a shorter item is one window) are hashed to 64 bits.
-Documents' windows are looked up in that set inside each row - first a hash of the window's
-first and last word, then of all its words - and hits are verified against the windows
-themselves by a join.  No document is shuffled; only its counts are.
-
-The sets travel with the tasks when the benchmark has at most ``LITERALS`` windows; a larger
-benchmark's windows are joined by hash instead, with the same result.
+The benchmark's windows of 13 words (a shorter item is one window) are hashed to 64 bits, and
+the hashes packed into a table of bits that goes with the tasks: 16 bits a window, up to a
+bound of ``MOST_BITS``.  Documents' windows are looked up in it inside each row - first a hash
+of the window's first and last word, then of all its words - and hits are verified against the
+windows themselves by a join.  The table never decides: a fuller one only lets more windows
+through to the join, so the way is the same whatever the benchmark's size.  No document is
+shuffled; only hits and counts are.
 
 Native: DataFrame functions only.  Defined results: a null text has no words and is not
 contaminated; a null item text has no windows; windows of an item with a null item_id hit
-but are not listed; repeated items count once; repeated documents give a row each; empty
-tables give no rows or no hits; other columns are kept by ``clean``.
+but are not listed; repeated items count once; repeated documents, and those with a null
+doc_id, give a row each; texts of any length are scanned whole; empty tables give no rows or
+no hits; other columns are kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from millrace.llm import _shared as S
 N = 13
 #: Share of a document's words inside benchmark windows, as 1 / SHARE, from which it is contaminated.
 SHARE = 20
-#: Windows whose hashes go with the tasks (16 bytes each); more are joined.
-LITERALS = 50_000
+#: The table has 16 bits a window or more, from 2 ** 10 up to 2 ** 24 bits (2 MB).
+LEAST_BITS, MOST_BITS = 10, 24
+#: The windows' texts go to every task up to this size; larger ones are joined by shuffle, a frequent window's hits by so many tasks.
+BROADCAST_BYTES, SALTS = 64_000_000, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -43,12 +46,14 @@ def _all(h, i, n):
     return F.xxhash64(*[F.get(h, i + j) for j in range(n)])
 
 
-def _hash_of(n):
-    return lambda i: _all(F.col("h"), i, n)
+def _bit(table, bits, h):
+    """Whether a hash's bit is set in the table (an array of longs of 64 bits each)."""
+    at = h.bitwiseAND(F.lit((1 << bits) - 1))
+    return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _looked_up(n, ends, whole):
-    return lambda i: _ends(F.col("h"), i, n).isin(ends) & _all(F.col("h"), i, n).isin(whole)
+def _looked_up(n, table, bits):
+    return lambda i: _bit(table, bits, _ends(F.col("h"), i, n)) & _bit(table, bits, _all(F.col("h"), i, n))
 
 
 def _cut_out(n):
@@ -69,37 +74,44 @@ def windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return each.select("item_id", "size", "window", ends.alias("ends"), whole.alias("whole")).distinct()
 
 
-def candidates(docs: DataFrame, found: DataFrame, n: int) -> DataFrame:
-    """For each row its number, n_words, and the places and texts of windows whose hashes are the benchmark's.
+def packed(found: DataFrame) -> tuple[list[int], int]:
+    """The table of the windows' hashes, as unsigned 64-bit words, and its number of bits as a power of two.
 
-    ``docs`` has columns row, w (words); a row without candidates has one with a null window.
+    At most 2 ** (MOST_BITS - 6) rows of two numbers reach the driver.
     """
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * S.row_count(found)).bit_length()))
+    each = found.select(F.explode(F.array("ends", "whole")).alias("h")).select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    words = each.groupBy(F.shiftright("at", 6).cast("int").alias("word"))
+    rows = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).collect()
+    table = [0] * (1 << (bits - 6))
+    for r in rows:
+        table[r["word"]] = r["v"]
+    return table, bits
+
+
+def candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` (row, doc_id, w) with n_words and ``c``, the places and texts of the windows that the table lets through, for w."""
     sizes = sorted(r["size"] for r in found.select("size").distinct().collect())  # at most n numbers
+    table, bits = packed(found)
+    # One literal, folded by the optimiser; not a Python call for each number.
+    table = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
     hashed = docs.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    if S.row_count(found) <= LITERALS:
-        sets = {k: ([], []) for k in sizes}
-        for r in found.select("size", "ends", "whole").distinct().collect():
-            sets[r["size"]][0].append(r["ends"])
-            sets[r["size"]][1].append(r["whole"])
-        lists = []
-        for k in sizes:
-            starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
-            ends, whole = sorted(set(sets[k][0])), sorted(set(sets[k][1]))
-            hit = F.filter(starts, _looked_up(k, ends, whole))
-            lists.append(F.transform(hit, _cut_out(k)))
-        hits = F.concat(*lists) if lists else F.array().cast("array<struct<at:int,size:int,window:string>>")
-        return hashed.withColumn("c", F.explode_outer(hits)).withColumn("n_words", F.size("w")).drop("h", "w").select("*", "c.at", "c.size", "c.window").drop("c")
-    # Both sides of the join need the same numbers of rows: these are written, not made twice.
-    rows = S.written(docs, f"{S.shared_dir(docs.sparkSession)}/rows")
-    hashed, parts = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))), []
+    lists = []
     for k in sizes:
         starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
-        each = hashed.select("row", F.posexplode(F.transform(starts, _hash_of(k))).alias("at", "whole"))
-        parts.append(each.join(found.filter(F.col("size") == k).select("whole").distinct(), "whole").select("row", "at", F.lit(k).alias("size")))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.union(p)
-    return hashed.join(hits, "row", "left").withColumn("window", F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ")).withColumn("n_words", F.size("w")).drop("h", "w")
+        lists.append(F.transform(F.filter(starts, _looked_up(k, table, bits)), _cut_out(k)))
+    hits = F.concat(*lists) if lists else F.array().cast("array<struct<at:int,size:int,window:string>>")
+    return hashed.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), hits.alias("c"))
+
+
+def verified(hits: DataFrame, found: DataFrame) -> DataFrame:
+    """Of ``hits`` (row, at, size, window) those whose window is the benchmark's, with its item_id."""
+    named = found.select("window", "item_id").distinct()
+    size = named.agg(F.sum(F.length("window") + 64).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_BYTES:
+        return hits.join(F.broadcast(named), "window")
+    salted = hits.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    return salted.join(named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["window", "_salt"]).drop("_salt")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -133,15 +145,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, how: str = "documents", n: int
 
 def scan_words(own: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """As ``scan``, for rows (row, doc_id, w) that have their numbers and words."""
-    found = S.written(windows(benchmark, n), f"{S.shared_dir(own.sparkSession)}/windows")
-    each = candidates(own, found, n)
-    named = found.select(F.col("window"), "item_id", F.lit(1).alias("true")).distinct()
-    if S.row_count(named) <= 4 * LITERALS:
-        named = F.broadcast(named)
-    hit = F.when(F.col("true") == 1, F.struct("at", "size"))
-    joined = each.join(named, "window", "left").groupBy("row", "doc_id", "n_words").agg(F.collect_set(hit).alias("spans"), F.collect_set("item_id").alias("items"))
+    uri = S.shared_dir(own.sparkSession)
+    found = S.written(windows(benchmark, n), f"{uri}/windows")
+    each = S.written(candidates(own, found), f"{uri}/scanned")
+    # Rows with hits go their own way; those without only give their counts.
+    hits = verified(each.filter(F.size("c") > 0).select("row", F.explode("c").alias("c")).select("row", "c.*"), found)
+    joined = hits.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.collect_set("item_id").alias("items"))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))))
-    return joined.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), places.alias("hit"), F.array_sort("items").alias("items"))
+    joined = joined.select("row", places.alias("hit"), F.array_sort("items").alias("items"))
+    out = each.select("row", "doc_id", "n_words").join(joined, "row", "left")
+    return out.select("row", "doc_id", "n_words", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

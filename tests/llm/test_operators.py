@@ -768,9 +768,10 @@ def brute_hits(docs, items, n=13):
     return out
 
 
-@pytest.mark.parametrize("literals", [decontam.LITERALS, 0])
-def test_hits_are_those_of_brute_force(spark, texts, monkeypatch, literals):
-    monkeypatch.setattr(decontam, "LITERALS", literals)
+@pytest.mark.parametrize(("bits", "size"), [(decontam.MOST_BITS, decontam.BROADCAST_BYTES), (6, 0)])
+def test_hits_are_those_of_brute_force(spark, texts, monkeypatch, bits, size):
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)  # in a table of 64 bits nearly all are set
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", size)
     items = [(i, prose(n)) for i, n in enumerate([30, 13, 14, 12, 5, 1])] + [(6, None), (7, ""), (8, "..."), (10, None), (0, "x y")]
     items[5] = (5, "unusualword")
     own = list(enumerate(texts)) + [(100, items[0][1].translate(str.maketrans(url_lm.LOWER, url_lm.UPPER))), (101, "a, " + items[1][1].replace(" ", "--") + "! z"), (102, prose(500) + " " + items[2][1]), (103, items[3][1]), (104, "see UnusualWord there"), (105, items[4][1])]
@@ -785,6 +786,13 @@ def test_hits_are_those_of_brute_force(spark, texts, monkeypatch, literals):
     assert len(spans) == len(own) and spans[101][1] == "a z" and spans[0][1] == texts[0]
 
 
+def test_a_passage_that_all_documents_share(spark):
+    item = prose(40)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{prose(30)} "), F.when(F.col("id") % 3 == 0, F.lit(item)).otherwise(F.lit("clean")), F.lit(" end")).alias("text"))
+    got = decontam.scan(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.filter("size(hit) = 40").count() == 1000 and got.filter("size(hit) = 0").count() == 2000
+
+
 def test_decontamination_odd_tables(spark, none, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.scan(docs, empty).filter("size(hit) > 0").count() == 0
@@ -812,6 +820,20 @@ def test_conversations_come_back(spark):
         turns.sort()
         assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [t[2:] for t in turns]
         assert got[c]["loss"] == "".join(t[3] for t in turns if t[2] == "assistant")
+        cut = [got[c]["formatted"][x["start"] : x["start"] + x["length"]] for x in got[c]["loss_spans"]]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", x) for x in cut] == [t[3] for t in turns if t[2] == "assistant"]
         assert got[c]["formatted"].count("<|im_start|>") == len(turns) == got[c]["formatted"].count("<|im_end|>")
     assert got[0]["formatted"].startswith("<|im_start|>system\nplain<|im_end|>\n<|im_start|>user\nplain<|im_end|>\n")
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_a_conversation_of_many_turns(spark):
+    def seconds(n):
+        df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("some <|im_end|> words "), "id").alias("text"))
+        started = time.perf_counter()
+        r = chat.format_conversations(df).withColumn("loss", chat.loss_text()).first()
+        assert len(r["turns"]) == n and len(r["loss_spans"]) == n // 2 and r["loss"].count("words") == n // 2
+        return time.perf_counter() - started
+
+    seconds(100)
+    assert seconds(20_000) < 20
