@@ -177,16 +177,17 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], dict[str, str], byte
 
 def _unpacked(data: bytes, at: int) -> tuple[bytes, int]:
     """A gzip member's content and its end."""
-    unpress = zlib.decompressobj(31)
+    # Few bytes at first, then more: what is read beyond the member's end is copied for nothing.
+    unpress, step, place = zlib.decompressobj(31), 256, at + 256
     try:
-        parts = [unpress.decompress(data[at : at + WINDOW], 10)]
+        parts = [unpress.decompress(data[at:place], 10)]
         if len(parts[0]) == 10 and not VERSION.match(parts[0]):
             raise Damaged("a member without a version line")
         parts.append(unpress.decompress(unpress.unconsumed_tail))
-        place = at + WINDOW
         while not unpress.eof and place < len(data):
-            parts.append(unpress.decompress(data[place : place + WINDOW]))
-            place += WINDOW
+            step = min(4 * step, WINDOW)
+            parts.append(unpress.decompress(data[place : place + step]))
+            place += step
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
     if not unpress.eof:
