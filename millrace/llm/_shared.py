@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import logging
 import os
 import re
 import tempfile
@@ -13,8 +14,8 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words after which a worker's memory of encoded words becomes its old one, and a new one starts.
-MEMO_WORDS = 200_000
+#: Words that a worker remembers with their ids, some 50 bytes each; beyond, those that weren't met lately are forgotten.
+MEMO_WORDS = 400_000
 #: White space other than single spaces and line feeds between two other characters.
 ODD = "[\\t\\x01\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$"
 
@@ -26,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a session without that setting (tests, a single machine) gets a temporary
-    folder of its own, and is told of it.
+    Only a local session without that setting (tests, a single machine) gets a temporary
+    folder of its own, which is logged.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -35,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local") or "cluster" in context.master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        logging.getLogger(__name__).warning("spark.checkpoint.dir is unset: intermediate tables go to %s", base)
         context.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}" if base.startswith("/") else base
@@ -86,6 +88,11 @@ def written(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size from its files' sizes, without reading it; at most 10 TB."""
+    return min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()), 10_000_000_000_000)
+
+
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
 
@@ -96,14 +103,14 @@ BROADCAST_KEYS = 500_000
 HOT_ROWS = 100_000
 
 
-def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int, keep: bool = False) -> DataFrame:
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int, keep: bool = False, few: int | None = None) -> DataFrame:
     """``rows`` joined with ``keys``, which has each key once and in column ``n`` its number of rows, ``total`` at most in all.
 
     Few keys go to every task.  Of many the hot ones do, whose number has a bound, and the
     others are joined by shuffle, where no key has more than that share of the rows.  With
     ``keep`` every row stays (a left join).
     """
-    if row_count(keys) <= BROADCAST_KEYS:
+    if row_count(keys) <= (BROADCAST_KEYS if few is None else few):
         return rows.join(F.broadcast(keys.drop(n)), on, "left" if keep else "inner")
     hot = keys.filter(F.col(n) >= max(HOT_ROWS, total // 100_000)).drop(n)
     cold = keys.filter(F.col(n) < max(HOT_ROWS, total // 100_000)).drop(n)
@@ -170,8 +177,7 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self._start()
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # What goes between words that share a text: it is one token, and in no word.
         self.gap = "\n" if spaced else " \x01 "
@@ -182,20 +188,32 @@ class WordMemo:
 
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words without white space; many words share a text, with a gap after each."""
+    def _start(self) -> None:
+        """An empty memory: words, their ids in a row, where each word's start, how many they are, and whether it was met lately."""
         import numpy as np
+        import pyarrow as pa
 
-        gap, out = self.gap, []
-        parts = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([gap.join(p) + gap for p in parts], add_special_tokens=False)):
-            ids = np.asarray(e.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.gap_id)
-            if len(ends) != len(part):
-                raise ValueError("a word holds the gap")
-            flat, at = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
-            out += [flat[i : j - 4] for i, j in zip(at, at[1:])]
-        return out
+        first = ["\n"] if self.spaced else []
+        ids = np.frombuffer(self._encode(first)[0], "<u4") if first else np.zeros(0, "<u4")
+        self.words, self.flat = pa.array(first, pa.large_string()), ids
+        self.lengths = np.array([len(ids)] if first else [], np.int64)
+        self.met = np.ones(len(first), bool)
+
+    def _encode_words(self, words: list[str]):
+        """The ids of words without white space in a row, and their numbers; many words share a text, with a gap after each."""
+        import numpy as np
+
+        gap, flat, lengths = self.gap, [], []
+        for at in range(0, len(words), 20_000):
+            parts = [words[i : i + 1000] for i in range(at, min(at + 20_000, len(words)), 1000)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([gap.join(p) + gap for p in parts], add_special_tokens=False)):
+                ids = np.asarray(e.ids, dtype="<u4")
+                ends = np.flatnonzero(ids == self.gap_id)
+                if len(ends) != len(part):
+                    raise ValueError("a word holds the gap")
+                flat.append(np.delete(ids, ends))
+                lengths.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate(flat), np.concatenate(lengths)
 
     def __call__(self, texts) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text of a list or Arrow array; null is the empty text."""
@@ -222,37 +240,38 @@ class WordMemo:
         else:
             split = pc.split_pattern(pc.replace_substring(own, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        at, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(self._of(words).__getitem__, words))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        at = self._of(coded.dictionary)[coded.indices.to_numpy()]
+        starts = np.cumsum(self.lengths) - self.lengths
         # Each word's ids in a row, without a Python object a word.
-        sizes = lengths[at]
+        sizes = self.lengths[at]
         ends = np.cumsum(sizes)
-        placed = flat[np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        placed = self.flat[np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
         edges = np.r_[0, ends][np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
         for i, a, b in zip(rows.tolist(), edges, edges[1:]):
             out[i] = placed[a:b].tobytes()
         return out
 
-    def _of(self, words: list[str]) -> dict[str, bytes]:
-        """The memory, with all of the words in it; a word's key starts with what stands before it."""
-        if len(self.known) > MEMO_WORDS:  # what isn't met again before the next time is forgotten then
-            self.known, self.before = {}, self.known
-        known, before, new = self.known, self.before, []
-        if self.spaced and "\n" not in known:
-            known["\n"] = self._encode(["\n"])[0]
-        for w in words:
-            if w not in known:
-                ids = before.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            known.update(zip(part, self._encode_words(part)))
-        return known
+    def _of(self, words):
+        """The places of the words (an Arrow array) in the memory, which learns those it hasn't; a word starts with what stands before it."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.words) > MEMO_WORDS:
+            keep = self.met.copy()
+            self.flat = self.flat[np.repeat(keep, self.lengths)]
+            self.words, self.lengths = self.words.filter(pa.array(keep)), self.lengths[keep]
+            self.met = np.zeros(len(self.words), bool)
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(found))
+        at, n = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64), len(self.words)
+        if len(new):
+            flat, lengths = self._encode_words(new.to_pylist())
+            self.flat, self.lengths = np.r_[self.flat, flat], np.r_[self.lengths, lengths]
+            self.words, self.met = pa.concat_arrays([self.words, new]), np.r_[self.met, np.zeros(len(new), bool)]
+            at[at < 0] = n + np.arange(len(new))
+        self.met[at[at < n]] = True
+        return at
 
 
 _memos: dict[tuple[str, bool], WordMemo] = {}
