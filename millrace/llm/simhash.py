@@ -16,10 +16,15 @@ With 64 bits every pair within the radius is found: the sum of the differences o
 counts never exceeds the Hamming distance.  Only exact fingerprints' representatives are
 compared, so copies cost nothing.
 
+Hot keys: copies are one node, and rows of a key with many copies get its class by a broadcast of
+the hot keys alone; in contraction, where many nodes may point at one root, the joins' left
+sides are written tables that Spark's adaptive execution splits when one key is large.
+
 Defined results: null and empty texts, and those without words, have fingerprint zero and
-are linked like any other; a null doc_id never names a component unless all its members'
-ids are null (then the component is null); repeated rows are one node and give a row each;
-an empty table gives no rows; other columns are ignored.
+are linked like any other; texts of any length give all their shingles; a null doc_id never
+names a component unless all its members' ids are null (then the component is null); a
+component's tie of equal smallest ids is one id; repeated rows are one node and give a row
+each; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,6 +59,8 @@ TILES = 200
 LEAST_TILE, LARGEST_TILE = 1_024, 65_536
 #: From this size on, tiles are compared cell by cell.
 CELLS_FROM = 4_096
+#: Keys with their classes go to every task up to this number.
+FEW_KEYS = 50_000
 #: Shingles in the sets of a tile with sets, about, and those looked up at once.
 TILE_SHINGLES, LOOKED_UP = 1_000_000, 500_000
 
@@ -464,15 +471,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
     exact = width > 1 and not repeats
     marked = S.written(fingerprints(docs, words, seed, width, repeats, f"{uri}/shingles" if exact else None), f"{uri}/fingerprints")
     stored = [F.min(F.struct("path", "at")).alias("stored")] if exact else []
-    distinct = S.written(marked.groupBy("key").agg(F.any_value("fps").alias("fps"), F.any_value("size").alias("size"), F.min("doc_id").alias("least"), *stored), f"{uri}/distinct")
+    distinct = S.written(marked.groupBy("key").agg(F.any_value("fps").alias("fps"), F.any_value("size").alias("size"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *stored), f"{uri}/distinct")
     edges = links(distinct.select("key", "size", "fps"), radius, uri, S.row_count(distinct), width)
     if exact:
         edges = similar_sets(distinct, edges, radius, uri, width)
     classes = components(edges, uri).select(F.col("node").alias("key"), "root")
-    rooted = distinct.select("key", "least").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = distinct.select("key", "least", "n").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = S.written(rooted.join(least, "root").select("key", "component_id"), f"{uri}/classes")
-    return marked.join(of, "key").select("doc_id", F.col("fps")[0].alias("fp"), "component_id")
+    of = S.written(rooted.join(least, "root").select("key", "component_id", "n"), f"{uri}/classes")
+    # Copies share a key: those of a hot one (the empty text, say) stay where they are.
+    return S.join_keys(marked, of, ["key"], "n", S.row_count(marked), few=FEW_KEYS).select("doc_id", F.col("fps")[0].alias("fp"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

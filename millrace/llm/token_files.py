@@ -10,8 +10,9 @@ bytes).  The footer holds the chunk index (offset, ids, plane sizes, crc32) and
 documents' ids and lengths, so any range of ids can be read by decoding only its chunks.
 
 Defined results: a null text is the empty text (only the end id); null ``doc_id`` come
-first; repeated rows are written once each; an empty table gives no rows; other columns
-are ignored.
+first; rows of one ``doc_id`` go by a hash of their texts; repeated rows are written once each,
+and may be in several files; a text of any length is encoded whole; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from millrace.llm import _shared as S
 MAGIC = b"MRTOKEN1"
 #: Ids in a chunk: 256 KB before compression.
 CHUNK_IDS = 65_536
+#: Bytes of input to a file, about, as Spark estimates them; there are as many files as shuffle partitions at least.
+FILE_BYTES = 256_000_000
 
 MANIFEST = "part int, path string, n_docs long, n_ids long, n_bytes long"
 
@@ -161,12 +164,13 @@ def write_token_files(
 ) -> DataFrame:
     """Writes ``docs`` (doc_id, text) below ``uri``; returns the committed manifest with each file's first id's place.
 
-    Documents are dealt by ranges of ``doc_id``: equal shares at any size, one shuffle of
-    the texts.  A task names its file by a fresh uuid; only files in the manifest, which
+    Documents are dealt by ranges of ``doc_id`` (then a hash of the text, then the row's place,
+    so that no id or copy is one task's): equal shares at any size, one shuffle of the texts.  A task names its file by a fresh uuid; only files in the manifest, which
     Spark commits as a table, count, so repeated attempts leave nothing that is read.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = S.pick(docs, "doc_id", "text")
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), S.estimated_bytes(docs) // FILE_BYTES)
 
     def write(batches):
         import pyarrow as pa
@@ -189,7 +193,8 @@ def write_token_files(
         S.write_blob(name, file_chunks(documents(), planes, chunk_ids, totals))
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], **{k: pa.array([v], pa.int64()) for k, v in totals.items()}})
 
-    rows = S.pick(docs, "doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    rows = order.repartitionByRange(files, "doc_id", "_h", "_row").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     manifest = S.written(rows.mapInArrow(write, MANIFEST), f"{uri}/manifest")
     # One row a file: the running sum is over as many rows as there are files.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

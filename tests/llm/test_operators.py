@@ -99,7 +99,12 @@ def test_token_files_odd_tables(spark, none):
     rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     m = token_files.write_token_files(clashing(rows), _shared.shared_dir(spark), path)
     got = token_files.read_token_files(m).orderBy("start").collect()
-    assert [r["doc_id"] for r in got] == [None, None, 1, 1] and [r["start"] for r in got] == [0, 1, 4, 7]
+    assert [r["doc_id"] for r in got] == [None, None, 1, 1] and got[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:])) and sorted(r["n_tokens"] for r in got) == [1, 3, 3, 3]
+    equal = spark.range(2000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    m = token_files.write_token_files(equal, _shared.shared_dir(spark), path, files=8)
+    assert m.count() == 8 and m.agg(F.max("n_docs")).first()[0] < 500  # equal rows are several tasks'
+    assert sorted(r["start"] for r in token_files.read_token_files(m).collect()) == list(range(0, 6000, 3))
 
 
 def test_damaged_chunk_is_noticed(spark, docs):
@@ -596,6 +601,17 @@ def test_near_duplicates_match_brute_force(docs, texts, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_hot_copies_keep_their_class(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW_KEYS", 0)
+    monkeypatch.setattr(_shared, "HOT_ROWS", 10)
+    texts = [prose(40) for _ in range(30)]
+    rows = [(i, "" if i % 3 == 0 else texts[i % 30] if i % 3 == 1 else f"{texts[0]} {i}") for i in range(300)]
+    got = by_id(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    want = brute_components(sorted(fps.items()), lambda x, y: bin(x ^ y).count("1") <= 3)
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
 @pytest.mark.parametrize("cells_from", [0, 1 << 30])
 def test_tiles_lose_no_link(monkeypatch, cells_from):
     monkeypatch.setattr(simhash, "CELLS_FROM", cells_from)
@@ -739,6 +755,16 @@ def test_url_model_separates_held_out_classes(spark):
     got = by_id(url_lm.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(4)), "page_id")
     right = sum(got[i]["verdict"] == ("allow" if i % 2 else "block") for i in range(400, 600))
     assert right >= 190
+    fold = [(r[0], hashlib.md5(r[1].encode()).hexdigest()[0] in url_lm.HELD_OUT) for r in rows if r[0] < 400]
+    assert 60 < sum(held for _, held in fold) < 140
+    seen = []
+    real = url_lm.model
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(url_lm, "model", lambda judged: seen.append(judged.filter("label IS NOT NULL").count()) or real(judged))
+        url_lm.judge(spark.createDataFrame(rows, "page_id long, url string")).count()
+    assert seen == [sum(not held for _, held in fold)]  # what calibrates doesn't train
+    long = spark.createDataFrame([(1, "http://a.org/" + "gardenriver" * 20_000), *rows[:400]], "page_id long, url string")
+    assert len(by_id(url_lm.judge(long), "page_id")) == 400
     one = spark.createDataFrame([(1, "http://a.org/"), (2, "http://b.com/")], "page_id long, url string")
     assert {r["verdict"] for r in url_lm.judge(one).collect()} == {"allow"}
 
