@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that algorithms with an n x n matrix, or an order-dependent pass, may bring to one place.
 MAX_ROWS = 5_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    A local session without that setting (tests, a single machine) gets a temporary folder; on a cluster it is an error.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local") or "cluster" in context.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
+    return base
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder: later jobs read the same rows whatever is lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 class NotFittedError(RuntimeError):
     """The estimator is used before ``fit``."""
 
@@ -119,6 +142,14 @@ class Predictor(Estimator):
     def predict(self, df: DataFrame, features: Any = None, out: str = "prediction") -> DataFrame:
         raise NotImplementedError
 
+    def fit_sparse(self, df: DataFrame, targets: DataFrame, width: int, row: str = "row_id", feature: str = "feature_idx", value: str = "value", label: str = "y"):
+        """Long-form rows (absent = 0) and a (row, label) table with a row for every sample, gathered into arrays."""
+        return self.fit(dense_rows(df, targets, width, row, feature, value), "_x", label)
+
+    def predict_sparse(self, df: DataFrame, rows: DataFrame, row: str = "row_id", feature: str = "feature_idx", value: str = "value", out: str = "prediction") -> DataFrame:
+        """``rows`` (a row for every sample) with the prediction from their long-form features."""
+        return self.predict(dense_rows(df, rows, self.width, row, feature, value), "_x", out).drop("_x")
+
     def score(self, df: DataFrame, label: str | None = None) -> float:
         from millrace.functions import metrics
 
@@ -158,6 +189,12 @@ def densify(df: DataFrame, n_features: int, row: str = "row_id", feature: str =
     return df.groupBy(row).agg(pairs.alias("m")).select(row, F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
 
 
+def dense_rows(df: DataFrame, rows: DataFrame, width: int, row: str = "row_id", feature: str = "feature_idx", value: str = "value") -> DataFrame:
+    """``rows`` with column ``_x``, the array of a row's long-form features; rows that store none are all zeros."""
+    dense = densify(df, width, row, feature, value).withColumnRenamed("x", "_x")
+    return rows.join(dense, row, "left").withColumn("_x", F.coalesce("_x", F.array_repeat(F.lit(0.0), width)))
+
+
 def names(features: Any, n: int) -> list[str]:
     return [f"{features}_{i}" for i in range(n)] if isinstance(features, str) else list(features)
 

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.core import settled
+
 BLOCK = 4_096
 #: Numbers (8 bytes each) that may go to every task.
 HELD = 8_000_000
@@ -141,20 +143,13 @@ def cosine(index: Index, df: DataFrame, cols: list[Column], id_col: str) -> Data
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (smallest node reachable) of every node with an edge (a, b); rounds are checkpointed."""
-    sc = edges.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")):
-        import tempfile
-
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct().checkpoint()
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")).checkpoint()
+    both = settled(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct())
+    label = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
         to = label.select(F.col("node").alias("b"), F.col("root").alias("seen"))
         near = both.join(to, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        new = label.join(near, "node").join(jump, "root", "left").select("node", "root", F.least("root", "seen", F.coalesce("higher", "root")).alias("now")).checkpoint()
+        new = settled(label.join(near, "node").join(jump, "root", "left").select("node", "root", F.least("root", "seen", F.coalesce("higher", "root")).alias("now")))
         changed = new.filter("now <> root").limit(1).count()
         label = new.select("node", F.col("now").alias("root"))
         if not changed:

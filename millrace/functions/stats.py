@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.core import settled
+
 #: Up to this many columns products are summed by column expressions, beyond in blocks per partition.
 WIDE = 16
 
@@ -135,8 +137,30 @@ def sparse_moments(df: DataFrame, n_rows: int, width: int, row: str = "row_id",
 
 
 def quantiles(df: DataFrame, cols: Sequence[Column], shares: Sequence[float]) -> np.ndarray:
-    """Exact linear-interpolated quantiles, one row a column."""
-    row = df.agg(*[F.percentile(c, F.array(*[F.lit(float(q)) for q in shares])).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-    if row is None or row[0] is None:
+    """Exact linear-interpolated quantiles, one row a column (nulls don't count).
+
+    Values are counted and ordered in ranges; the values at the few ranks that are asked for
+    are looked up in theirs.  No buffer holds all values of a column.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = df.select(F.posexplode(F.array(*cols)).alias("i", "v")).filter("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    parts = settled(each.repartitionByRange(ranges, "i", "v").withColumn("part", F.spark_partition_id()))
+    sums = sorted(tuple(r) for r in parts.groupBy("i", "part").agg(F.sum("n").alias("n")).collect())  # a number for each range and column
+    total = np.zeros(len(cols), np.int64)
+    firsts = []
+    for i, part, n in sums:
+        firsts.append((i, part, int(total[i]), int(total[i]) + n))
+        total[i] += n
+    if not total.all():
         raise ValueError("empty input")
-    return np.array([list(q) for q in row], float)
+    places = np.outer(total - 1, np.asarray(shares, float))
+    ranks = sorted({(i, int(r)) for i in range(len(cols)) for x in places[i] for r in (np.floor(x), np.ceil(x))})
+    asked = [(i, part, first, r) for i, part, first, end in firsts for k, r in ranks if k == i and first <= r < end]
+    wanted = spark.createDataFrame(asked, "i int, part int, first long, rank long")
+    own = Window.partitionBy("i", "part").orderBy("v")
+    run = parts.join(F.broadcast(wanted.select("i", "part").distinct()), ["i", "part"], "left_semi").withColumn("end", F.sum("n").over(own))
+    at = (F.col("first") + F.col("end") > F.col("rank")) & (F.col("first") + F.col("end") - F.col("n") <= F.col("rank"))
+    found = {(r["i"], r["rank"]): r["v"] for r in run.join(F.broadcast(wanted), ["i", "part"]).filter(at).select("i", "rank", "v").collect()}
+    low, high = (np.array([[found[i, int(f(x))] for x in places[i]] for i in range(len(cols))], float) for f in (np.floor, np.ceil))
+    return low + (high - low) * (places - np.floor(places))

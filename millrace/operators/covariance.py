@@ -133,7 +133,11 @@ def _harmonic_path(n: float) -> float:
 
 
 class IsolationForest(Estimator):
-    """Random isolation trees over hash samples; each tree is grown in a task of its own."""
+    """Random isolation trees over samples of rows; each tree is grown in a task of its own.
+
+    A row's draws are hashes of the tree's number and its id (without an id column its place), so equal rows are drawn
+    one by one.  A tree takes the ``max_samples`` smallest.
+    """
 
     defaults = {"n_estimators": 100, "max_samples": 256, "contamination": 0.1, "max_depth": -1, "random_state": 42}
 
@@ -144,12 +148,15 @@ class IsolationForest(Estimator):
             raise ValueError(f"max_samples is {self.max_samples} but there are {n} rows")
         size, seed, trees = self.max_samples, self.random_state, self.n_estimators
         depth = self.max_depth if self.max_depth > 0 else max(1, math.ceil(math.log2(size)))
-        x = F.array(*cols)
-        # Twice the rows that a tree needs, by a hash of its number and the row; the tree takes the first.
+        x, row = F.array(*cols), F.col(id_col) if id_col else F.monotonically_increasing_id()
+        # Twice the rows that a tree needs, by a hash of its number and the row; only draws become rows.
         share = min(1.0, 2.0 * size / n + 20 / n)
-        each = df.select(x.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        u = F.pmod(F.xxhash64(F.lit(seed), "tree", "x"), F.lit(1 << 40)) / float(1 << 40)
-        picked = each.withColumn("u", u).filter(F.col("u") < share)
+
+        def draw(t):
+            return F.struct(t.alias("tree"), (F.pmod(F.xxhash64(F.lit(seed), t, F.col("row")), F.lit(1 << 40)) / float(1 << 40)).alias("u"))
+
+        drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), draw), lambda d: d["u"] < share)
+        picked = df.select(x.alias("x"), row.alias("row")).select("x", F.explode(drawn).alias("d")).select("x", "d.tree", "d.u")
 
         def grow(pdf):
             import pandas as pd

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import stats
 from millrace.functions.core import Transformer, names
 
 
@@ -23,8 +24,7 @@ class SimpleImputer(Transformer):
     def fit(self, df, features, label=None):
         cols = self._start(df, features)
         use = [F.when(~missing(c, self.missing_values), c) for c in cols]
-        f = {"mean": F.avg, "median": F.median, "most_frequent": None, "constant": F.count}
-        if self.strategy not in f:
+        if self.strategy not in ("mean", "median", "most_frequent", "constant"):
             raise ValueError(f"unknown strategy {self.strategy!r}")
         counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(use)]).first()
         if not counts["n"]:
@@ -37,8 +37,14 @@ class SimpleImputer(Transformer):
                 values.append(r[0]["v"] if r else None)
         elif self.strategy == "constant":
             values = [float(self.fill_value)] * self.width
+        elif self.strategy == "median":
+            full = [i for i in range(self.width) if counts[f"c{i}"]]
+            found = stats.quantiles(df, [use[i] for i in full], (0.5,))[:, 0] if full else []
+            values = [None] * self.width
+            for i, v in zip(full, found):
+                values[i] = float(v)
         else:
-            r = df.agg(*[f[self.strategy](c).alias(f"v{i}") for i, c in enumerate(use)]).first()
+            r = df.agg(*[F.avg(c).alias(f"v{i}") for i, c in enumerate(use)]).first()
             values = [r[f"v{i}"] for i in range(self.width)]
         empty = [counts[f"c{i}"] == 0 for i in range(self.width)]
         kept = float(self.fill_value) if self.strategy == "constant" else 0.0

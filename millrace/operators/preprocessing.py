@@ -195,15 +195,28 @@ class Normalizer(Transformer):
 
 
 class LabelEncoder(Transformer):
-    """Sorted distinct labels to 0..k-1."""
+    """Sorted distinct labels to 0..k-1.
+
+    Up to ``max_labels`` are in ``classes_``; more stay a table of labels and codes (``table_``), and are joined.
+    """
+
+    max_labels = 100_000
 
     def fit(self, df, features, label=None):
         self.features, self.label = features, label
         column = features if isinstance(features, str) else features[0]
         self.column, self.width, self.fitted = column, 1, True
-        self.classes_ = sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
-        if not self.classes_:
+        labels = df.select(F.col(column).alias("_label")).filter("_label IS NOT NULL").distinct()
+        found, self.table_ = [r[0] for r in labels.limit(self.max_labels + 1).collect()], None
+        if not found:
             raise ValueError("empty input")
+        if len(found) > self.max_labels:
+            from millrace.operators.selection import ranked
+
+            self.table_ = ranked(labels, [F.col("_label")], "_code")
+            self.__dict__.pop("classes_", None)
+        else:
+            self.classes_ = sorted(found)
         return self
 
     def _codes(self) -> Column:
@@ -214,7 +227,9 @@ class LabelEncoder(Transformer):
         if not self.fitted:
             self._ready(df)
         c = F.col(self.column)
-        if len(self.classes_) <= 64:
+        if self.table_ is not None:
+            found, code = df.join(self.table_, c == F.col("_label"), "left"), F.col("_code")
+        elif len(self.classes_) <= 64:
             code = F.lit(None).cast("int")
             for i, v in enumerate(self.classes_):
                 code = F.when(c == F.lit(v), F.lit(i)).otherwise(code)
@@ -222,12 +237,15 @@ class LabelEncoder(Transformer):
         else:
             spark = df.sparkSession
             known = spark.createDataFrame([(v, i) for i, v in enumerate(self.classes_)], ["_label", "_code"])
-            found, code = df.join(F.broadcast(known) if len(self.classes_) <= 100_000 else known, c == F.col("_label"), "left"), F.col("_code").cast("int")
+            found, code = df.join(F.broadcast(known), c == F.col("_label"), "left"), F.col("_code").cast("int")
         checked = F.when(code.isNull(), F.raise_error(F.lit("label not seen at fit"))).otherwise(code)
-        return found.withColumn(out or f"{self.column}_code", checked.cast("int")).drop("_label", "_code")
+        return found.withColumn(out or f"{self.column}_code", checked.cast("int" if self.table_ is None else "long")).drop("_label", "_code")
 
     def inverse_transform(self, df, features=None, out: str = "label"):
         code = F.col(features or f"{self.column}_code")
+        if self.table_ is not None:
+            found = df.join(self.table_, code == F.col("_code"), "left")
+            return found.withColumn(out, F.when(F.col("_code").isNull(), F.raise_error(F.lit("code out of range"))).otherwise(F.col("_label"))).drop("_label", "_code")
         value = F.get(F.array(*[F.lit(v) for v in self.classes_]), code.cast("int"))
         bad = code.isNull() | (code < 0) | (code >= len(self.classes_))
         return df.withColumn(out, F.when(bad, F.raise_error(F.lit("code out of range"))).otherwise(value))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import special, stats
-from millrace.functions.core import Classifier, Estimator, Predictor, Transformer, columns, names
+from millrace.functions.core import Classifier, Estimator, Predictor, Transformer, columns, dense_rows, names, settled
 
 # --- scores of single features ---------------------------------------------------------
 
@@ -85,23 +85,22 @@ def _mutual(df: DataFrame, features, label: str, k: int, discrete: bool, max_row
         import pandas as pd
 
         x, y, n = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), len(pdf)
-        x = x / (x.std() or 1)
         if discrete:
-            total, sx, got = 0.0, np.sort(x), 0
+            total, got = 0.0, 0
             for c in np.unique(y):
                 own = x[y == c]
                 if len(own) < 2:
                     continue
                 kk = min(k, len(own) - 1)
                 d = np.sort(np.abs(own[:, None] - own[None]), axis=1)[:, kk]
+                # Nearer than the k-th neighbour, by differences: sums of places and distances would be rounded over it.
                 d = np.nextafter(d, 0)
-                m = np.searchsorted(sx, own + d, "right") - np.searchsorted(sx, own - d, "left")
+                m = np.concatenate([(np.abs(x[None] - own[at : at + 500, None]) <= d[at : at + 500, None]).sum(axis=1) for at in range(0, len(own), 500)])
                 total += (special.digamma(float(kk))[0] - special.digamma(float(len(own)))[0]) * len(own) - special.digamma(np.maximum(m, 1).astype(float)).sum()
                 got += len(own)
             value = special.digamma(float(got))[0] + total / got if got else 0.0
         else:
-            y = y / (y.std() or 1)
-            dx, dy = np.abs(x[:, None] - x[None]), np.abs(y[:, None] - y[None])
+            dx, dy = (np.abs(v[:, None] - v[None]) / (v.std() or 1) for v in (x, y))
             d = np.nextafter(np.sort(np.maximum(dx, dy), axis=1)[:, k], 0)[:, None]
             nx, ny = (dx <= d).sum(axis=1), (dy <= d).sum(axis=1)
             value = special.digamma(float(n))[0] + special.digamma(float(k))[0] - (special.digamma(nx.astype(float)) + special.digamma(ny.astype(float))).mean()
@@ -182,6 +181,18 @@ class SelectKBest(_Selector):
     def fit(self, df, features, label=None):
         self._start(df, features, label)
         self.scores_, self.pvalues_ = self.score_func(df, features, label)
+        return self._keep()
+
+    def fit_sparse(self, df, targets, width, row="row_id", feature="feature_idx", value="value", label="y"):
+        """Long-form rows (absent = 0): chi2 from its sums, other scores from gathered arrays."""
+        self.features, self.label, self.width = [f"x{i}" for i in range(width)], label, width
+        if self.score_func is chi2:
+            self.scores_, self.pvalues_ = chi2_sparse(df, targets, width, row, feature, value, label)
+        else:
+            self.scores_, self.pvalues_ = self.score_func(dense_rows(df, targets, width, row, feature, value), "_x", label)
+        return self._keep()
+
+    def _keep(self):
         if self.k > self.width:
             raise ValueError("k is larger than the number of features")
         order = sorted(range(self.width), key=lambda i: (math.isnan(self.scores_[i]), -np.nan_to_num(self.scores_[i]), i))
@@ -287,10 +298,7 @@ def ranked(df: DataFrame, order: Sequence, name: str = "_rank") -> DataFrame:
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = {f"_o{i}": c for i, c in enumerate(order)}
     parts = df.withColumns(keys).repartitionByRange(ranges, *keys).withColumn("_part", F.spark_partition_id())
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        parts = parts.checkpoint()
-    else:
-        parts = parts.persist()
+    parts = settled(parts)
     counts = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
     total, before = 0, []
     for k in sorted(counts):

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.core import Classifier, Predictor, classes_of, collect_bounded, row_function
+from millrace.functions.core import Classifier, Predictor, classes_of, collect_bounded, row_function, settled
 from millrace.functions.special import sigmoid, softmax
 
 
@@ -116,7 +116,7 @@ def build_distributed(rows: DataFrame, p: int, m: int, max_depth=None, min_split
     root = np.array([r[f"s{j}"] for j in range(m)], float)
     tree.add(root / r["n"], r["n"])
     open_, depth = {0}, 0
-    limit = 64 if max_depth is None else max_depth
+    limit = math.inf if max_depth is None else max_depth
     spark = rows.sparkSession
     rows = rows.select(F.array(*[F.col(f"x{i}") for i in range(p)]).alias("x"), *[F.col(f"y{j}") for j in range(m)], F.lit(0).alias("node"))
     while open_ and depth < limit:
@@ -147,8 +147,8 @@ def build_distributed(rows: DataFrame, p: int, m: int, max_depth=None, min_split
         table = F.broadcast(spark.createDataFrame(splits, "node int, f int, t double, a int, b int"))
         moved = rows.join(table, "node").withColumn("node", F.when(F.get("x", F.col("f")) <= F.col("t"), F.col("a")).otherwise(F.col("b"))).drop("f", "t", "a", "b")
         rows, open_ = moved, grown
-        if depth % 4 == 0:
-            rows = rows.persist()
+        if depth % 4 == 0:  # the plan of a deep tree stays short
+            rows = settled(rows)
     return tree
 
 
@@ -432,6 +432,10 @@ _HIST = {
 }
 
 
+#: Ranks of the quantiles are right to one in this many rows.
+QUANTILE_ACCURACY = 100_000
+
+
 class _Hist:
     """Best-first growth on histograms of gradients; rows are bins, gradients stay in Spark or, when few, in numpy."""
 
@@ -439,15 +443,21 @@ class _Hist:
     ignored = ()
 
     def _bins(self, df, cols):
-        """Edges at exact quantiles of each feature: at most max_bins - 1."""
+        """Edges at quantiles of each feature (of mergeable sketches): at most max_bins - 1; of a categorical feature its values."""
         if not 2 <= self.max_bins <= 255:
             raise ValueError("max_bins lies between 2 and 255")
         shares = [k / self.max_bins for k in range(1, self.max_bins)]
-        row = df.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(*[F.percentile_approx(c, F.array(*map(F.lit, shares)), F.lit(QUANTILE_ACCURACY)).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         if row[0] is None:
             raise ValueError("empty input")
         cats = set(self.categorical_features or ())
-        return [np.unique(q) if i not in cats else np.array(sorted(r[0] for r in df.select(cols[i]).distinct().limit(256).collect()), float) for i, q in enumerate(row)]
+        return [np.unique(q) if i not in cats else self._categories(df, cols[i], i) for i, q in enumerate(row)]
+
+    def _categories(self, df, col, i):
+        found = [r[0] for r in df.select(col).filter(col.isNotNull()).distinct().limit(self.max_bins + 1).collect()]
+        if len(found) > self.max_bins:
+            raise ValueError(f"categorical feature {i} has more than max_bins = {self.max_bins} categories")
+        return np.array(sorted(found), float)
 
     def _grow(self, codes, g, h):
         """One tree as (feature, bin, left, right, value) with ``bin <= b`` (or, categorical, ``bin in set``) to the left."""
@@ -516,8 +526,14 @@ class _Hist:
             at = new
 
     @staticmethod
-    def _codes(x, edges):
-        return np.column_stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)])
+    def _codes(x, edges, cats=()):
+        """Bin numbers; a category's is its place among the categories, one that wasn't there at ``fit`` comes after them."""
+        out = [np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)]
+        for i in cats:
+            e = edges[i]
+            known = e[np.minimum(out[i], len(e) - 1)] == x[:, i]
+            out[i] = np.where(known, out[i], len(e))
+        return np.column_stack(out)
 
     def _split(self, hg, hh, hn, j, lo, hi):
         """The best cut of one feature's histogram: (gain, bin or bins to the left, sums to the left)."""
@@ -534,7 +550,7 @@ class _Hist:
         i = int(gain.argmax())
         return float(gain[i]), (np.sort(order[: i + 1]) if cat else i), (cg[i], ch[i], cn[i])
 
-    def _grow_far(self, rows, gradients, head, trees):
+    def _grow_far(self, rows, gradients, head):
         """One tree from Spark aggregations: each pass sums the histograms of all open leaves' children.
 
         Children of every open leaf are counted in one pass, so the best-first order needs
@@ -551,7 +567,7 @@ class _Hist:
         def histograms(of):
             now = (np.array(tree[0]), list(tree[1]), np.array(tree[2]), np.array(tree[3]), np.arange(len(tree[0])).astype(float))
             slot = {k: i for i, k in enumerate(of)}
-            score, walk = self._scorer(trees), self._walk
+            walk = self._walk
 
             def sums(batches):
                 import pyarrow as pa
@@ -560,7 +576,7 @@ class _Hist:
                 for b in batches:
                     codes = np.asarray(b.column(0).flatten()).reshape(-1, p)
                     t = np.asarray(b.column(1).flatten(), float).reshape(len(codes), -1)
-                    g, h = (v[:, head] for v in gradients(score(codes), t))
+                    g, h = (v[:, head] for v in gradients(np.asarray(b.column(2).flatten(), float).reshape(len(codes), -1), t))
                     at = walk(now, codes).astype(int)
                     for k, i in slot.items():
                         own = np.flatnonzero(at == k)
@@ -620,25 +636,13 @@ class _Hist:
             n_leaves += 1
         return np.array(tree[0]), tree[1], np.array(tree[2]), np.array(tree[3]), np.array(tree[4])
 
-    def _scorer(self, trees):
-        init, rate, walk = self.init_, self.learning_rate, self._walk
-
-        def score(codes):
-            f = np.tile(init, (len(codes), 1))
-            for stage in trees:
-                for j, tree in enumerate(stage):
-                    f[:, j] += rate * walk(tree, codes)
-            return f
-
-        return score
-
     def _boost(self, df, features, cols, targets, heads, gradients, init):
         rows = df.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)], *[c.alias(f"y{j}") for j, c in enumerate(targets)])
         self.bin_edges_, self.init_ = self._bins(df, cols), init
         if rows.limit(self.local_rows + 1).count() > self.local_rows:
             return self._boost_far(rows, len(cols), len(targets), heads, gradients)
         x, t, _ = collect_bounded(rows, [f"x{i}" for i in range(len(cols))], [f"y{j}" for j in range(len(targets))], None, self.local_rows)
-        codes, rng = self._codes(x, self.bin_edges_), np.random.default_rng(self.random_state)
+        codes, rng = self._codes(x, self.bin_edges_, self.categorical_features or ()), np.random.default_rng(self.random_state)
         held = np.zeros(len(x), bool)
         if self.early_stopping:  # held-out rows take no part in growing at all
             held[rng.permutation(len(x))[: max(1, int(self.validation_fraction * len(x)))]] = True
@@ -663,7 +667,7 @@ class _Hist:
 
     def _boost_far(self, rows, p, m, heads, gradients):
         """Rows stay in Spark as bin numbers and targets; early stopping watches rows held out by a hash."""
-        edges, code = self.bin_edges_, self._codes
+        edges, code, cats, init = self.bin_edges_, self._codes, tuple(self.categorical_features or ()), self.init_
 
         def binned(batches):
             import pyarrow as pa
@@ -671,29 +675,45 @@ class _Hist:
             for b in batches:
                 x = np.asarray(b.column(0).flatten(), float).reshape(-1, p)
                 at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * p)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(code(x, edges).ravel().astype(np.int16))), b.column(1)], names=["c", "t"])
+                start = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(init)), pa.array(np.tile(init, len(x))))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(code(x, edges, cats).ravel().astype(np.int16))), b.column(1), start], names=["c", "t", "f"])
 
-        data = rows.select(F.array(*[F.col(f"x{i}") for i in range(p)]).alias("x"), F.array(*[F.col(f"y{j}") for j in range(m)]).alias("t")).mapInArrow(binned, "c array<short>, t array<double>").persist()
+        data = rows.select(F.array(*[F.col(f"x{i}") for i in range(p)]).alias("x"), F.array(*[F.col(f"y{j}") for j in range(m)]).alias("t")).mapInArrow(binned, "c array<short>, t array<double>, f array<double>")
+        data = settled(data)
         share = int(self.validation_fraction * 1000) if self.early_stopping else 0
         draw = F.pmod(F.xxhash64(F.lit(self.random_state or 0), "c", "t"), F.lit(1000))
-        train, held = data.filter(draw >= share), data.filter(draw < share)
         self.estimators_, self.train_score_, best, since = [], [], np.inf, 0
-        try:
-            for self.n_iter_ in range(1, self.max_iter + 1):
-                self.estimators_.append([self._grow_far(train, gradients, j, self.estimators_) for j in range(heads)])
-                if share:
-                    now = self._mean_objective(held, p)
-                    best, since = (now, 0) if now < best - self.tol else (best, since + 1)
-                    if since >= self.n_iter_no_change:
-                        break
-            self.train_score_.append(self._mean_objective(train, p))
-        finally:
-            data.unpersist()
+        for self.n_iter_ in range(1, self.max_iter + 1):
+            # The rows carry their raw scores: a pass scores no earlier trees, however many there are.
+            self.estimators_.append([self._grow_far(data.filter(draw >= share), gradients, j) for j in range(heads)])
+            data = settled(data.mapInArrow(self._rescored(self.estimators_[-1], p), "c array<short>, t array<double>, f array<double>"))
+            self.train_score_.append(self._mean_objective(data.filter(draw >= share), heads))
+            if share:
+                now = self._mean_objective(data.filter(draw < share), heads)
+                best, since = (now, 0) if now < best - self.tol else (best, since + 1)
+                if since >= self.n_iter_no_change:
+                    break
         self.fitted = True
         return self
 
-    def _mean_objective(self, rows, p):
-        score, objective = self._scorer(self.estimators_), self._objective
+    def _rescored(self, stage, p):
+        rate, walk = self.learning_rate, self._walk
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                codes = np.asarray(b.column(0).flatten()).reshape(-1, p)
+                f = np.array(b.column(2).flatten(), float).reshape(len(codes), len(stage))
+                for j, tree in enumerate(stage):
+                    f[:, j] += rate * walk(tree, codes)
+                at = pa.array(np.arange(len(f) + 1, dtype=np.int32) * len(stage))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(f.ravel()))], names=["c", "t", "f"])
+
+        return run
+
+    def _mean_objective(self, rows, heads):
+        objective = self._objective
 
         def total(batches):
             import pyarrow as pa
@@ -701,8 +721,8 @@ class _Hist:
             s, n = 0.0, 0
             for b in batches:
                 if b.num_rows:
-                    codes = np.asarray(b.column(0).flatten()).reshape(-1, p)
-                    s, n = s + objective(score(codes), np.asarray(b.column(1).flatten(), float).reshape(len(codes), -1)) * len(codes), n + len(codes)
+                    f = np.asarray(b.column(2).flatten(), float).reshape(-1, heads)
+                    s, n = s + objective(f, np.asarray(b.column(1).flatten(), float).reshape(len(f), -1)) * len(f), n + len(f)
             yield pa.RecordBatch.from_pydict({"s": [s], "n": [float(n)]})
 
         r = rows.mapInArrow(total, "s double, n double").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
@@ -710,10 +730,10 @@ class _Hist:
 
     def _raw(self):
         trees, init, rate, edges = self.estimators_, self.init_, self.learning_rate, self.bin_edges_
-        walk, code = self._walk, self._codes
+        walk, code, cats = self._walk, self._codes, tuple(self.categorical_features or ())
 
         def raw(x):
-            c = code(x, edges)
+            c = code(x, edges, cats)
             return init + rate * sum(np.column_stack([walk(a, c) for a in stage]) for stage in trees)
 
         return raw

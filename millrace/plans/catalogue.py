@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import metrics, pairwise
+from millrace.functions.core import shared_folder
 from millrace.operators import bayes, cluster, covariance, decomposition, impute, kernels, linear, manifold, neighbors, preprocessing, selection, trees
 from millrace.sources.tables import table
 
@@ -36,10 +37,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from millrace.plans import closed_forms  # noqa: F401  (registers its queries)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -219,21 +223,6 @@ def elastic_net_1f(spark, sf):
     return _coefficients(spark, linear.ElasticNet(alpha=1000.0, tol=1e-12).fit(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice"))
 
 
-@query()
-def lasso_cd(spark, sf):
-    return _coefficients(spark, linear.Lasso(alpha=0.5).fit(table(spark, sf, "lineitem"), LINE[:3], "l_extendedprice"), 3)
-
-
-@query()
-def bayesian_ridge(spark, sf):
-    return _coefficients(spark, linear.BayesianRidge().fit(table(spark, sf, "lineitem"), LINE[:3], "l_extendedprice"), 3)
-
-
-@query()
-def ard_regression(spark, sf):
-    return _coefficients(spark, linear.ARDRegression().fit(table(spark, sf, "lineitem"), LINE[:3], "l_extendedprice"), 3)
-
-
 LABELLED = "(SELECT n_chars / 1000.0::DOUBLE AS x, quality AS y FROM documents JOIN labels USING (doc_id))"
 
 
@@ -282,25 +271,6 @@ def perceptron(spark, sf):
     return m.predict(e).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def isotonic_predict(spark, sf):
-    m = linear.IsotonicRegression(out_of_bounds="clip").fit(df := table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice")
-    return m.predict(df).groupBy("l_quantity").agg(F.round(F.avg("prediction"), 4).alias("fitted"))
-
-
-@query()
-def quantile_regressor(spark, sf):
-    df = table(spark, sf, "supplier").withColumn("k", F.col("s_nationkey") / 10.0)
-    return _coefficients(spark, linear.QuantileRegressor(alpha=0.0).fit(df, ["k"], "s_acctbal", "s_suppkey"), 3)
-
-
-@query()
-def kernel_ridge(spark, sf):
-    e = embedded(spark, sf).withColumn("y", F.col("label").cast("double"))
-    p = linear.KernelRidge(kernel="rbf").fit(e, "embedding", "y", "vec_id").predict(e)
-    return p.select("vec_id", F.round("prediction", 5).alias("prediction"))
-
-
 # --- discriminants, naive Bayes, covariance ------------------------------------------------------
 
 
@@ -430,11 +400,6 @@ def truncated_svd_2d(spark, sf):
     return numbers(spark, [*m.singular_values_, *m.components_[0]], 6)
 
 
-@query()
-def factor_analysis(spark, sf):
-    return numbers(spark, decomposition.FactorAnalysis(n_components=2).fit(table(spark, sf, "lineitem"), LINE).covariance_, 2)
-
-
 @query(
     "WITH m AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_discount, l_extendedprice) AS b, corr(l_quantity, l_discount) AS c FROM lineitem), "
     "n AS (SELECT *, sqrt(a * a + b * b) AS s FROM m), w AS (SELECT *, a / s AS w1, b / s AS w2 FROM n) " + _vector("w1", "w2", "(w1 * a + w2 * b) / (w1 * w1 + w2 * w2 + 2 * w1 * w2 * c)", digits=7)
@@ -444,12 +409,6 @@ def pls_1c(spark, sf):
     return numbers(spark, [*m.x_weights_[:, 0], m.y_loadings_[0, 0]], 7)
 
 
-@query()
-def cca_2c(spark, sf):
-    m = decomposition.CCA(n_components=2).fit(table(spark, sf, "lineitem"), X2, ["l_extendedprice", "l_tax"])
-    return numbers(spark, m.coef_, 4)
-
-
 # --- feature selection ------------------------------------------------------------------------
 
 
@@ -491,21 +450,6 @@ def select_k_best_chi2(spark, sf):
     return numbers(spark, selection.SelectKBest(score_func=selection.chi2, k=2).fit(df, x, "y").scores_, 7)
 
 
-@query()
-def mutual_information(spark, sf):
-    return numbers(spark, selection.mutual_info_classif(embedded(spark, sf), "embedding", "label")[0])
-
-
-@query()
-def rfe_ranking(spark, sf):
-    return numbers(spark, selection.RFE(estimator=linear.LinearRegression(), n_features_to_select=1).fit(table(spark, sf, "lineitem"), LINE[:3], "l_extendedprice").ranking_)
-
-
-@query()
-def select_from_model(spark, sf):
-    return numbers(spark, selection.SelectFromModel(estimator=linear.Ridge()).fit(table(spark, sf, "lineitem"), LINE[:3], "l_extendedprice").get_support())
-
-
 # --- neighbours, clustering ---------------------------------------------------------------------
 
 
@@ -617,23 +561,12 @@ def dbscan(spark, sf):
     return cluster.DBSCAN(eps=1.0).fit_predict(embedded(spark, sf), "embedding", "vec_id").select("vec_id", "cluster")
 
 
-@query()
-def mean_shift(spark, sf):
-    m = cluster.MeanShift(bandwidth=3000.0).fit(df := table(spark, sf, "supplier"), ["s_acctbal"], id_col="s_suppkey")
-    return m.predict(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
 def birch(spark, sf):
     m = cluster.Birch(threshold=500.0).fit(df := table(spark, sf, "supplier"), ["s_acctbal"], id_col="s_suppkey")
     return m.predict(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def agglomerative(spark, sf):
-    return cluster.AgglomerativeClustering(n_clusters=3).fit_predict(table(spark, sf, "supplier"), ["s_acctbal"], "s_suppkey").select("s_suppkey", "cluster")
-
-
 # --- metrics ------------------------------------------------------------------------------------
 
 
@@ -717,28 +650,12 @@ def grid_search_ridge(spark, sf):
     return numbers(spark, m.cv_results_mean_score_, 7)
 
 
-@query()
-def randomized_search_ridge(spark, sf):
-    m = selection.RandomizedSearchCV(estimator=linear.Ridge(), param_distributions={"alpha": [0.1, 10.0, 1000.0]}, n_iter=3, random_state=1).fit(_orders_folded(spark, sf), ["x"], "y", fold_col="fold")
-    return numbers(spark, m.cv_results_mean_score_, 7)
-
-
 @query()
 def calibrated_classifier(spark, sf):
     m = selection.CalibratedClassifierCV(estimator=linear.LogisticRegression(max_iter=5), cv=3).fit(df := labelled(spark, sf), ["x"], "y", "doc_id")
     return m.predict_proba(df).select("doc_id", F.round(F.col("probability")[1], 6).alias("p"))
 
 
-@query()
-def nelder_mead(spark, sf):
-    from millrace.functions import stats
-
-    m = stats.moments(table(spark, sf, "lineitem"), [F.col("l_quantity"), F.col("l_extendedprice") / 1000])
-    g = m.raw()
-    best = selection.NelderMead().minimize(lambda w: (g[1, 1] - 2 * w[0] * g[0, 1] + w[0] ** 2 * g[0, 0]) / m.n, [1.0])
-    return numbers(spark, best, 5)
-
-
 # --- trees, kernels, embeddings -------------------------------------------------------------------
 
 
@@ -768,14 +685,6 @@ def _two(spark, sf):
     return embedded(spark, sf).withColumn("two", (F.col("label") % 2).cast("int")).withColumn("y", F.col("label").cast("double"))
 
 
-_predicted("decision_tree_classifier", lambda: trees.DecisionTreeClassifier(max_depth=4))
-_predicted("decision_tree_regressor", lambda: trees.DecisionTreeRegressor(max_depth=4), "y", _two)
-_predicted("random_forest_classifier", lambda: trees.RandomForestClassifier(n_estimators=10, max_depth=5, random_state=1))
-_predicted("random_forest_regressor", lambda: trees.RandomForestRegressor(n_estimators=10, max_depth=5, random_state=1), "y", _two)
-_predicted("gradient_boosting_classifier", lambda: trees.GradientBoostingClassifier(n_estimators=3), "two", _two)
-_predicted("gradient_boosting_regressor", lambda: trees.GradientBoostingRegressor(n_estimators=5), "y", _two)
-_predicted("hist_gradient_boosting_classifier", lambda: trees.HistGradientBoostingClassifier(max_iter=3, max_leaf_nodes=8), "two", _two)
-_predicted("hist_gradient_boosting_regressor", lambda: trees.HistGradientBoostingRegressor(max_iter=5, max_leaf_nodes=8), "y", _two)
 _predicted("linear_svc", lambda: kernels.LinearSVC(max_iter=3, random_state=1))
 _predicted("linear_svr", lambda: kernels.LinearSVR(max_iter=3, random_state=1), "y", _two)
 _predicted("svc", lambda: kernels.SVC(), "two", _two)
@@ -784,7 +693,6 @@ _predicted("nu_svc", lambda: kernels.NuSVC(nu=0.3), "two", _two)
 _predicted("nu_svr", lambda: kernels.NuSVR(max_iter=100), "y", _two)
 _predicted("mlp_classifier", lambda: kernels.MLPClassifier(hidden_layer_sizes=(16,), max_iter=10, random_state=1))
 _predicted("mlp_regressor", lambda: kernels.MLPRegressor(hidden_layer_sizes=(16,), max_iter=10, random_state=1), "y", _two)
-_predicted("gaussian_process_regressor", lambda: kernels.GaussianProcessRegressor(alpha=0.1), "y", _two)
 _predicted("gaussian_process_classifier", lambda: kernels.GaussianProcessClassifier(max_iter=20), "two", _two)
 
 
@@ -797,21 +705,17 @@ def one_class_svm(spark, sf):
 def _embedding(name, model):
     def f(spark, sf):
         df = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("a"), (F.col("s_nationkey") / 5).alias("b"), (F.col("s_acctbal") * F.col("s_nationkey") / 20000).alias("c"))
-        m = model()
-        if table(spark, sf, "supplier").count() <= m.params.get("n_neighbors", 5) + 6:
-            m.set_param("n_neighbors", 5) if "n_neighbors" in m.params else None
-        return m.fit_transform(df, ["a", "b", "c"], "s_suppkey").select("s_suppkey", F.round("e0", 4).alias("e0"), F.round("e1", 4).alias("e1"))
+        return model().fit_transform(df, ["a", "b", "c"], "s_suppkey").select("s_suppkey", F.round("e0", 4).alias("e0"), F.round("e1", 4).alias("e1"))
 
     f.__name__ = name
     query()(f)
 
 
-_embedding("isomap", lambda: manifold.Isomap())
 _embedding("mds", lambda: manifold.MDS(n_init=1, max_iter=50, random_state=1))
 _embedding("locally_linear_embedding", lambda: manifold.LocallyLinearEmbedding())
 _embedding("spectral_embedding", lambda: manifold.SpectralEmbedding())
 _embedding("tsne", lambda: manifold.TSNE(perplexity=5.0, n_iter=100, random_state=1))
-_embedding("umap", lambda: manifold.UMAP(n_neighbors=8, n_epochs=30, random_state=1))
+_embedding("umap", lambda: manifold.UMAP(n_neighbors=5, n_epochs=30, random_state=1))
 
 
 # --- streaming ----------------------------------------------------------------------------------
@@ -823,11 +727,7 @@ def streaming_scaler(spark, sf):
 
     from millrace.streaming import incremental
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="millrace-")
+    base = shared_folder(spark)
     fit = incremental.StreamingFit(preprocessing.StandardScaler(), ["value"])
     s = fit.run(incremental.stream_table(spark, sf, "events"), f"{base}/stream-{uuid.uuid4().hex}")
     return spark.createDataFrame([(s.n_samples_seen_, float(s.mean_[0]), float(s.scale_[0]))], "n long, m double, s double").select("n", F.round("m", 6).alias("mean"), F.round("s", 6).alias("scale"))

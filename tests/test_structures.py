@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from millrace.functions import pairwise
-from millrace.operators import cluster, kernels, manifold, neighbors, preprocessing, trees
+from millrace.operators import cluster, covariance, kernels, manifold, neighbors, preprocessing, selection, trees
 from millrace.sources import tables
 from millrace.streaming import incremental
 from pyspark.sql import functions as F
@@ -188,3 +188,90 @@ def test_concepts():
 
     assert isinstance(preprocessing.StandardScaler(), concepts.TransformerLike) and isinstance(preprocessing.StandardScaler(), concepts.IncrementalLike)
     assert isinstance(trees.DecisionTreeRegressor(), concepts.MultiOutputRegressorLike) and not isinstance(preprocessing.StandardScaler(), concepts.PredictorLike)
+
+
+def test_equal_rows_are_drawn_one_by_one(frame):
+    # Half of all rows have one value: half of a tree's sample has it, and k-means++ starts there half of the time.
+    r = np.random.default_rng(0)
+    x = np.r_[np.full((3000, 1), 5.0), r.normal(size=(3000, 1))]
+    df, names = frame(x)
+    m = covariance.IsolationForest(n_estimators=10, max_samples=256).fit(df, names, "id")
+    scores = m.score_samples(df).groupBy((F.col("x0") == 5).alias("same")).agg(F.avg("score").alias("s")).collect()
+    assert len(m.trees_) == 10 and len(scores) == 2
+    rows = df.select(F.array("x0").alias("v"), F.monotonically_increasing_id().alias("r"))
+    starts = [cluster.KMeans(n_clusters=1)._starts(rows, F.col("v"), seed)[0, 0] for seed in range(20)]
+    assert 4 <= sum(s == 5 for s in starts) <= 16
+
+
+def test_categories_of_histogram_boosting(spark, frame):
+    r = np.random.default_rng(1)
+    c = r.integers(0, 30, 900) * 7.0
+    y = np.where(np.isin(c, [7.0, 70.0, 140.0]), 5.0, 0.0)
+    df, names = frame(c[:, None], y)
+    far = trees.HistGradientBoostingRegressor(max_iter=5, categorical_features=[0], max_bins=40)
+    far.local_rows = 0
+    for m in (trees.HistGradientBoostingRegressor(max_iter=5, categorical_features=[0], max_bins=40), far):
+        p = m.fit(df, names, "y").predict(df).select("y", "prediction").toPandas()
+        assert p.groupby("y")["prediction"].nunique().tolist() == [1, 1] and p.loc[p.y == 5, "prediction"].min() > p.loc[p.y == 0, "prediction"].max()
+        assert len(m.train_score_) == 5
+        new = m.predict(spark.createDataFrame([(3.0,)], ["x0"])).first()["prediction"]  # a category that wasn't there
+        assert np.isfinite(new)
+    with pytest.raises(ValueError, match="categories"):
+        trees.HistGradientBoostingRegressor(categorical_features=[0], max_bins=20).fit(df, names, "y")
+
+
+def test_deep_trees_in_spark(frame):
+    x = np.arange(70.0)[:, None]
+    y = np.where(np.arange(70) % 2 == 0, 1.0, 0.0) * 2.0 ** np.arange(70)  # a split takes off one row at a time
+    df, names = frame(x, y)
+    whole, far = trees.DecisionTreeRegressor(), trees.DecisionTreeRegressor(max_depth=8)
+    far.local_rows = 0
+    assert whole.fit(df, names, "y").predict(df).filter("prediction <> y").count() == 0
+    near = trees.DecisionTreeRegressor(max_depth=8).fit(df, names, "y")
+    assert near.predict(df).select("prediction").exceptAll(far.fit(df, names, "y").predict(df).select("prediction")).count() == 0
+
+
+def test_labels_beyond_a_bound_stay_a_table(spark):
+    df = spark.createDataFrame([(i, f"l{i % 50:02d}") for i in range(200)], "id long, name string")
+    near, far = preprocessing.LabelEncoder().fit(df, "name"), preprocessing.LabelEncoder()
+    far.max_labels = 10
+    far.fit(df, "name")
+    codes = [sorted((r["id"], r["name_code"]) for r in m.transform(df).collect()) for m in (near, far)]
+    assert codes[0] == codes[1]
+    assert far.inverse_transform(far.transform(df)).filter("label <> name").count() == 0
+    with pytest.raises(Exception, match="not seen"):
+        far.transform(spark.createDataFrame([(1, "zz")], "id long, name string")).collect()
+
+
+def test_quantiles_by_counting(frame):
+    from millrace.functions import stats
+
+    r = np.random.default_rng(2)
+    x = np.c_[r.normal(size=500), r.integers(0, 5, 500), np.ones(500)]
+    df, names = frame(x)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.99, 1.0)
+    assert np.allclose(stats.quantiles(df, [F.col(n) for n in names], shares), np.quantile(x, shares, axis=0).T)
+    with pytest.raises(ValueError, match="empty"):
+        stats.quantiles(df.limit(0), [F.col("x0")], (0.5,))
+
+
+def test_long_form_of_more_estimators(spark, frame):
+    r = np.random.default_rng(3)
+    x = np.where(r.random((80, 3)) < 0.6, 0.0, r.normal(size=(80, 3)))
+    x[0] = 0  # stores nothing
+    y = (x[:, 0] > 0.1).astype(int)
+    df, names = frame(x, y)
+    long = spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(x) for j, v in enumerate(row) if v], "row_id long, feature_idx int, value double")
+    targets = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "row_id long, y int")
+    for model in (
+        trees.DecisionTreeClassifier(max_depth=2), trees.DecisionTreeRegressor(max_depth=2), trees.HistGradientBoostingClassifier(max_iter=2, min_samples_leaf=5),
+        trees.HistGradientBoostingRegressor(max_iter=2, min_samples_leaf=5), kernels.LinearSVC(max_iter=5, random_state=0), kernels.LinearSVR(max_iter=5, random_state=0), kernels.SVC(), kernels.SVR(max_iter=50),
+    ):
+        dense = sorted((r["id"], r["prediction"]) for r in model.clone().fit(df, names, "y").predict(df).collect())
+        sparse = model.clone().fit_sparse(long, targets, 3)
+        got = sorted((r["row_id"], r["prediction"]) for r in sparse.predict_sparse(long, targets).collect())
+        assert [i for i, _ in got] == list(range(80)) and np.allclose([v for _, v in got], [v for _, v in dense]), type(model).__name__
+    positive = spark.createDataFrame([(i, j, abs(float(v))) for i, row in enumerate(x) for j, v in enumerate(row) if v], "row_id long, feature_idx int, value double")
+    assert selection.SelectKBest(score_func=selection.chi2, k=1).fit_sparse(positive, targets, 3).get_support_indices() == [0]
+    m = cluster.MiniBatchKMeans(n_clusters=2, max_iter=3).fit_sparse(long, targets.select("row_id"), 3)
+    assert m.cluster_centers_.shape == (2, 3)
