@@ -2,6 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as
 the next stage's docs.
+
+Defined results for the stages together: a document with a null or empty text fails the
+quality rules, so no later stage sees one (called by itself, each has its own defined result for
+it); texts of any length pass every stage whole; rows with a null doc_id are kept or dropped
+like others, but never as copies, since nothing names their group; of repeated rows and copies
+that with the smallest doc_id stays, and rows that repeat one doc_id stay or go together;
+columns besides doc_id, text and source keep their values and names, whatever they are, up to
+the last stage, which returns pieces; empty tables give empty results.
 """
 
 from __future__ import annotations
