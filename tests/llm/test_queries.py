@@ -56,3 +56,30 @@ def test_pipeline_keeps_what_the_stages_keep(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in packed.collect()} == kept
     assert all(stage(spark, docs.limit(0), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+
+    def prose(n):
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+
+    one, two = prose(90), prose(80)
+    item = prose(20)
+    rows = [(1, one), (1, one), (2, one), (None, one), (None, None), (3, None), (4, ""), (5, two), (6, f"{prose(60)} {item}"), (7, prose(20_000)), (None, prose(70)), (8, two + " end")]
+    df = spark.createDataFrame([(d, t, None if d == 5 else "s") for d, t in rows], "doc_id long, text string, source string")
+    df = df.withColumns({"_row": F.lit(1), "quality": F.lit("mine"), "removed": F.lit(2)}).select("*", F.lit("other").alias("TEXT"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+    kept = docs.select("doc_id").collect()
+    assert sorted(str(x["doc_id"]) for x in kept) == ["1", "1", "5", "7", "None", "None"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.filter("doc_id = 7").agg(F.max("piece")).first()[0] > 5
