@@ -1,9 +1,10 @@
 """Decision trees, forests and gradient boosting.
 
 Small inputs (up to ``local_rows``) are grown in numpy, forests one tree a task.  Larger ones
-are grown level by level in Spark: one aggregation by (node, feature, value), whose running
-sums give every exact midpoint split.  Histogram boosting needs only sums by
-(node, feature, bin).
+are grown level by level in Spark.  A single tree takes one aggregation by (node, feature,
+value), whose running sums give every exact midpoint split.  Forests and boosting take sums by
+(node, feature, bin), for many trees or leaves in one pass over the rows; their thresholds are
+quantiles of the features then.
 """
 
 from __future__ import annotations
@@ -224,8 +225,121 @@ _FOREST = {
 }
 
 
+#: Bins of a feature in forests that are grown in Spark, and numbers that a task sums at once.
+FOREST_BINS, HISTOGRAM_NUMBERS = 64, 4_000_000
+
+
+def bootstrap_weights(ids: np.ndarray, seed: int, tree: int, rate: float) -> np.ndarray:
+    """How often each row is in a tree's bootstrap sample: Poisson numbers by a hash of the row's id."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.int64).view(np.uint64) + np.uint64((seed * 1_000_003 + tree + 1) & 0xFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = (x ^ (x >> np.uint64(31))).astype(float) / 2.0**64
+    terms = np.cumsum([math.exp(-rate) * rate**k / math.factorial(k) for k in range(int(20 + 10 * rate))])
+    return np.searchsorted(terms, u, side="right").astype(float)
+
+
+def grow_forest(data: DataFrame, edges: list[np.ndarray], m: int, n_trees: int, weigh, max_depth, min_split: int, take: int, seed: int) -> list[Tree]:
+    """Trees on binned rows (c array<short>, t array<double>, id long), all of a level's nodes in as few passes as their sums fit a task.
+
+    ``weigh(ids, tree)`` gives the rows' weights.  Reach the driver: (m + 1) numbers for each open node, feature and bin.
+    """
+    p, nb = len(edges), max(len(e) for e in edges) + 1
+    forest, rngs = [Tree() for _ in range(n_trees)], [np.random.default_rng([seed, k, 2]) for k in range(n_trees)]
+    bins: list[dict[int, int]] = [{} for _ in forest]
+    open_, depth = [(k, 0) for k in range(n_trees)], 0
+    for tree in forest:
+        tree.add(np.zeros(m), 0)
+    at_once = max(1, HISTOGRAM_NUMBERS // (p * nb * (m + 1)))
+
+    def sums_of(nodes):
+        slots = {k: {} for k, _ in nodes}
+        for i, (k, node) in enumerate(nodes):
+            slots[k][node] = i
+        walks = {k: (np.array(forest[k].feature), np.array([bins[k].get(i, 0) for i in range(len(forest[k].feature))]), np.array(forest[k].left), np.array(forest[k].right), None) for k in slots}
+
+        def sums(batches):
+            import pyarrow as pa
+
+            out = np.zeros((p, len(nodes) * nb, m + 1))
+            for b in batches:
+                codes = np.asarray(b.column(0).flatten()).reshape(-1, p)
+                t, ids = np.asarray(b.column(1).flatten(), float).reshape(len(codes), m), b.column(2).to_numpy()
+                for k, own in slots.items():
+                    slot = np.full(len(walks[k][0]), -1)
+                    slot[list(own)] = list(own.values())
+                    at, w = slot[leaves(walks[k], codes)], weigh(ids, k)
+                    rows = np.flatnonzero((at >= 0) & (w > 0))
+                    for j in range(p):
+                        key = at[rows] * nb + codes[rows, j]
+                        out[j, :, 0] += np.bincount(key, w[rows], len(nodes) * nb)
+                        for y in range(m):
+                            out[j, :, y + 1] += np.bincount(key, w[rows] * t[rows, y], len(nodes) * nb)
+            place = np.flatnonzero(out)
+            yield pa.RecordBatch.from_pydict({"i": pa.array(place), "v": pa.array(out.ravel()[place])})
+
+        flat = np.zeros(p * len(nodes) * nb * (m + 1))
+        for r in data.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            flat[r["i"]] = r["v"]
+        return flat.reshape(p, len(nodes), nb, m + 1)
+
+    while open_ and (max_depth is None or depth < max_depth or depth == 0):
+        grown = []
+        for at in range(0, len(open_), at_once):
+            nodes = open_[at : at + at_once]
+            hist = sums_of(nodes)
+            for i, (k, node) in enumerate(nodes):
+                tree, own = forest[k], hist[:, i]
+                n, total = own[0, :, 0].sum(), own[0, :, 1:].sum(axis=0)
+                if not n:
+                    continue
+                tree.n[node], tree.value[node] = n, total / n
+                if n < min_split or max_depth is not None and depth >= max_depth:
+                    continue
+                look = np.arange(p) if take >= p else np.sort(rngs[k].choice(p, take, replace=False))
+                cum = np.cumsum(own[look], axis=1)[:, :-1]
+                nl, a = cum[:, :, 0], cum[:, :, 1:]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = (a * a).sum(axis=2) / nl + ((total - a) ** 2).sum(axis=2) / (n - nl) - (total @ total) / n
+                gain = np.where((nl > 0) & (nl < n), gain, -np.inf)
+                f, b = np.unravel_index(int(gain.argmax()), gain.shape)
+                if not gain[f, b] > 1e-12 * max(1.0, float(total @ total) / n):
+                    continue
+                j = int(look[f])
+                left, right = a[f, b], total - a[f, b]
+                kids = tree.add(left / nl[f, b], nl[f, b]), tree.add(right / (n - nl[f, b]), n - nl[f, b])
+                tree.split(node, j, float(edges[j][b]), *kids, float(gain[f, b]))
+                bins[k][node] = int(b)
+                grown += [(k, x) for x in kids if tree.n[x] >= min_split]
+        open_, depth = grown, depth + 1
+    return forest
+
+
+def binned_rows(rows: DataFrame, p: int, m: int, max_bins: int) -> tuple[DataFrame, list[np.ndarray]]:
+    """(c, t, id) of rows with x0.., y0.. and _id, and the edges: quantiles of mergeable sketches, at most ``max_bins`` - 1 a feature."""
+    shares = [k / max_bins for k in range(1, max_bins)]
+    r = rows.agg(*[F.percentile_approx(f"x{i}", F.array(*map(F.lit, shares)), F.lit(QUANTILE_ACCURACY)).alias(f"q{i}") for i in range(p)]).first()
+    edges = [np.unique(q) for q in r]
+
+    def binned(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.asarray(b.column(0).flatten(), float).reshape(-1, p)
+            codes = np.column_stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)]).astype(np.int16)
+            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * p)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(codes.ravel())), b.column(1), b.column(2)], names=["c", "t", "id"])
+
+    own = rows.select(F.array(*[F.col(f"x{i}") for i in range(p)]).alias("x"), F.array(*[F.col(f"y{j}") for j in range(m)]).alias("t"), F.xxhash64("_id").alias("id"))
+    return settled(own.mapInArrow(binned, "c array<short>, t array<double>, id long")), edges
+
+
 class _Forest:
-    """A tree a task, on bootstrap draws of at most ``local_rows`` rows that go to every task."""
+    """A tree a task, on bootstrap draws of at most ``local_rows`` rows that go to every task.
+
+    More rows stay in Spark: all trees grow level by level on histograms, each on Poisson weights of its own.
+    """
 
     local_rows = 50_000
     ignored = ("min_samples_leaf", "min_weight_fraction_leaf", "max_leaf_nodes", "min_impurity_decrease", "n_jobs", "verbose", "warm_start", "ccp_alpha")
@@ -236,6 +350,8 @@ class _Forest:
         y = self._targets(df, label)
         p, m = len(cols), len(y)
         rows = df.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)], *[c.alias(f"y{j}") for j, c in enumerate(y)], *([F.col(id_col).alias("_id")] if id_col else []))
+        if rows.limit(self.local_rows + 1).count() > self.local_rows:
+            return self._fit_far(rows if id_col else rows.withColumn("_id", F.monotonically_increasing_id()), p, m)
         x, t, _ = collect_bounded(rows, [f"x{i}" for i in range(p)], [f"y{j}" for j in range(m)], "_id" if id_col else None, self.local_rows)
         n = len(x)
         seed = 0 if self.random_state is None else self.random_state
@@ -276,6 +392,54 @@ class _Forest:
         self.fitted = True
         return self
 
+    def _fit_far(self, rows, p, m):
+        seed = 0 if self.random_state is None else self.random_state
+        data, edges = binned_rows(rows, p, m, FOREST_BINS)
+        n = data.count()
+        share = 1.0 if self.max_samples is None else self.max_samples if isinstance(self.max_samples, float) else min(1.0, self.max_samples / n)
+        boot = self.bootstrap
+
+        def weigh(ids, tree):
+            return bootstrap_weights(ids, seed, tree, share) if boot else np.ones(len(ids))
+
+        take = n_features(self.max_features_mode, self.max_features_value, p)
+        grown = grow_forest(data, edges, m, self.n_estimators, weigh, self.max_depth, self.min_samples_split, take, seed)
+        self.estimators_ = [t.arrays() for t in grown]
+        each = [i / i.sum() if i.sum() else i for i in (t.importances(p) for t in grown)]
+        self.feature_importances_ = np.mean(each, axis=0)
+        if self.oob_score and boot:
+            self._far_oob(data, edges, p, m, weigh)
+        self.fitted = True
+        return self
+
+    def _far_oob(self, data, edges, p, m, weigh):
+        """The out-of-bag score from sums over the rows."""
+        trees, classes = self.estimators_, "classes_" in self.__dict__
+
+        def score(batches):
+            import pyarrow as pa
+
+            out = np.zeros(5)  # rows, right ones, squared gaps, targets, their squares
+            for b in batches:
+                codes = np.asarray(b.column(0).flatten()).reshape(-1, p)
+                t, ids = np.asarray(b.column(1).flatten(), float).reshape(len(codes), m), b.column(2).to_numpy()
+                total, count = np.zeros((len(codes), m)), np.zeros(len(codes))
+                # A row's bin stands for its values: the edge of the bin is on the same side of every threshold.
+                x = np.column_stack([np.r_[e, np.inf][codes[:, i]] for i, e in enumerate(edges)])
+                for k, a in enumerate(trees):
+                    away = weigh(ids, k) == 0
+                    total[away] += values(a, x[away])
+                    count[away] += 1
+                seen = count > 0
+                q, own = total[seen] / count[seen, None], t[seen]
+                right = (q.argmax(axis=1) == own.argmax(axis=1)).sum() if classes else 0
+                out += [seen.sum(), right, ((own - q) ** 2).sum(), own.sum(), (own * own).sum()]
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(5), pa.int32()), "v": out.tolist()})
+
+        got = {r["i"]: r["v"] for r in data.mapInArrow(score, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        spread = got[4] - got[3] ** 2 / max(got[0], 1)
+        self.oob_score_ = float(got[1] / max(got[0], 1)) if classes else float(1 - got[2] / spread) if spread else 0.0
+
     def _values(self, df, features):
         trees = self.estimators_
         return row_function(lambda x: sum(values(a, x) for a in trees) / len(trees), self._ready(df, features), "array<double>")
@@ -306,8 +470,23 @@ _BOOST = {
 _UNUSED = ("criterion", "min_samples_leaf", "min_weight_fraction_leaf", "min_impurity_decrease", "max_leaf_nodes", "warm_start", "validation_fraction", "n_iter_no_change", "tol", "ccp_alpha", "verbose")
 
 
+def _boost_binned(model, kind, df, features, cols, targets, heads, gradients, init):
+    """Fits ``model`` on histograms in Spark: mean gradients in the leaves, thresholds at quantiles."""
+    far = kind(learning_rate=model.learning_rate, max_iter=model.n_estimators, max_depth=model.max_depth, max_leaf_nodes=0, min_samples_leaf=1)
+    far.local_rows, far.features, far.label, far.width = -1, model.features, model.label, model.width
+    if "classes_" in model.__dict__:
+        far.classes_, far.n_classes_ = model.classes_, model.n_classes_
+    far._boost(df, features, cols, targets, heads, gradients, init)
+    model._far, model.estimators_, model.train_score_, model.feature_importances_ = far, far.estimators_, far.train_score_, far.feature_importances_
+    model.fitted = True
+    return model
+
+
 class GradientBoostingRegressor(Predictor):
-    """Trees on negative gradients; for losses other than the squared one each stage's step is found on a grid."""
+    """Trees on negative gradients; for losses other than the squared one each stage's step is found on a grid.
+
+    Beyond ``local_rows`` the trees grow on histograms in Spark.
+    """
 
     defaults = {**_BOOST, "loss": "squared_error", "alpha": 0.9}
     ignored = _UNUSED
@@ -338,7 +517,14 @@ class GradientBoostingRegressor(Predictor):
         raise ValueError(f"unknown loss {self.loss!r}")
 
     def fit(self, df, features, label, id_col=None):
-        self._start(df, features, label)
+        cols = self._start(df, features, label)
+        self._far = None
+        if df.limit(self.local_rows + 1).count() > self.local_rows:
+            if self.loss != "squared_error" or self.subsample < 1:
+                raise ValueError(f"beyond {self.local_rows} rows only the squared error on all rows is supported")
+            y = F.col(label).cast("double")
+            self.init_ = float(df.agg(F.avg(y).alias("m")).first()["m"])
+            return _boost_binned(self, HistGradientBoostingRegressor, df, features, cols, [y], 1, lambda f, t: (f - t, np.ones_like(f)), np.array([self.init_]))
         x, y, _ = collect_bounded(df, features, label, id_col, self.local_rows)
         self.init_ = float(y.mean() if self.loss == "squared_error" else np.quantile(y, self.alpha if self.loss == "quantile" else 0.5))
         f, rng = np.full(len(y), self.init_), np.random.default_rng(self.random_state)
@@ -360,6 +546,9 @@ class GradientBoostingRegressor(Predictor):
         return self
 
     def predict(self, df, features=None, out="prediction"):
+        if getattr(self, "_far", None) is not None:
+            self._ready(df, features)
+            return self._far.predict(df, features, out)
         trees, init = self.estimators_, self.init_
         return df.withColumn(out, row_function(lambda x: init + sum(s * values(a, x)[:, 0] for a, s in trees), self._ready(df, features)))
 
@@ -382,9 +571,20 @@ class GradientBoostingClassifier(_ClassTree):
         if self.loss == "exponential" and k > 2:
             raise ValueError("the exponential loss takes two classes")
         rows = df.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)], *[c.alias(f"y{j}") for j, c in enumerate(self._targets(df, label))])
+        self._far, heads = None, 1 if k == 2 else k
+        if rows.limit(self.local_rows + 1).count() > self.local_rows:
+            if self.loss != "log_loss":
+                raise ValueError(f"beyond {self.local_rows} rows only the log loss is supported")
+            r = rows.agg(*[F.avg(f"y{j}").alias(f"y{j}") for j in range(k)]).first()
+            share = np.clip(np.array(r, float), 1e-12, 1)
+            self.init_ = np.array([np.log(share[1] / share[0])]) if heads == 1 else np.log(share)
+
+            def gradients(f, t):
+                return (sigmoid(f) if heads == 1 else softmax(f)) - (t[:, 1:] if heads == 1 else t), np.ones_like(f)
+
+            return _boost_binned(self, HistGradientBoostingClassifier, df, features, cols, self._targets(df, label), heads, gradients, self.init_)
         x, t, _ = collect_bounded(rows, [f"x{i}" for i in range(len(cols))], [f"y{j}" for j in range(k)], None, self.local_rows)
         share = np.clip(t.mean(axis=0), 1e-12, 1)
-        heads = 1 if k == 2 else k
         scale = 0.5 if self.loss == "exponential" else 1.0
         self.init_ = np.array([scale * np.log(share[1] / share[0])]) if heads == 1 else np.log(share)
         f, imp = np.tile(self.init_, (len(x), 1)), np.zeros(self.width)
@@ -406,6 +606,8 @@ class GradientBoostingClassifier(_ClassTree):
         return self
 
     def _raw(self):
+        if getattr(self, "_far", None) is not None:
+            return self._far._raw()
         trees, init, rate = self.estimators_, self.init_, self.learning_rate
         return lambda x: init + rate * sum(np.column_stack([values(a, x)[:, 0] for a in stage]) for stage in trees)
 
@@ -505,6 +707,7 @@ class _Hist:
                 mid = (lo, m, m, hi) if mono[j] > 0 else (m, hi, lo, m)
             kids = add(a, depth + 1, *mid[:2]), add(c, depth + 1, *mid[2:])
             f_[k], b_[k], l_[k], r_[k], gain_[k] = j, b, kids[0][0], kids[1][0], gain
+            self.gains_[j] += gain
             heap += kids
             n_leaves += 1
         return np.array(f_), b_, np.array(l_), np.array(r_), np.array(v_)
@@ -620,7 +823,8 @@ class _Hist:
                 for q, (a, c) in made.items():
                     known[q] = (a, c, hist[a], hist[c])
                     tree[0][q] = -1
-            (_, b, _, j), depth = open_.pop(k)
+            (gain, b, _, j), depth = open_.pop(k)
+            self.gains_[j] += gain
             a, c, ha, hc = known.pop(k)
             tree[0][k] = j
             lo, hi = span[k]
@@ -638,7 +842,7 @@ class _Hist:
 
     def _boost(self, df, features, cols, targets, heads, gradients, init):
         rows = df.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)], *[c.alias(f"y{j}") for j, c in enumerate(targets)])
-        self.bin_edges_, self.init_ = self._bins(df, cols), init
+        self.bin_edges_, self.init_, self.gains_ = self._bins(df, cols), init, np.zeros(len(cols))
         if rows.limit(self.local_rows + 1).count() > self.local_rows:
             return self._boost_far(rows, len(cols), len(targets), heads, gradients)
         x, t, _ = collect_bounded(rows, [f"x{i}" for i in range(len(cols))], [f"y{j}" for j in range(len(targets))], None, self.local_rows)
@@ -662,9 +866,13 @@ class _Hist:
                 best, since = (now, 0) if now < best - self.tol else (best, since + 1)
                 if since >= self.n_iter_no_change:
                     break
-        self.fitted = True
+        self._importances()
         return self
 
+    def _importances(self):
+        self.feature_importances_ = self.gains_ / self.gains_.sum() if self.gains_.sum() else self.gains_
+        self.fitted = True
+
     def _boost_far(self, rows, p, m, heads, gradients):
         """Rows stay in Spark as bin numbers and targets; early stopping watches rows held out by a hash."""
         edges, code, cats, init = self.bin_edges_, self._codes, tuple(self.categorical_features or ()), self.init_
@@ -693,7 +901,7 @@ class _Hist:
                 best, since = (now, 0) if now < best - self.tol else (best, since + 1)
                 if since >= self.n_iter_no_change:
                     break
-        self.fitted = True
+        self._importances()
         return self
 
     def _rescored(self, stage, p):

@@ -275,3 +275,30 @@ def test_long_form_of_more_estimators(spark, frame):
     assert selection.SelectKBest(score_func=selection.chi2, k=1).fit_sparse(positive, targets, 3).get_support_indices() == [0]
     m = cluster.MiniBatchKMeans(n_clusters=2, max_iter=3).fit_sparse(long, targets.select("row_id"), 3)
     assert m.cluster_centers_.shape == (2, 3)
+
+
+def test_forests_and_boosting_in_spark(frame):
+    r = np.random.default_rng(5)
+    x = r.integers(0, 25, (600, 3)).astype(float)
+    y = x[:, 0] * 2 + (x[:, 1] > 12) * 30.0
+    c = (y > 40).astype(int) + (y > 60)
+    for model, target in (
+        (trees.RandomForestRegressor(n_estimators=2, max_depth=3, bootstrap=False, max_features_mode="all"), y),
+        (trees.RandomForestClassifier(n_estimators=2, max_depth=3, bootstrap=False, max_features_mode="all"), c),
+        (trees.GradientBoostingRegressor(n_estimators=4, max_depth=2), y),
+        (trees.GradientBoostingClassifier(n_estimators=3, max_depth=2), c),
+    ):
+        df, names = frame(x, target)
+        near, far = model.clone().fit(df, names, "y"), model.clone()
+        far.local_rows = 0
+        far.fit(df, names, "y")
+        a, b = (column(m.predict(df), "prediction") for m in (near, far))
+        assert np.allclose(a, b), type(model).__name__  # each value has a bin of its own
+        assert np.allclose(near.feature_importances_, far.feature_importances_, atol=1e-6)
+    df, names = frame(x, y)
+    far = trees.RandomForestRegressor(n_estimators=20, max_depth=6, oob_score=True, random_state=3)
+    far.local_rows = 0
+    far.fit(df, names, "y", "id")
+    assert far.score(df, "y") > 0.8 and 0.5 < far.oob_score_ < 1 and len({str(a[1]) for a in far.estimators_}) > 15
+    w = trees.bootstrap_weights(np.arange(200_000), 1, 7, 1.0)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
