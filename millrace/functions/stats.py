@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,6 +136,49 @@ def sparse_moments(df: DataFrame, n_rows: int, width: int, row: str = "row_id",
     return Moments(n_rows, sums / n_rows, m - np.outer(sums, sums) / n_rows)
 
 
+def training_rows(df: DataFrame, cols: Sequence[Column], labels: Sequence[Column]) -> DataFrame:
+    """(x, y) arrays, checkpointed, for algorithms that go over them many times."""
+    rows = df.select(F.array(*cols).alias("x"), F.array(*[c.cast("double") for c in labels]).alias("y"))
+    bad = F.exists("x", lambda v: v.isNull()) | F.exists("y", lambda v: v.isNull())
+    return settled(rows.withColumn("x", F.when(bad, F.raise_error(F.lit("NULL in features or label; use an imputer first"))).otherwise(F.col("x"))))
+
+
+def mixed_epochs(rows: DataFrame, state: np.ndarray, epoch: Callable, start: int, stop: int, done: Callable) -> tuple[np.ndarray, float, int]:
+    """Stochastic passes over rows that stay in Spark: in each epoch every task goes over its own rows from the
+    same state, and the states are averaged by their numbers of rows.
+
+    ``epoch(x, y, state, epoch, seen)`` returns the state after a batch and the batch's loss;
+    ``done(old, new, mean loss)`` ends.  The state, the mean loss and the number of epochs come back.
+    """
+    loss, k = 0.0, start
+    for k in range(start, stop):
+        now, number = state, k
+
+        def run(batches):
+            import pyarrow as pa
+
+            s, n, total = now.copy(), 0, 0.0
+            for b in batches:
+                if b.num_rows:
+                    x = np.asarray(b.column(0).flatten(), float).reshape(b.num_rows, -1)
+                    y = np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1)
+                    s, more = epoch(x, y, s, number, n)
+                    n, total = n + len(x), total + more
+            if n:
+                yield pa.RecordBatch.from_pydict({"v": [np.r_[float(n), total, n * s].tolist()]})
+
+        flat = np.zeros(2 + len(state))
+        for r in rows.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
+            flat[r["at"]] = r["v"]
+        if not flat[0]:
+            raise ValueError("empty input")
+        new, loss = flat[2:] / flat[0], float(flat[1] / flat[0])
+        finished, state = done(state, new, loss), new
+        if finished:
+            break
+    return state, loss, k + 1
+
+
 def quantiles(df: DataFrame, cols: Sequence[Column], shares: Sequence[float]) -> np.ndarray:
     """Exact linear-interpolated quantiles, one row a column (nulls don't count).
 

@@ -1,7 +1,9 @@
 """Support vector machines, multilayer perceptrons and Gaussian processes.
 
-Training needs all rows in one place (at most ``max_rows``); scoring is batched numpy against
-the fitted arrays, on any number of rows.
+Kernel machines and Gaussian processes need all rows in one place (at most ``max_rows``).  Linear
+machines and perceptrons do up to that number, for passes in a set order; more rows stay in Spark, where tasks
+pass over their own rows and their weights are averaged after each epoch.  Scoring is batched numpy
+against the fitted arrays, on any number of rows.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.functions.core import MAX_ROWS, Classifier, Estimator, Predictor, argmax, collect_bounded, dot, row_function
+from millrace.functions import stats
+from millrace.functions.core import MAX_ROWS, Classifier, Estimator, Predictor, argmax, classes_of, collect_bounded, dot, row_function
 from millrace.functions.metrics import kernel
 from millrace.functions.special import erf, sigmoid, softmax
 
@@ -21,13 +24,22 @@ def _labels(y):
 
 
 class LinearSVC(Classifier):
-    """Hinge or squared hinge by stochastic gradients, one against the rest."""
+    """Hinge or squared hinge by stochastic gradients, one against the rest; beyond ``max_rows`` by averaged passes."""
 
     defaults = {"C": 1.0, "loss": "squared_hinge", "tol": 1e-4, "max_iter": 1000, "fit_intercept": True, "random_state": None}
     max_rows = MAX_ROWS * 20
 
     def fit(self, df, features, label, id_col=None):
-        self._start(df, features, label)
+        cols = self._start(df, features, label)
+        if df.limit(self.max_rows + 1).count() > self.max_rows:
+            self.classes_ = classes_of(df, label)
+            if len(self.classes_) < 2:
+                raise ValueError("one class only")
+            rows = stats.training_rows(df, cols, [F.col(label)])
+            got = [self._head_far(rows, c) for c in (self.classes_[1:] if len(self.classes_) == 2 else self.classes_)]
+            self.coef_, self.intercept_ = np.array([w for w, _ in got]), np.array([b for _, b in got])
+            self.fitted = True
+            return self
         x, y, _ = collect_bounded(df, features, label, id_col, self.max_rows)
         self.classes_ = _labels(y)
         if len(self.classes_) < 2:
@@ -38,6 +50,26 @@ class LinearSVC(Classifier):
         self.fitted = True
         return self
 
+    def _head_far(self, rows, c):
+        n, scale, each = _sizes(rows)
+        lam, squared, tol, seed, free = 1 / (self.C * n), self.loss == "squared_hinge", self.tol, self.random_state or 0, self.fit_intercept
+
+        def epoch(x, y, s, k, seen):
+            w, b, t, y = s[:-1].copy(), s[-1], k * each + seen, np.where(y[:, 0] == c, 1.0, -1.0)
+            for i in np.random.default_rng([seed, k, seen]).permutation(len(x)):
+                t += 1
+                rate = 1 / (2 * scale + lam * t)
+                m = 1 - y[i] * (x[i] @ w + b)
+                w *= 1 - rate * lam
+                if m > 0:
+                    step = rate * y[i] * (2 * m if squared else 1)
+                    w += step * x[i]
+                    b += step * free
+            return np.r_[w, b], 0.0
+
+        s, _, _ = stats.mixed_epochs(rows, np.zeros(self.width + 1), epoch, 0, self.max_iter, lambda old, new, _: np.abs(new - old)[:-1].max() < tol)
+        return s[:-1], float(s[-1])
+
     def _head(self, x, y):
         rng, n = np.random.default_rng(self.random_state), len(x)
         lam, scale = 1 / (self.C * n), float((x * x).sum(axis=1).max()) + 1
@@ -69,13 +101,15 @@ class LinearSVC(Classifier):
 
 
 class LinearSVR(Predictor):
-    """Epsilon-insensitive loss (plain or squared) by stochastic gradients."""
+    """Epsilon-insensitive loss (plain or squared) by stochastic gradients; beyond ``max_rows`` by averaged passes."""
 
     defaults = {"C": 1.0, "epsilon": 0.0, "loss": "epsilon_insensitive", "tol": 1e-4, "max_iter": 1000, "fit_intercept": True, "random_state": None}
     max_rows = MAX_ROWS * 20
 
     def fit(self, df, features, label, id_col=None):
-        self._start(df, features, label)
+        cols = self._start(df, features, label)
+        if df.limit(self.max_rows + 1).count() > self.max_rows:
+            return self._fit_far(stats.training_rows(df, cols, [F.col(label)]))
         x, y, _ = collect_bounded(df, features, label, id_col, self.max_rows)
         rng, n = np.random.default_rng(self.random_state), len(x)
         lam, scale = 1 / (self.C * n), float((x * x).sum(axis=1).max()) + 1
@@ -97,10 +131,40 @@ class LinearSVR(Predictor):
         self.coef_, self.intercept_, self.fitted = w, float(b), True
         return self
 
+    def _fit_far(self, rows):
+        n, scale, each = _sizes(rows)
+        r = rows.agg(F.avg(F.col("y")[0]).alias("m"), F.stddev_pop(F.col("y")[0]).alias("s")).first()
+        lam, squared, spread, eps, seed, free, tol = 1 / (self.C * n), "squared" in self.loss, r["s"] + 1e-12, self.epsilon, self.random_state or 0, self.fit_intercept, self.tol
+
+        def epoch(x, y, s, k, seen):
+            w, b, t = s[:-1].copy(), s[-1], k * each + seen
+            for i in np.random.default_rng([seed, k, seen]).permutation(len(x)):
+                t += 1
+                gap = y[i, 0] - x[i] @ w - b
+                far = abs(gap) - eps
+                rate = 1 / (2 * scale + lam * t) if squared else spread / (scale * math.sqrt(t))
+                w *= 1 - rate * lam
+                if far > 0:
+                    step = rate * np.sign(gap) * (2 * far if squared else 1)
+                    w += step * x[i]
+                    b += step * free
+            return np.r_[w, b], 0.0
+
+        s, _, _ = stats.mixed_epochs(rows, np.r_[np.zeros(self.width), r["m"] if free else 0.0], epoch, 0, self.max_iter, lambda old, new, _: np.abs(new - old)[:-1].max() < tol)
+        self.coef_, self.intercept_, self.fitted = s[:-1], float(s[-1]), True
+        return self
+
     def predict(self, df, features=None, out="prediction"):
         return df.withColumn(out, dot(self._ready(df, features), self.coef_, self.intercept_))
 
 
+def _sizes(rows):
+    """The number of rows, the largest squared length and one, and the rows of a task on the average."""
+    square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("q")).first()
+    return r["n"], float(r["q"]) + 1, r["n"] / max(1, rows.rdd.getNumPartitions())
+
+
 def pair_steps(q: np.ndarray, p: np.ndarray, y: np.ndarray, a: np.ndarray, upper: np.ndarray, tol: float, max_iter: int, same_sign: bool = False) -> tuple[np.ndarray, float]:
     """min a'Qa/2 + p'a with y'a fixed and 0 <= a <= upper, by maximal violating pairs of second order.
 
@@ -314,6 +378,8 @@ ACTIVATIONS = {
 
 
 class _Perceptrons(Estimator):
+    """Beyond ``max_rows`` rows stay in Spark and passes are averaged."""
+
     defaults = {"hidden_layer_sizes": (100,), "activation": "relu", "solver": "adam", "alpha": 1e-4, "learning_rate_init": 1e-3, "max_iter": 200, "tol": 1e-4, "batch_size": 0, "random_state": None, "beta_1": 0.9, "beta_2": 0.999, "epsilon": 1e-8}
     max_rows = MAX_ROWS * 20
 
@@ -321,43 +387,87 @@ class _Perceptrons(Estimator):
         """``head``: raw outputs to predictions whose error against ``t`` is the output layer's gradient."""
         if self.solver not in ("adam", "sgd"):
             raise ValueError("solver is adam or sgd")
-        f, slope = ACTIVATIONS[self.activation]
-        rng, sizes = np.random.default_rng(self.random_state), [x.shape[1], *self.hidden_layer_sizes, t.shape[1]]
-        bound = [math.sqrt(6 / (a + b)) for a, b in zip(sizes, sizes[1:])]
-        ws = [rng.uniform(-s, s, (a, b)) for s, a, b in zip(bound, sizes, sizes[1:])]
-        bs = [np.zeros(b) for b in sizes[1:]]
-        params = [*ws, *bs]
-        m, v, step, n = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, len(x)
-        batch, last, still = self.batch_size or min(200, n), np.inf, 0
+        rng, n = np.random.default_rng(self.random_state), len(x)
+        params = self._first(rng, x.shape[1], t.shape[1])
+        m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        last, still = np.inf, 0
         for self.n_iter_run_ in range(1, self.max_iter + 1):
-            order, total = rng.permutation(n), 0.0
-            for at in range(0, n, batch):
-                rows = order[at : at + batch]
-                acts = [x[rows]]
-                for w, b in zip(ws[:-1], bs[:-1]):
-                    acts.append(f(acts[-1] @ w + b))
-                out = head(acts[-1] @ ws[-1] + bs[-1])
-                total += self._loss(out, t[rows]) * len(rows)
-                d, gw, gb = (out - t[rows]) / len(rows), [], []
-                for k in range(len(ws) - 1, -1, -1):
-                    gw.insert(0, acts[k].T @ d + self.alpha * ws[k])
-                    gb.insert(0, d.sum(axis=0))
-                    if k:
-                        d = (d @ ws[k].T) * slope(acts[k])
-                step += 1
-                for i, (p, g) in enumerate(zip(params, [*gw, *gb])):
-                    if self.solver == "sgd":
-                        p -= self.learning_rate_init * g
-                        continue
-                    m[i] = self.beta_1 * m[i] + (1 - self.beta_1) * g
-                    v[i] = self.beta_2 * v[i] + (1 - self.beta_2) * g * g
-                    p -= self.learning_rate_init * (m[i] / (1 - self.beta_1**step)) / (np.sqrt(v[i] / (1 - self.beta_2**step)) + self.epsilon)
+            total, step = self._epoch(x, t, rng.permutation(n), params, m, v, step, head, self.batch_size or min(200, n))
             self.loss_ = total / n
             still = still + 1 if last - self.loss_ < self.tol else 0
             last = min(last, self.loss_)
             if still >= 10:
                 break
-        self.coefs_, self.intercepts_, self.fitted = ws, bs, True
+        self._keep(params)
+        return self
+
+    def _first(self, rng, p, q):
+        sizes = [p, *self.hidden_layer_sizes, q]
+        bound = [math.sqrt(6 / (a + b)) for a, b in zip(sizes, sizes[1:])]
+        return [*[rng.uniform(-s, s, (a, b)) for s, a, b in zip(bound, sizes, sizes[1:])], *[np.zeros(b) for b in sizes[1:]]]
+
+    def _keep(self, params):
+        half = len(params) // 2
+        self.coefs_, self.intercepts_, self.fitted = params[:half], params[half:], True
+
+    def _epoch(self, x, t, order, params, m, v, step, head, batch):
+        """One pass in the order given, changing weights and moments in place; the summed loss and the number of steps."""
+        f, slope = ACTIVATIONS[self.activation]
+        ws, bs, total = params[: len(params) // 2], params[len(params) // 2 :], 0.0
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            acts = [x[rows]]
+            for w, b in zip(ws[:-1], bs[:-1]):
+                acts.append(f(acts[-1] @ w + b))
+            out = head(acts[-1] @ ws[-1] + bs[-1])
+            total += self._loss(out, t[rows]) * len(rows)
+            d, gw, gb = (out - t[rows]) / len(rows), [], []
+            for k in range(len(ws) - 1, -1, -1):
+                gw.insert(0, acts[k].T @ d + self.alpha * ws[k])
+                gb.insert(0, d.sum(axis=0))
+                if k:
+                    d = (d @ ws[k].T) * slope(acts[k])
+            step += 1
+            for i, (p, g) in enumerate(zip(params, [*gw, *gb])):
+                if self.solver == "sgd":
+                    p -= self.learning_rate_init * g
+                    continue
+                m[i][...] = self.beta_1 * m[i] + (1 - self.beta_1) * g
+                v[i][...] = self.beta_2 * v[i] + (1 - self.beta_2) * g * g
+                p -= self.learning_rate_init * (m[i] / (1 - self.beta_1**step)) / (np.sqrt(v[i] / (1 - self.beta_2**step)) + self.epsilon)
+        return total, step
+
+    def _train_far(self, rows, q, target, head):
+        """Averaged passes: the state holds the weights, their moments and the number of steps."""
+        if self.solver not in ("adam", "sgd"):
+            raise ValueError("solver is adam or sgd")
+        first = self._first(np.random.default_rng(self.random_state), self.width, q)
+        shapes, seed, size, watch = [p.shape for p in first], self.random_state or 0, sum(p.size for p in first), {"last": np.inf, "still": 0}
+
+        def split(s):
+            out, at = [], 0
+            for _ in range(3):
+                own = []
+                for shape in shapes:
+                    own.append(s[at : at + math.prod(shape)].reshape(shape).copy())
+                    at += math.prod(shape)
+                out.append(own)
+            return out
+
+        def epoch(x, y, s, k, seen):
+            params, m, v = split(s)
+            order = np.random.default_rng([seed, k, seen]).permutation(len(x))
+            total, step = self._epoch(x, target(y), order, params, m, v, round(s[-1]), head, self.batch_size or 200)
+            return np.r_[np.concatenate([a.ravel() for a in (*params, *m, *v)]), float(step)], total
+
+        def done(old, new, loss):
+            watch["still"] = watch["still"] + 1 if watch["last"] - loss < self.tol else 0
+            watch["last"] = min(watch["last"], loss)
+            return watch["still"] >= 10
+
+        start = np.r_[np.concatenate([p.ravel() for p in first]), np.zeros(2 * size + 1)]
+        state, self.loss_, self.n_iter_run_ = stats.mixed_epochs(rows, start, epoch, 0, self.max_iter, done)
+        self._keep(split(state)[0])
         return self
 
     def _forward(self, head):
@@ -374,8 +484,10 @@ class _Perceptrons(Estimator):
 class MLPRegressor(_Perceptrons, Predictor):
     def fit(self, df, features, label, id_col=None):
         labels = [label] if isinstance(label, str) else list(label)
-        self._start(df, features, labels[0])
+        cols = self._start(df, features, labels[0])
         self.n_outputs_ = len(labels)
+        if df.limit(self.max_rows + 1).count() > self.max_rows:
+            return self._train_far(stats.training_rows(df, cols, [F.col(c) for c in labels]), len(labels), lambda y: y, lambda z: z)
         x, y, _ = collect_bounded(df, features, labels, id_col, self.max_rows)
         return self._train(x, y, lambda z: z)
 
@@ -394,7 +506,14 @@ class MLPRegressor(_Perceptrons, Predictor):
 
 class MLPClassifier(_Perceptrons, Classifier):
     def fit(self, df, features, label, id_col=None):
-        self._start(df, features, label)
+        cols = self._start(df, features, label)
+        if df.limit(self.max_rows + 1).count() > self.max_rows:
+            self.classes_ = classes_of(df, label)
+            self.n_classes_ = k = len(self.classes_)
+            if k < 2:
+                raise ValueError("one class only")
+            named = np.array(self.classes_, float)[1 if k == 2 else 0 :]
+            return self._train_far(stats.training_rows(df, cols, [F.col(label)]), len(named), lambda y: (y == named[None]).astype(float), self._head())
         x, y, _ = collect_bounded(df, features, label, id_col, self.max_rows)
         self.classes_ = _labels(y)
         self.n_classes_ = len(self.classes_)

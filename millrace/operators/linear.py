@@ -272,10 +272,30 @@ class LogisticRegression(LinearClassifier):
 
 
 class _Stochastic:
-    """Order-dependent passes over at most ``max_rows`` rows, in id order, shuffled by a seed each epoch."""
+    """Order-dependent passes over at most ``max_rows`` rows, in id order, shuffled by a seed each epoch.
+
+    More rows stay in Spark: tasks pass over their own rows, and their weights are averaged after each epoch.
+    """
 
     max_rows = MAX_ROWS * 20
 
+    def _many(self, df):
+        return df.limit(self.max_rows + 1).count() > self.max_rows
+
+    def _far(self, rows, w, b, loss, start, stop, target=lambda y: y):
+        eta, alpha, tol, seed = self.eta0, self.alpha, self.tol, self.random_state or 0
+
+        def epoch(x, y, s, k, seen):
+            w, b, t = s[:-1], s[-1], target(y[:, 0])
+            rate = eta / (1 + eta * alpha * k)
+            for i in np.random.default_rng([seed, k, seen]).permutation(len(x)):
+                g = loss(x[i] @ w + b, t[i])
+                w, b = w - rate * (g * x[i] + alpha * w), b - rate * g
+            return np.r_[w, b], 0.0
+
+        s, _, self.n_iter_ = stats.mixed_epochs(rows, np.r_[w, b], epoch, start, stop, lambda old, new, _: np.abs(new - old).max() < tol * eta)
+        return s[:-1], float(s[-1])
+
     def _epochs(self, x, y, w, b, loss, start, stop):
         rng = np.random.default_rng(self.random_state)
         for epoch in range(start, stop):
@@ -313,7 +333,16 @@ class SGDClassifier(_Stochastic, LinearClassifier):
         self.coef_, self.intercept_, self.epoch_ = np.zeros((n, self.width)), np.zeros(n), 0
 
     def fit(self, df, features, label, id_col=None):
-        self._start(df, features, label)
+        cols = self._start(df, features, label)
+        if self._many(df):
+            self._reset(classes_of(df, label))
+            if len(self.classes_) < 2:
+                raise ValueError("one class only")
+            rows = stats.training_rows(df, cols, [F.col(label)])
+            for k, c in enumerate(self.classes_[1:] if len(self.classes_) == 2 else self.classes_):
+                self.coef_[k], self.intercept_[k] = self._far(rows, self.coef_[k], self.intercept_[k], LOSSES[self.loss], 0, self.max_iter, lambda y, c=c: np.where(y == c, 1.0, -1.0))
+            self.fitted = True
+            return self
         x, y, _ = collect_bounded(df, features, label, id_col, self.max_rows)
         self._reset([int(c) if float(c).is_integer() else c for c in np.unique(y)])
         if len(self.classes_) < 2:
@@ -359,6 +388,11 @@ class SGDRegressor(_Stochastic, Predictor):
         if not self.fitted:
             self._start(df, features, label)
             self.coef_, self.intercept_, self.epoch_ = np.zeros(self.width), 0.0, 0
+        if self._many(df):
+            rows = stats.training_rows(df, self._ready(df, features) if self.fitted else columns(df, features), [F.col(label)])
+            self.coef_, self.intercept_ = self._far(rows, self.coef_, self.intercept_, lambda f, t: f - t, self.epoch_, self.epoch_ + epochs)
+            self.epoch_, self.fitted = self.epoch_ + epochs, True
+            return self
         x, y, _ = collect_bounded(df, features, label, id_col, self.max_rows)
         self.coef_, self.intercept_ = self._epochs(x, y, self.coef_, self.intercept_, lambda f, t: f - t, self.epoch_, self.epoch_ + epochs)
         self.epoch_, self.fitted = self.epoch_ + epochs, True

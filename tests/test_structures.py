@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from millrace.functions import pairwise
-from millrace.operators import cluster, covariance, kernels, manifold, neighbors, preprocessing, selection, trees
+from millrace.operators import cluster, covariance, kernels, linear, manifold, neighbors, preprocessing, selection, trees
 from millrace.sources import tables
 from millrace.streaming import incremental
 from pyspark.sql import functions as F
@@ -302,3 +302,24 @@ def test_forests_and_boosting_in_spark(frame):
     assert far.score(df, "y") > 0.8 and 0.5 < far.oob_score_ < 1 and len({str(a[1]) for a in far.estimators_}) > 15
     w = trees.bootstrap_weights(np.arange(200_000), 1, 7, 1.0)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+
+
+def test_passes_over_rows_that_stay_in_spark(frame):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(600, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] > 0).astype(int)
+    z = 3 * x[:, 0] - x[:, 1] + 2
+    for model, target, least in (
+        (linear.SGDClassifier(max_iter=15), y, 0.95), (linear.Perceptron(max_iter=10), y, 0.9), (linear.SGDRegressor(max_iter=20), z, 0.95),
+        (kernels.LinearSVC(max_iter=15), y, 0.95), (kernels.LinearSVR(max_iter=25), z, 0.95),
+        (kernels.MLPClassifier(hidden_layer_sizes=(8,), max_iter=40, learning_rate_init=0.01, random_state=1), y, 0.95),
+        (kernels.MLPRegressor(hidden_layer_sizes=(8,), max_iter=60, learning_rate_init=0.02, random_state=1), z, 0.9),
+    ):
+        df, names = frame(x, target)
+        model.max_rows = 100
+        assert model.fit(df, names, "y").score(df, "y") >= least, type(model).__name__
+    three = (x[:, 0] > 0.5).astype(int) + (x[:, 0] > -0.5)
+    df, names = frame(x, three)
+    m = kernels.MLPClassifier(hidden_layer_sizes=(8,), max_iter=40, learning_rate_init=0.02, random_state=1)
+    m.max_rows = 100
+    assert m.fit(df, names, "y").score(df, "y") > 0.85
