@@ -253,24 +253,6 @@ def ridge_classifier(spark, sf):
     return _coefficients(spark, linear.RidgeClassifier().fit(table(spark, sf, "lineitem").withColumn("y", (F.col("l_linestatus") == "O").cast("int")), ["l_quantity"], "y"), 8)
 
 
-@query()
-def sgd_classifier(spark, sf):
-    m = linear.SGDClassifier(max_iter=5).fit(e := embedded(spark, sf), "embedding", "label", "vec_id")
-    return m.predict(e).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def sgd_regressor(spark, sf):
-    e = embedded(spark, sf).withColumn("y", F.col("label").cast("double"))
-    return numbers(spark, linear.SGDRegressor(max_iter=5).fit(e, "embedding", "y", "vec_id").coef_)
-
-
-@query()
-def perceptron(spark, sf):
-    m = linear.Perceptron(max_iter=5).fit(e := embedded(spark, sf), "embedding", "label", "vec_id")
-    return m.predict(e).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- discriminants, naive Bayes, covariance ------------------------------------------------------
 
 
@@ -373,12 +355,6 @@ def elliptic_envelope(spark, sf):
     return m.score_samples(df).agg(F.round(F.lit(m.offset_), 6).alias("cut"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-@query()
-def isolation_forest(spark, sf):
-    m = covariance.IsolationForest(n_estimators=20).fit(e := embedded(spark, sf), "embedding")
-    return m.score_samples(e).select("vec_id", F.round("score", 6).alias("score"))
-
-
 # --- decomposition --------------------------------------------------------------------------
 
 
@@ -539,18 +515,6 @@ def kmeans_fixed_init(spark, sf):
     return numbers(spark, m.fit(df, ["p_size", "price"]).cluster_centers_, 6)
 
 
-@query()
-def kmeans(spark, sf):
-    m = cluster.KMeans(n_clusters=10, n_init=2, max_iter=20).fit(e := embedded(spark, sf), "embedding")
-    return m.predict(e).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def mini_batch_kmeans(spark, sf):
-    m = cluster.MiniBatchKMeans(n_clusters=4, max_iter=5).fit(table(spark, sf, "customer").withColumn("n", F.col("c_nationkey") * 100.0), ["n", "c_acctbal"])
-    return numbers(spark, np.sort(m.cluster_centers_[:, 1]), 3)
-
-
 @query(
     f"WITH RECURSIVE d AS (SELECT q.vec_id AS a, t.vec_id AS b FROM embeddings q, embeddings t WHERE {_D2} <= 1.0), core AS (SELECT a FROM d GROUP BY a HAVING count(*) >= 5), "
     "e AS (SELECT a, b FROM d WHERE a IN (FROM core) AND b IN (FROM core)), r(a, root) AS (SELECT a, a FROM core UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a WHERE r.root < e.b), "
@@ -561,12 +525,6 @@ def dbscan(spark, sf):
     return cluster.DBSCAN(eps=1.0).fit_predict(embedded(spark, sf), "embedding", "vec_id").select("vec_id", "cluster")
 
 
-@query()
-def birch(spark, sf):
-    m = cluster.Birch(threshold=500.0).fit(df := table(spark, sf, "supplier"), ["s_acctbal"], id_col="s_suppkey")
-    return m.predict(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- metrics ------------------------------------------------------------------------------------
 
 
@@ -650,12 +608,6 @@ def grid_search_ridge(spark, sf):
     return numbers(spark, m.cv_results_mean_score_, 7)
 
 
-@query()
-def calibrated_classifier(spark, sf):
-    m = selection.CalibratedClassifierCV(estimator=linear.LogisticRegression(max_iter=5), cv=3).fit(df := labelled(spark, sf), ["x"], "y", "doc_id")
-    return m.predict_proba(df).select("doc_id", F.round(F.col("probability")[1], 6).alias("p"))
-
-
 # --- trees, kernels, embeddings -------------------------------------------------------------------
 
 
@@ -672,52 +624,6 @@ def decision_stump(spark, sf):
     return spark.createDataFrame([(float(t.threshold[0]), float(t.gain[0]))], "threshold double, g double").select("threshold", F.round("g", 5).alias("gain"))
 
 
-def _predicted(name, model, label="label", source=None):
-    def f(spark, sf):
-        df = (source or embedded)(spark, sf)
-        return model().fit(df, "embedding", label).predict(df).select("vec_id", F.round(F.col("prediction").cast("double"), 6).alias("prediction"))
-
-    f.__name__ = name
-    query()(f)
-
-
-def _two(spark, sf):
-    return embedded(spark, sf).withColumn("two", (F.col("label") % 2).cast("int")).withColumn("y", F.col("label").cast("double"))
-
-
-_predicted("linear_svc", lambda: kernels.LinearSVC(max_iter=3, random_state=1))
-_predicted("linear_svr", lambda: kernels.LinearSVR(max_iter=3, random_state=1), "y", _two)
-_predicted("svc", lambda: kernels.SVC(), "two", _two)
-_predicted("svr", lambda: kernels.SVR(max_iter=100), "y", _two)
-_predicted("nu_svc", lambda: kernels.NuSVC(nu=0.3), "two", _two)
-_predicted("nu_svr", lambda: kernels.NuSVR(max_iter=100), "y", _two)
-_predicted("mlp_classifier", lambda: kernels.MLPClassifier(hidden_layer_sizes=(16,), max_iter=10, random_state=1))
-_predicted("mlp_regressor", lambda: kernels.MLPRegressor(hidden_layer_sizes=(16,), max_iter=10, random_state=1), "y", _two)
-_predicted("gaussian_process_classifier", lambda: kernels.GaussianProcessClassifier(max_iter=20), "two", _two)
-
-
-@query()
-def one_class_svm(spark, sf):
-    m = kernels.OneClassSVM(nu=0.2).fit(e := embedded(spark, sf), "embedding", "vec_id")
-    return m.predict(e).select("vec_id", "prediction")
-
-
-def _embedding(name, model):
-    def f(spark, sf):
-        df = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("a"), (F.col("s_nationkey") / 5).alias("b"), (F.col("s_acctbal") * F.col("s_nationkey") / 20000).alias("c"))
-        return model().fit_transform(df, ["a", "b", "c"], "s_suppkey").select("s_suppkey", F.round("e0", 4).alias("e0"), F.round("e1", 4).alias("e1"))
-
-    f.__name__ = name
-    query()(f)
-
-
-_embedding("mds", lambda: manifold.MDS(n_init=1, max_iter=50, random_state=1))
-_embedding("locally_linear_embedding", lambda: manifold.LocallyLinearEmbedding())
-_embedding("spectral_embedding", lambda: manifold.SpectralEmbedding())
-_embedding("tsne", lambda: manifold.TSNE(perplexity=5.0, n_iter=100, random_state=1))
-_embedding("umap", lambda: manifold.UMAP(n_neighbors=5, n_epochs=30, random_state=1))
-
-
 # --- streaming ----------------------------------------------------------------------------------
 
 

@@ -10,7 +10,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import cluster, decomposition, kernels, linear, manifold, preprocessing, selection, trees
+from millrace.functions import pairwise
+from millrace.functions.core import settled
+from millrace.operators import cluster, covariance, decomposition, kernels, linear, manifold, preprocessing, selection, trees
 from millrace.plans.catalogue import LABELLED, LINE, OLS2, X2, _coefficients, _orders_folded, _ridge_scores, _FOLDS, _vector, embedded, labelled, numbers, query
 from millrace.sources.tables import table
 
@@ -390,3 +392,133 @@ _trees("gradient_boosting_regressor", _boosted("y", False, False, 1), lambda: tr
 _probabilities("gradient_boosting_classifier", _boosted("two", True, False, 1), lambda: trees.GradientBoostingClassifier(n_estimators=3, max_depth=1))
 _trees("hist_gradient_boosting_regressor", _boosted("y", False, True, 20).replace("n * (f) * (1 - (f))", "n"), lambda: trees.HistGradientBoostingRegressor(max_iter=3, max_leaf_nodes=2), "y", 6)
 _probabilities("hist_gradient_boosting_classifier", _boosted("two", True, True, 20), lambda: trees.HistGradientBoostingClassifier(max_iter=3, max_leaf_nodes=2))
+
+
+# --- separated groups and lines without noise: what every estimator of its kind must find -------------------------
+
+
+_GROUPS = "t AS (SELECT s_suppkey AS id, (s_suppkey % 2)::INT AS y, (s_suppkey % 2 * 2 - 1) * (1 + s_nationkey / 25.0::DOUBLE) AS x, s_acctbal / 10000.0::DOUBLE AS z FROM supplier)"
+
+
+def groups(spark, sf):
+    """Two groups, two apart at least in x, with noise in z."""
+    df = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 2).cast("int").alias("y"), F.col("s_nationkey").alias("n"), (F.col("s_acctbal") / 10000.0).alias("z"))
+    return df.withColumn("x", (F.col("y") * 2 - 1) * (F.col("n") / 25.0 + 1))
+
+
+def _separates(name, model):
+    def f(spark, sf):
+        m = model().fit(df := groups(spark, sf), ["x", "z"], "y", "id")
+        return m.predict(df).select("id", F.col("prediction").cast("int").alias("prediction"))
+
+    f.__name__ = name
+    query(f"WITH {_GROUPS} SELECT id, y AS prediction FROM t")(f)
+
+
+_separates("sgd_classifier", lambda: linear.SGDClassifier(max_iter=50))
+_separates("perceptron", lambda: linear.Perceptron(max_iter=50))
+_separates("linear_svc", lambda: kernels.LinearSVC(max_iter=50, random_state=1))
+_separates("mlp_classifier", lambda: kernels.MLPClassifier(hidden_layer_sizes=(16,), max_iter=300, learning_rate_init=0.01, random_state=1))
+_separates("gaussian_process_classifier", lambda: kernels.GaussianProcessClassifier(max_iter=20))
+_separates("nu_svc", lambda: kernels.NuSVC(nu=0.3))
+_separates("calibrated_classifier", lambda: selection.CalibratedClassifierCV(estimator=linear.LogisticRegression(max_iter=20), cv=3))
+
+
+@query(f"WITH {_GROUPS}, g AS (SELECT max(x) FILTER (y = 0) AS a, min(x) FILTER (y = 1) AS b FROM t) SELECT id, round((2 * x - a - b) / (b - a), 4) AS decision FROM t, g")
+def svc(spark, sf):
+    """On one feature the widest margin lies between the nearest rows of the classes."""
+    m = kernels.SVC(kernel="linear", C=1000.0, tol=1e-9).fit(df := groups(spark, sf), ["x"], "y", "id")
+    return m.decision_function(df).select("id", F.round("decision", 4).alias("decision"))
+
+
+_LINE = f"WITH {_GROUPS} SELECT id, round(2 * x - 3 * z + 1, 2) + 0.0 AS prediction FROM t"
+
+
+def _on_a_line(name, model):
+    def f(spark, sf):
+        df = groups(spark, sf).withColumn("y", F.col("x") * 2 - F.col("z") * 3 + 1)
+        return model().fit(df, ["x", "z"], "y", "id").predict(df).select("id", (F.round("prediction", 2) + 0.0).alias("prediction"))
+
+    f.__name__ = name
+    query(_LINE)(f)
+
+
+_on_a_line("sgd_regressor", lambda: linear.SGDRegressor(max_iter=3000, alpha=0.0, tol=0.0))
+_on_a_line("linear_svr", lambda: kernels.LinearSVR(max_iter=3000, C=1e6, loss="squared_epsilon_insensitive", tol=1e-9, random_state=1))
+_on_a_line("svr", lambda: kernels.SVR(kernel="linear", C=1000.0, epsilon=0.0, tol=1e-6))
+_on_a_line("nu_svr", lambda: kernels.NuSVR(kernel="linear", C=1000.0, nu=0.5, tol=1e-6))
+
+
+# Without a hidden layer it is a linear model.
+_on_a_line("mlp_regressor", lambda: kernels.MLPRegressor(hidden_layer_sizes=(), max_iter=3000, learning_rate_init=0.02, alpha=0.0, tol=0.0, random_state=1))
+
+
+_FAR = "t AS (SELECT s_suppkey AS id, s_nationkey + CASE WHEN s_suppkey % 4 = 0 THEN 1000000 ELSE 0 END::DOUBLE AS x FROM supplier)"
+_RANGES = f"WITH {_FAR} SELECT min(x) AS low, max(x) AS high, count(*)::BIGINT AS n FROM t GROUP BY x > 500000"
+
+
+def far_groups(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") + F.when(F.col("s_suppkey") % 4 == 0, 1000000.0).otherwise(0.0)).alias("x"))
+
+
+def _ranges(df):
+    return df.groupBy("cluster").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n")).drop("cluster")
+
+
+@query(_RANGES)
+def kmeans(spark, sf):
+    return _ranges(cluster.KMeans(n_clusters=2, n_init=2).fit(df := far_groups(spark, sf), ["x"]).predict(df))
+
+
+@query(f"WITH {_FAR} SELECT (x > 500000)::INT AS i, round(avg(x), 4) AS value FROM t GROUP BY 1")
+def mini_batch_kmeans(spark, sf):
+    """Batches of all rows: the centres are the groups' means."""
+    m = cluster.MiniBatchKMeans(n_clusters=2, max_iter=5, batch_size=1_000_000_000).fit(far_groups(spark, sf), ["x"])
+    return numbers(spark, np.sort(m.cluster_centers_[:, 0]), 4)
+
+
+@query(_RANGES)
+def birch(spark, sf):
+    return _ranges(cluster.Birch(threshold=3.0, n_clusters=2).fit(df := far_groups(spark, sf), ["x"], id_col="id").predict(df))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 20 = 0 THEN -1 ELSE 1 END AS prediction FROM supplier")
+def isolation_forest(spark, sf):
+    """A twentieth of the rows lies far off."""
+    df = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 10000 + F.when(F.col("s_suppkey") % 20 == 0, (F.col("s_suppkey") + 20) * 1000.0).otherwise(0.0)).alias("x"))
+    size = min(64, df.limit(64).count())  # small tables have fewer rows than a sample
+    return covariance.IsolationForest(n_estimators=50, max_samples=size, contamination=0.05).fit(df, ["x"], "id").predict(df).select("id", "prediction")
+
+
+@query(
+    "WITH t AS (SELECT s_suppkey AS id, 1 + s_suppkey / 7.0::DOUBLE AS x FROM supplier), n AS (SELECT count(*) AS n FROM t), r AS (SELECT *, row_number() OVER (ORDER BY x) AS k FROM t, n), "
+    "s AS (SELECT max(x) FILTER (k <= ceil(0.2551 * n)) AS x0 FROM r) SELECT id, CASE WHEN x > x0 THEN 1 ELSE -1 END AS prediction FROM t, s WHERE x <> x0"
+)
+def one_class_svm(spark, sf):
+    """With x z as kernel the rows nearest to zero are outside; the row on the border isn't judged."""
+    df = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") / 7.0 + 1).alias("x"))
+    p = kernels.OneClassSVM(kernel="linear", nu=0.2551, tol=1e-9).fit(df, ["x"], "id")
+    scored = p.decision_function(df)
+    return scored.filter(F.abs("decision") > 1e-6).select("id", F.when(F.col("decision") > 0, 1).otherwise(-1).alias("prediction"))
+
+
+def _keeps_groups(name, model):
+    def f(spark, sf):
+        df = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 2).cast("int").alias("g"), (F.col("s_nationkey") / 25.0).alias("a"), (F.col("s_acctbal") / 10000.0).alias("b"))
+        df = df.withColumn("a", F.col("a") + F.col("g") * 20.0)
+        e = model().fit_transform(df, ["a", "b"], "s_suppkey").select("s_suppkey", "g", "e0", "e1")
+        e = settled(e)
+        cols = [F.col("e0"), F.col("e1")]
+        near = pairwise.top_k(pairwise.Index(e, cols, "s_suppkey"), e, cols, "s_suppkey", 1, without_self=True)
+        return near.select(F.col("query_id").alias("s_suppkey"), (F.col("id") % 2).cast("int").alias("nearest"))
+
+    f.__name__ = name
+    f.__doc__ = "The group of each row's nearest neighbour in the embedding: its own."
+    query("SELECT s_suppkey, (s_suppkey % 2)::INT AS nearest FROM supplier")(f)
+
+
+_keeps_groups("mds", lambda: manifold.MDS(n_init=1, max_iter=100, random_state=1))
+_keeps_groups("spectral_embedding", lambda: manifold.SpectralEmbedding(n_neighbors=5))
+_keeps_groups("tsne", lambda: manifold.TSNE(perplexity=8.0, n_iter=600, learning_rate=50.0, random_state=1))
+_keeps_groups("umap", lambda: manifold.UMAP(n_neighbors=4, n_epochs=100, random_state=1))
+_keeps_groups("locally_linear_embedding", lambda: manifold.LocallyLinearEmbedding(n_neighbors=5))
