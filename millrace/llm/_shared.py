@@ -51,6 +51,12 @@ def _remove(uri: str) -> None:
         fs.delete_dir(path)
 
 
+def drop(*uris: str) -> None:
+    """Deletes intermediate tables and files that nothing reads any more: all that came of them is written."""
+    for uri in uris:
+        _remove(uri)
+
+
 def open_fs(uri: str):
     """File system and path of a URI; works on the driver and on every executor."""
     from pyarrow import fs
@@ -113,6 +119,8 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: in
     if row_count(keys) <= (BROADCAST_KEYS if few is None else few):
         return rows.join(F.broadcast(keys.drop(n)), on, "left" if keep else "inner")
     hot = keys.filter(F.col(n) >= max(HOT_ROWS, total // 100_000)).drop(n)
+    if not row_count(hot):
+        return rows.join(keys.drop(n), on, "left" if keep else "inner")
     cold = keys.filter(F.col(n) < max(HOT_ROWS, total // 100_000)).drop(n)
     split = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
     others = split.filter("_hot IS NULL").select(*rows.columns).join(cold, on, "left" if keep else "inner")

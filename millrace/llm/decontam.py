@@ -132,20 +132,29 @@ def clean(docs: DataFrame, benchmark: DataFrame, how: str = "documents", n: int
     """
     uri = S.shared_dir(docs.sparkSession)
     inner, back = S.aside(docs, "doc_id", "text")
-    # The rows are written with their numbers, so that both reads see the same ones.
-    numbered = S.written(inner.withColumn("_row", F.monotonically_increasing_id()), f"{uri}/numbered")
-    own = numbered.select(F.col("_row").alias("row"), "doc_id", words(F.col("text")).alias("w"))
-    found = scan_words(own, benchmark, n).filter(_contaminated()).select(F.col("row").alias("_row"), "hit")
+    # What is found depends on the text alone, so two hashes of it (128 bits) name it: neither texts nor numbers of rows are kept.
+    key = {"_h": F.xxhash64("text"), "_g": F.xxhash64(F.lit(1), "text")}
+    own = inner.select(F.monotonically_increasing_id().alias("row"), F.struct(*[v.alias(k) for k, v in key.items()]).alias("doc_id"), words(F.col("text")).alias("w"))
+    found = scan_words(own, benchmark, n, f"{uri}/scan").filter(_contaminated()).groupBy("doc_id._h", "doc_id._g")
+    found = S.written(found.agg(F.any_value("hit").alias("hit"), F.count(F.lit(1)).alias("n")), f"{uri}/found")
+    S.drop(f"{uri}/scan")
+    rows = found.agg(F.sum("n").alias("n")).first()["n"] or 0
     if how == "documents":
-        return back(numbered.join(found.select("_row"), "_row", "left_anti"))
-    left = F.filter(words(F.col("text")), lambda w, i: ~F.array_contains("hit", i))
-    cut = numbered.join(found, "_row", "left")
-    return back(cut.withColumn("text", F.when(F.col("hit").isNotNull(), F.array_join(left, " ")).otherwise(F.col("text"))))
+        marked = S.join_keys(inner.withColumns(key), found.select("_h", "_g", F.lit(True).alias("gone"), "n"), ["_h", "_g"], "n", rows, keep=True)
+        return back(marked.filter("gone IS NULL"))
+    marked = S.join_keys(inner.withColumns(key), found, ["_h", "_g"], "n", rows, keep=True, few=10_000)
 
+    def without(own):
+        left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("hit"))
+        return F.array_join(F.transform(left, lambda i: F.get(own, i)), " ")
 
-def scan_words(own: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """As ``scan``, for rows (row, doc_id, w) that have their numbers and words."""
-    uri = S.shared_dir(own.sparkSession)
+    cut = F.transform(F.array(words(F.col("text"))), without)[0]
+    return back(marked.withColumn("text", F.when(F.col("hit").isNotNull(), cut).otherwise(F.col("text"))))
+
+
+def scan_words(own: DataFrame, benchmark: DataFrame, n: int = N, uri: str | None = None) -> DataFrame:
+    """As ``scan``, for rows (row, doc_id, w) that have their numbers and words; its tables are below ``uri``."""
+    uri = uri or S.shared_dir(own.sparkSession)
     found = S.written(windows(benchmark, n), f"{uri}/windows")
     each = S.written(candidates(own, found), f"{uri}/scanned")
     # Rows with hits go their own way; those without only give their counts.

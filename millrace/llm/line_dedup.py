@@ -38,11 +38,11 @@ def _line(c):
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """A row for each line that counts of docs (_row, _id, _text, _site): its row, place and two hashes."""
+    """A row for each line that counts of docs (_id, _text, _site): its document's id and hash, its place and two hashes."""
     lines = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("at"), _line(x).alias("line")))
     lines = F.filter(lines, lambda x: x["line"] != "")
-    return docs.select("_row", "_id", F.xxhash64("_text").alias("_own"), F.coalesce("_site", F.lit("\x00none")).alias("_site"), F.explode(lines).alias("x")).select(
-        "_row", "_id", "_own", "_site", F.col("x.at").alias("_at"), F.xxhash64("x.line").alias("_h"), F.xxhash64(F.lit(1), "x.line").alias("_g"),
+    return docs.select("_id", F.xxhash64("_text").alias("_own"), F.coalesce("_site", F.lit("\x00none")).alias("_site"), F.explode(lines).alias("x")).select(
+        "_id", "_own", "_site", F.col("x.at").alias("_at"), F.xxhash64("x.line").alias("_h"), F.xxhash64(F.lit(1), "x.line").alias("_g"),
         (F.size(F.split("x.line", r"[ \t\x0B\f\r]+", SHORT_WORDS)) < SHORT_WORDS).alias("_short"),
     )
 
@@ -71,17 +71,21 @@ def remove_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """``docs`` with ``removed`` (places of removed lines, ascending) and ``clean_text``."""
     uri = S.shared_dir(docs.sparkSession)
     docs, back = S.aside(docs, id_col, text_col, site_col)
-    # The rows are written with their numbers, so that all reads see the same ones: no two rows share a key.
-    docs = S.written(docs.withColumn("_row", F.monotonically_increasing_id()), f"{uri}/rows")
-    lines = S.written(_numbered(docs.select("_row", F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{site_col}`").alias("_site"))), f"{uri}/lines")
+    lines = S.written(_numbered(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{site_col}`").alias("_site"))), f"{uri}/lines")
     found, total = boilerplate(lines, uri, min_sites)
     # All occurrences of boilerplate, and of each line the first.
     hits = S.written(S.join_keys(lines.drop("_site", "_short"), found.select("_h", "_g", "n"), ["_h", "_g"], "n", total), f"{uri}/hits")
     first = hits.groupBy("_h", "_g").agg(F.min(F.struct("_id", "_own", "_at")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = S.written(first, f"{uri}/first")
     is_first = (F.col("first._id").eqNullSafe(F.col("_id"))) & (F.col("first._own").eqNullSafe(F.col("_own"))) & (F.col("first._at") == F.col("_at"))
-    gone = S.join_keys(hits, first, ["_h", "_g"], "n", total).filter(~is_first).groupBy("_row").agg(F.sort_array(F.collect_set("_at")).alias("removed"))
-    out = docs.join(gone, "_row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    gone = S.join_keys(hits, first, ["_h", "_g"], "n", total).filter(~is_first).groupBy("_id", "_own").agg(F.sort_array(F.collect_set("_at")).alias("removed"), F.count(F.lit(1)).alias("n"))
+    # A document's key is its id and its text's hash; rows that repeat both lose the same lines, and may be many.
+    gone = gone.select(F.col("_id").isNull().alias("_k0"), F.coalesce("_id", F.lit(0)).alias("_k1"), F.col("_own").alias("_k2"), "removed", (F.col("n") / F.size("removed")).cast("long").alias("n"))
+    gone = S.written(gone, f"{uri}/gone")
+    S.drop(*[f"{uri}/{t}" for t in ("lines", "many", "spread", "near", "found", "hits", "first")])
+    own = F.col(f"`{id_col}`")
+    keyed = docs.withColumns({"_k0": own.isNull(), "_k1": F.coalesce(own, F.lit(0)), "_k2": F.xxhash64(F.col(f"`{text_col}`"))})
+    out = S.join_keys(keyed, gone, ["_k0", "_k1", "_k2"], "n", total, keep=True, few=0).withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
     def without(own):
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("removed")), lambda i: F.get(own, i)), "\n")

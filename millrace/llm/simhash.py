@@ -441,6 +441,7 @@ def components(edges: DataFrame, uri: str, a: str = "a", b: str = "b") -> DataFr
             to = point.select(F.col("node").alias(end), F.col("root").alias(f"to_{end}"))
             now = now.join(to, end, "left").withColumn(end, F.coalesce(f"to_{end}", end)).drop(f"to_{end}")
         now = S.written(now.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), f"{uri}/edges-{k}")
+        S.drop(f"{uri}/edges-{k - 1}", f"{uri}/point-{k}", *([f"{uri}/jump-{k}", f"{uri}/label-{k - 1}"] if k > 2 else []))
     if label is None:
         return spark.createDataFrame([], "node long, root long")
     return label
@@ -476,6 +477,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
     if exact:
         edges = similar_sets(distinct, edges, radius, uri, width)
     classes = components(edges, uri).select(F.col("node").alias("key"), "root")
+    # The tiles have been read and their links are in the classes.
+    S.drop(*[f"{uri}/{t}" for t in ("shingles", "tiles", "candidates", "sets", "confirmed")])
     rooted = distinct.select("key", "least", "n").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = S.written(rooted.join(least, "root").select("key", "component_id", "n"), f"{uri}/classes")
