@@ -413,3 +413,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = S.pick(S.table(spark, sf_dir, "pages"), "page_id", "url", "html")
     out = extract(pages).select("page_id", "url", F.col("main_text").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: The tables' pages have their main text in one article element of plain paragraphs: there its text can be had by replacing tags.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS inside FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(inside, '(?s)<!--.*?-->', '', 'g'), '</?(?:p|h1|br)>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS bare FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(bare, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""

@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_salvage": warc.ORACLE_SQL,
+        "op3_html_text": html_text.ORACLE_SQL,
         "op4_quality_repetition": quality.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op8_url_language_model": url_lm.ORACLE_SQL,
