@@ -118,11 +118,65 @@ def top_k(index: Index, df: DataFrame, cols: list[Column], id_col: str, k: int,
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", F.sqrt("d2").alias("distance"), "label", "rank")
 
 
+def _gaps(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    return np.sqrt(squared(q, x)) if metric == "euclidean" else np.abs(q[:, None, :] - x[None, :, :]).sum(axis=2)
+
+
+def counts_within(index: Index, df: DataFrame, cols: list[Column], id_col: str, radius: float, metric: str = "euclidean") -> DataFrame:
+    """query_id, n: the number of training rows within the radius; a number for each block leaves a task, no pairs."""
+
+    def count(qids, q, ids, x, y):
+        n = (_gaps(q, x, metric) <= radius).sum(axis=1)
+        return {"query_id": qids[n > 0], "n": n[n > 0]}
+
+    return index.search(df, cols, id_col, count, "query_id long, n long").groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def least_label_within(index: Index, df: DataFrame, cols: list[Column], id_col: str, radius: float, metric: str = "euclidean") -> DataFrame:
+    """query_id, label: the least label of the training rows within the radius, for queries that have any."""
+
+    def least(qids, q, ids, x, y):
+        low = np.where(_gaps(q, x, metric) <= radius, y[None, :], np.inf).min(axis=1)
+        return {"query_id": qids[np.isfinite(low)], "label": low[np.isfinite(low)]}
+
+    return index.search(df, cols, id_col, least, "query_id long, label double").groupBy("query_id").agg(F.min("label").alias("label"))
+
+
+def links_within(index: Index, df: DataFrame, cols: list[Column], id_col: str, radius: float, metric: str = "euclidean") -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs within the radius: a spanning forest for each two blocks."""
+
+    def forest(qids, q, ids, x, y):
+        nodes, place = np.unique(np.r_[qids, ids], return_inverse=True)
+        mine, theirs = place[: len(qids)], place[len(qids) :]
+        up, a, b = np.arange(len(nodes)), [], []
+
+        def top(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        near = _gaps(q, x, metric) <= radius
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            own = theirs[near[i]]
+            while (up[own] != up[up[own]]).any():  # all roots at once
+                up[own] = up[up[own]]
+            for j in own[np.unique(up[own], return_index=True)[1]].tolist():
+                r, s = top(mine[i]), top(j)
+                if r != s:
+                    up[max(r, s)] = min(r, s)
+                    a.append(mine[i])
+                    b.append(j)
+        return {"a": nodes[np.array(a, int)], "b": nodes[np.array(b, int)]}
+
+    return index.search(df, cols, id_col, forest, "a long, b long")
+
+
 def within(index: Index, df: DataFrame, cols: list[Column], id_col: str, radius: float, metric: str = "euclidean") -> DataFrame:
     """query_id, id, distance, label of all training rows within the radius."""
 
     def near(qids, q, ids, x, y):
-        d = np.sqrt(squared(q, x)) if metric == "euclidean" else np.abs(q[:, None, :] - x[None, :, :]).sum(axis=2)
+        d = _gaps(q, x, metric)
         a, b = np.nonzero(d <= radius)
         return {"query_id": qids[a], "id": ids[b], "distance": d[a, b], "label": y[b]}
 
