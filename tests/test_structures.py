@@ -323,3 +323,13 @@ def test_passes_over_rows_that_stay_in_spark(frame):
     m = kernels.MLPClassifier(hidden_layer_sizes=(8,), max_iter=40, learning_rate_init=0.02, random_state=1)
     m.max_rows = 100
     assert m.fit(df, names, "y").score(df, "y") > 0.85
+
+
+def test_dense_groups_make_no_pairs(frame):
+    x = np.r_[np.zeros((1500, 2)), np.ones((1500, 2)) * 9, [[0.4, 0.0], [50.0, 50.0]]]
+    df, f = frame(x)
+    cols = [F.col(c) for c in f]
+    index = pairwise.Index(df, cols, "id")
+    assert pairwise.links_within(index, df, cols, "id", 0.5).count() < 30_000  # of 4.5 million pairs
+    got = column(cluster.DBSCAN(eps=0.5).fit_predict(df, f), "cluster")
+    assert got == [0] * 1500 + [1] * 1500 + [0, -1]
