@@ -119,11 +119,11 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: in
     if row_count(keys) <= (BROADCAST_KEYS if few is None else few):
         return rows.join(F.broadcast(keys.drop(n)), on, "left" if keep else "inner")
     hot = keys.filter(F.col(n) >= max(HOT_ROWS, total // 100_000)).drop(n)
-    if not row_count(hot):
-        return rows.join(keys.drop(n), on, "left" if keep else "inner")
+    if not row_count(hot):  # by shuffle at every size, so that a small run shows what a large one does
+        return rows.join(keys.drop(n).hint("merge"), on, "left" if keep else "inner")
     cold = keys.filter(F.col(n) < max(HOT_ROWS, total // 100_000)).drop(n)
     split = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
-    others = split.filter("_hot IS NULL").select(*rows.columns).join(cold, on, "left" if keep else "inner")
+    others = split.filter("_hot IS NULL").select(*rows.columns).join(cold.hint("merge"), on, "left" if keep else "inner")
     return split.filter("_hot").drop("_hot").unionByName(others)
 
 
