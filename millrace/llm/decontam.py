@@ -1,10 +1,10 @@
 """Benchmark decontamination: hash set of normalised test n-grams, scanned over training windows.
 
 The benchmark's windows of 13 words (a shorter item is one window) are hashed to 64 bits, and
-the hashes packed into a table of bits that goes with the tasks: 16 bits a window, up to a
-bound of ``MOST_BITS``.  Documents' windows are looked up in it inside each row - first a hash
-of the window's first and last word, then of all its words - and hits are verified against the
-windows themselves by a join.  The table never decides: a fuller one only lets more windows
+the hashes packed into two tables of bits that go with the tasks: 16 bits a window, up to a
+bound of ``MOST_BITS``.  Documents' windows are looked up in them inside each row - first by the
+window's first and last word, then by all its words - and hits are verified against the
+windows themselves by a join.  The tables never decide: fuller ones only let more windows
 through to the join, so the way is the same whatever the benchmark's size.  No document is
 shuffled; only hits and counts are.
 
@@ -25,7 +25,7 @@ from millrace.llm import _shared as S
 N = 13
 #: Share of a document's words inside benchmark windows, as 1 / SHARE, from which it is contaminated.
 SHARE = 20
-#: The table has 16 bits a window or more, from 2 ** 10 up to 2 ** 24 bits (2 MB).
+#: A table has 16 bits a window or more, from 2 ** 10 up to 2 ** 24 bits (2 MB).
 LEAST_BITS, MOST_BITS = 10, 24
 #: The windows' texts go to every task up to this size; larger ones are joined by shuffle, a frequent window's hits by so many tasks.
 BROADCAST_BYTES, SALTS = 64_000_000, 32
@@ -38,22 +38,22 @@ def words(text):
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
 
 
-def _ends(h, i, n):
-    return F.xxhash64(F.get(h, i), F.get(h, i + (n - 1)))
-
-
 def _all(h, i, n):
     return F.xxhash64(*[F.get(h, i + j) for j in range(n)])
 
 
-def _bit(table, bits, h):
-    """Whether a hash's bit is set in the table (an array of longs of 64 bits each)."""
-    at = h.bitwiseAND(F.lit((1 << bits) - 1))
-    return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+def _bit(table, word, bit):
+    """Whether a bit is set in a table of 64-bit words."""
+    return F.getbit(F.get(table, word.cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+
 
+def _looked_up(n, ends, wholes, bits):
+    def hit(i):
+        whole = _all(F.col("h"), i, n)
+        # The first test needs no further hash: the first word's chooses a word of the table, the last word's a bit.
+        return _bit(ends, F.get("h", i).bitwiseAND(F.lit((1 << bits - 6) - 1)), F.get("h", i + (n - 1))) & _bit(wholes, F.shiftright(whole.bitwiseAND(F.lit((1 << bits) - 1)), 6), whole)
 
-def _looked_up(n, table, bits):
-    return lambda i: _bit(table, bits, _ends(F.col("h"), i, n)) & _bit(table, bits, _all(F.col("h"), i, n))
+    return hit
 
 
 def _cut_out(n):
@@ -61,7 +61,7 @@ def _cut_out(n):
 
 
 def windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """item_id (string), size, window (its words, space-joined), ends and whole (hashes)."""
+    """item_id (string), size, window (its words, space-joined), and hashes: of the first and the last word, and of all."""
     own = S.pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     own = own.withColumn("size", F.least(F.size("w"), F.lit(n)))
     each = own.select("item_id", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.slice("w", i, F.col("size")))).alias("w"))
@@ -70,36 +70,40 @@ def windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     whole = F.lit(None).cast("long")
     for k in range(n, 0, -1):
         whole = F.when(F.col("size") == k, _all(F.col("h"), F.lit(0), k)).otherwise(whole)
-    ends = F.xxhash64(F.get("h", F.lit(0)), F.element_at("h", -1))
-    return each.select("item_id", "size", "window", ends.alias("ends"), whole.alias("whole")).distinct()
+    return each.select("item_id", "size", "window", F.get("h", F.lit(0)).alias("first"), F.element_at("h", -1).alias("last"), whole.alias("whole")).distinct()
 
 
-def packed(found: DataFrame) -> tuple[list[int], int]:
-    """The table of the windows' hashes, as unsigned 64-bit words, and its number of bits as a power of two.
+def packed(found: DataFrame) -> tuple[list[int], list[int], int]:
+    """The tables of the windows' ends and of their hashes, as signed 64-bit words, and a table's number of bits as a power of two.
 
-    At most 2 ** (MOST_BITS - 6) rows of two numbers reach the driver.
+    At most 2 ** (MOST_BITS - 6) rows of two numbers a table reach the driver.
     """
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * S.row_count(found)).bit_length()))
-    each = found.select(F.explode(F.array("ends", "whole")).alias("h")).select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
-    words = each.groupBy(F.shiftright("at", 6).cast("int").alias("word"))
-    rows = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).collect()
-    table = [0] * (1 << (bits - 6))
-    for r in rows:
-        table[r["word"]] = r["v"]
-    return table, bits
+    places = {
+        "ends": (F.col("first").bitwiseAND(F.lit((1 << bits - 6) - 1)), F.col("last")),
+        "wholes": (F.shiftright(F.col("whole").bitwiseAND(F.lit((1 << bits) - 1)), 6), F.col("whole")),
+    }
+    tables = []
+    for word, bit in places.values():
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+        table = [0] * (1 << (bits - 6))
+        for r in found.groupBy(word.cast("int").alias("word")).agg(F.bit_or(one).alias("v")).collect():
+            table[r["word"]] = r["v"]
+        tables.append(table)
+    return *tables, bits
 
 
 def candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (row, doc_id, w) with n_words and ``c``, the places and texts of the windows that the table lets through, for w."""
     sizes = sorted(r["size"] for r in found.select("size").distinct().collect())  # at most n numbers
-    table, bits = packed(found)
-    # One literal, folded by the optimiser; not a Python call for each number.
-    table = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    *tables, bits = packed(found)
+    # One literal a table, folded by the optimiser; not a Python call for each number.
+    ends, wholes = (F.split(F.lit(",".join(map(str, t))), ",").cast("array<bigint>") for t in tables)
     hashed = docs.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     lists = []
     for k in sizes:
         starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
-        lists.append(F.transform(F.filter(starts, _looked_up(k, table, bits)), _cut_out(k)))
+        lists.append(F.transform(F.filter(starts, _looked_up(k, ends, wholes, bits)), _cut_out(k)))
     hits = F.concat(*lists) if lists else F.array().cast("array<struct<at:int,size:int,window:string>>")
     return hashed.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), hits.alias("c"))
 
