@@ -96,7 +96,7 @@ def written(df: DataFrame, uri: str) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's estimate of a table's size from its files' sizes, without reading it; at most 10 TB."""
-    return min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()), 10_000_000_000_000)
+    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 10_000_000_000_000)
 
 
 def row_count(df: DataFrame) -> int:
