@@ -46,6 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _remove(uri: str) -> None:
+    """Deletes a folder by Spark's own file system where a session runs, since every scheme is known to that."""
+    with contextlib.suppress(Exception):
+        spark = SparkSession.getActiveSession()
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return
     with contextlib.suppress(Exception):
         fs, path = open_fs(uri)
         fs.delete_dir(path)
