@@ -434,3 +434,17 @@ def test_nearest_of_copies_and_far_rows(frame, scale):
             cols = [F.col(c) for c in f]
             got = pairwise.top_k(pairwise.Index(df, cols, "id", held=held), df, cols, "id", 4, without).orderBy("query_id", "rank").collect()
             assert np.array([r["id"] for r in got]).reshape(-1, 4).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("model", [manifold.SpectralEmbedding(n_neighbors=6), manifold.LocallyLinearEmbedding(n_neighbors=6)], ids=lambda m: type(m).__name__)
+def test_graph_embeddings_without_a_bound_of_rows(frame, model):
+    # In one part it is the embedding from all distances; of several parts each has a place of its own.
+    x = np.random.default_rng(15).normal(size=(80, 2))
+    df, f = frame(x)
+    far = model.clone()
+    far.max_rows = 20
+    a, b = (m.fit(df, f).embedding_ for m in (model, far))
+    assert np.allclose(a, b, atol=1e-6)
+    far.fit(*frame(np.r_[x, x + 50, x - 50, x + 90]))
+    places = np.round(far.embedding_, 9)
+    assert [len(np.unique(places[i * 80 : (i + 1) * 80], axis=0)) for i in range(4)] == [1] * 4 and len(np.unique(places, axis=0)) == 4
