@@ -448,3 +448,16 @@ def test_graph_embeddings_without_a_bound_of_rows(frame, model):
     far.fit(*frame(np.r_[x, x + 50, x - 50, x + 90]))
     places = np.round(far.embedding_, 9)
     assert [len(np.unique(places[i * 80 : (i + 1) * 80], axis=0)) for i in range(4)] == [1] * 4 and len(np.unique(places, axis=0)) == 4
+
+
+def far_and_near(frame, model):
+    x = np.random.default_rng(16).normal(size=(80, 3))
+    df, f = frame(x)
+    far = model.clone()
+    far.max_rows = 20
+    return model.fit(df, f), far.fit(df, f)
+
+
+def test_scaling_without_a_bound_of_rows(frame):
+    near, far = far_and_near(frame, manifold.MDS(n_init=2, max_iter=50, random_state=1))
+    assert np.allclose(near.embedding_, far.embedding_, atol=1e-8) and np.isclose(near.stress_, far.stress_)
