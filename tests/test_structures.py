@@ -461,3 +461,8 @@ def far_and_near(frame, model):
 def test_scaling_without_a_bound_of_rows(frame):
     near, far = far_and_near(frame, manifold.MDS(n_init=2, max_iter=50, random_state=1))
     assert np.allclose(near.embedding_, far.embedding_, atol=1e-8) and np.isclose(near.stress_, far.stress_)
+
+
+def test_umap_without_a_bound_of_rows(frame):
+    near, far = far_and_near(frame, manifold.UMAP(n_neighbors=6, n_epochs=5, random_state=1))
+    assert np.allclose(near.embedding_, far.embedding_, atol=1e-5)
