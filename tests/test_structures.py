@@ -466,3 +466,8 @@ def test_scaling_without_a_bound_of_rows(frame):
 def test_umap_without_a_bound_of_rows(frame):
     near, far = far_and_near(frame, manifold.UMAP(n_neighbors=6, n_epochs=5, random_state=1))
     assert np.allclose(near.embedding_, far.embedding_, atol=1e-5)
+
+
+def test_tsne_without_a_bound_of_rows(frame):
+    near, far = far_and_near(frame, manifold.TSNE(perplexity=8.0, n_iter=20, learning_rate=20.0, random_state=1))
+    assert np.allclose(near.embedding_, far.embedding_, rtol=1e-3, atol=1e-3 * np.abs(near.embedding_).max()) and np.isclose(near.kl_divergence_, far.kl_divergence_, rtol=1e-3)
