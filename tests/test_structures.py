@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from millrace.functions import pairwise
+from millrace.functions import pairwise, paths
 from millrace.operators import cluster, covariance, kernels, linear, manifold, neighbors, preprocessing, selection, trees
 from millrace.sources import tables
 from millrace.streaming import incremental
@@ -471,3 +471,36 @@ def test_umap_without_a_bound_of_rows(frame):
 def test_tsne_without_a_bound_of_rows(frame):
     near, far = far_and_near(frame, manifold.TSNE(perplexity=8.0, n_iter=20, learning_rate=20.0, random_state=1))
     assert np.allclose(near.embedding_, far.embedding_, rtol=1e-3, atol=1e-3 * np.abs(near.embedding_).max()) and np.isclose(near.kl_divergence_, far.kl_divergence_, rtol=1e-3)
+
+
+@pytest.mark.parametrize("most", [0, 3, 48])
+def test_paths_with_and_without_a_core(most):
+    # Nodes of at most so many links are taken out; two parts have no path to each other.
+    r = np.random.default_rng(20)
+    a, b = r.integers(0, 30, 70), r.integers(0, 30, 70)
+    a, b = np.r_[a[a != b], a[a != b] + 30], np.r_[b[a != b], b[a != b] + 30]
+    w = r.uniform(0.1, 1, len(a))
+    want = np.where(np.eye(60) > 0, 0, np.inf)
+    np.minimum.at(want, (np.r_[a, b], np.r_[b, a]), np.r_[w, w])
+    for k in range(60):
+        want = np.minimum(want, want[:, k : k + 1] + want[k])
+    p = paths.Paths(60, a, b, w, most)
+    got = np.concatenate([p.lengths(i, min(i + 7, 60)).T.copy() for i in range(0, 60, 7)])
+    assert np.allclose(got, want[np.ix_(p.node, p.node)]) and np.isinf(got).any()
+
+
+def test_isomap_without_a_bound_of_rows(frame):
+    near, far = far_and_near(frame, manifold.Isomap(n_neighbors=6))
+    assert np.allclose(near.embedding_, far.embedding_, atol=1e-8)
+    assert np.allclose(near.embedding_, manifold.classical(near.dist_matrix_, 2))
+
+
+def test_isomap_of_a_line_in_parts(frame):
+    # Groups of copies and wide gaps leave the neighbours' graph in parts; on a line paths are distances all the same.
+    r = np.random.default_rng(21)
+    x = np.r_[r.uniform(0, 1, 30), r.uniform(5, 6, 30), np.repeat([9.0, 9.5, 14.0], 10)]
+    for most in (2_000, 20):
+        m = manifold.Isomap(n_components=1, n_neighbors=4)
+        m.max_rows = most
+        e = m.fit(*frame(x[:, None])).embedding_[:, 0]
+        assert np.allclose(e, x - x.mean(), atol=1e-9)
