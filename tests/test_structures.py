@@ -463,6 +463,26 @@ def test_scaling_without_a_bound_of_rows(frame):
     assert np.allclose(near.embedding_, far.embedding_, atol=1e-8) and np.isclose(near.stress_, far.stress_)
 
 
+def test_scaling_by_tiles():
+    x = np.random.default_rng(22).normal(size=(83, 4))
+    near, far = (manifold.MDS(n_init=1, max_iter=30, random_state=1) for _ in range(2))
+    assert np.allclose(near._embed(x), far._embed_far(x, 16), atol=1e-8) and np.isclose(near.stress_, far.stress_) and near.n_iter_ == far.n_iter_
+
+
+@pytest.mark.parametrize("most", [2_000, 20])
+def test_scaling_keeps_distances_that_fit(frame, most):
+    # Four features on a plane, of which copies and a far group are part: two components hold every distance.
+    r = np.random.default_rng(23)
+    z = r.normal(size=(60, 2)) + np.arange(60)[:, None] % 2 * [20, 0]
+    x = np.r_[z, z[:9]] @ r.normal(size=(2, 4))
+    m = manifold.MDS(n_init=1, max_iter=5, random_state=1)
+    m.max_rows = most
+    m.fit(*frame(x))
+    assert np.allclose(manifold.distances(m.embedding_), manifold.distances(x), atol=1e-6) and m.stress_ == 0
+    one = manifold.MDS(n_components=3, n_init=1).fit(*frame(x[:, :1] * [1, 0]))
+    assert np.allclose(manifold.distances(one.embedding_), manifold.distances(x[:, :1]), atol=1e-6)
+
+
 def test_umap_without_a_bound_of_rows(frame):
     near, far = far_and_near(frame, manifold.UMAP(n_neighbors=6, n_epochs=5, random_state=1))
     assert np.allclose(near.embedding_, far.embedding_, atol=1e-5)
