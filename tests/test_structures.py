@@ -1,5 +1,7 @@
 """Neighbours, clusters, trees, kernels, embeddings, streams and saved models."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from millrace.functions import pairwise, paths
@@ -493,6 +495,67 @@ def test_tsne_without_a_bound_of_rows(frame):
     assert np.allclose(near.embedding_, far.embedding_, rtol=1e-3, atol=1e-3 * np.abs(near.embedding_).max()) and np.isclose(near.kl_divergence_, far.kl_divergence_, rtol=1e-3)
 
 
+def test_tsne_far_makes_no_pairs(frame, monkeypatch):
+    # A grid takes the place of all pairs of rows, and near rows come from boxes.
+    def no_pairs(*_):
+        raise AssertionError("all pairs of rows")
+
+    r = np.random.default_rng(24)
+    x = np.r_[r.normal(size=(900, 2)), r.normal(size=(900, 2)) + [20, 0]]
+    for name in ("in_blocks", "distances"):
+        monkeypatch.setattr(manifold, name, no_pairs)
+    m = manifold.TSNE(perplexity=8.0, n_iter=300, learning_rate=50.0, random_state=1)
+    m.max_rows = 20
+    e = m.fit(*frame(x)).embedding_
+    d = manifold.gaps2(e, e)
+    np.fill_diagonal(d, np.inf)
+    assert ((d.argmin(axis=1) < 900) == (np.arange(1800) < 900)).all()
+
+
+@pytest.mark.parametrize("wide, k", [(1e-4, 1), (1e-4, 2), (1, 1), (5, 2), (30, 1), (30, 2)])
+def test_repulsion_by_a_grid(wide, k):
+    e = np.random.default_rng(25).normal(0, wide, (900, k))
+    with ThreadPoolExecutor(2) as pool:
+        grid = manifold.Repulsion(pool)
+        (z, *ways), (want, *right) = grid(e), manifold.repulsion(e)
+        assert grid.fits(e) == (wide < 1 or k == 1)
+    assert np.isclose(z, want, rtol=5e-4)
+    assert all(np.abs(a - b).max() < 5e-4 * np.abs(b).max() for a, b in zip(ways, right))
+
+
+def test_links_from_near_rows():
+    # Copies have more equals than the perplexity; a row far off needs more near rows than others.
+    r = np.random.default_rng(26)
+    x = np.r_[r.normal(size=(900, 2)), np.repeat(r.normal(size=(4, 2)), 30, axis=0), [[1e3, 0]]]
+    m, n = manifold.TSNE(perplexity=8.0), len(x)
+    d = manifold.gaps2(x, x)
+    np.fill_diagonal(d, np.inf)
+    i, j, v = m._links(x, 1e-9)
+    got = np.zeros((n, n))
+    got[i, j] = v
+    assert np.allclose(got.sum(axis=1), 1, atol=1e-6) and len(np.unique(i * n + j)) == len(i)
+    h = -(got * np.log(np.maximum(got, 1e-300))).sum(axis=1)
+    own = (np.arange(n) < 900) & (d.argmin(axis=1) < 900)  # a nearest copy brings 29 more
+    assert np.allclose(h[own], np.log(8), atol=2e-5) and np.allclose(got[900:930, 900:930], (1 - np.eye(30)) / 29)
+    for a in (0, 500, 899, n - 1):
+        # Logarithms of the shares are a line of the squared distances with the same slope, and those left out are small.
+        at = got[a] > 0
+        slope, most = np.polyfit(d[a, at], np.log(got[a, at]), 1)
+        rest = ~at & (np.arange(n) != a)
+        assert np.allclose(slope * d[a, at] + most, np.log(got[a, at]), atol=1e-6) and (np.exp(slope * d[a, rest] + most) < 2e-9).all()
+
+
+def test_near_rows_by_boxes():
+    x = np.random.default_rng(27).integers(0, 40, (1500, 2)).astype(float)
+    d = manifold.gaps2(x, x)
+    np.fill_diagonal(d, np.inf)
+    boxes = manifold.Boxes(x, 100)
+    assert np.array_equal(np.sort(np.concatenate(boxes.rows)), np.arange(1500))
+    for rows in boxes.rows:
+        at, own = boxes.nearest(rows, 12)
+        assert np.array_equal(np.sort(own, axis=1), np.sort(d[rows], axis=1)[:, :12]) and np.array_equal(d[rows[:, None], at], own)
+
+
 @pytest.mark.parametrize("most", [0, 3, 48])
 def test_paths_with_and_without_a_core(most):
     # Nodes of at most so many links are taken out; two parts have no path to each other.
