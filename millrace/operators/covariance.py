@@ -137,9 +137,14 @@ class IsolationForest(Estimator):
 
     A row's draws are hashes of the tree's number and its id (without an id column its place), so equal rows are drawn
     one by one.  A tree takes the ``max_samples`` smallest.
+
+    A row outside a node's sampled range meets the cut as if it had been drawn (``as_sampled``): a cut of the range that
+    reaches to the row takes it off with the chance gap / (gap + range), and its path is the mean over both outcomes.
+    Without this (as in the reference) it goes on with the nearest rows, so that one between two sampled groups counts
+    as a near one unless a cut happens to fall into the gap.  Rows inside the ranges have the same path in both.
     """
 
-    defaults = {"n_estimators": 100, "max_samples": 256, "contamination": 0.1, "max_depth": -1, "random_state": 42}
+    defaults = {"n_estimators": 100, "max_samples": 256, "contamination": 0.1, "max_depth": -1, "random_state": 42, "as_sampled": True}
 
     def fit(self, df, features, id_col: str | None = None):
         cols = self._start(df, features)
@@ -166,39 +171,42 @@ class IsolationForest(Estimator):
 
             def add(at, d):
                 k = len(nodes)
-                nodes.append([-1, 0.0, 0, 0, d + _harmonic_path(len(at))])
+                nodes.append([-1, 0.0, 0, 0, d + _harmonic_path(len(at)), -math.inf, math.inf])
                 spread = np.flatnonzero(rows[at].min(axis=0) < rows[at].max(axis=0)) if len(at) > 1 else []
                 if d < depth and len(spread):
                     f = int(rng.choice(spread))
-                    t = float(rng.uniform(rows[at, f].min(), rows[at, f].max()))
+                    a, b = float(rows[at, f].min()), float(rows[at, f].max())
+                    t = float(rng.uniform(a, b))
                     low = rows[at, f] < t
-                    nodes[k] = [f, t, add(at[low], d + 1), add(at[~low], d + 1), 0.0]
+                    nodes[k] = [f, t, add(at[low], d + 1), add(at[~low], d + 1), 0.0, a, b]
                 return k
 
             add(np.arange(len(rows)), 0)
-            f, t, left, right, path = zip(*nodes)
-            return pd.DataFrame({"tree": [int(pdf["tree"].iloc[0])], "f": [list(f)], "t": [list(t)], "l": [list(left)], "r": [list(right)], "p": [list(path)]})
+            return pd.DataFrame({"tree": [int(pdf["tree"].iloc[0])]} | {k: [list(v)] for k, v in zip("ftlrpab", zip(*nodes))})
 
-        grown = picked.groupBy("tree").applyInPandas(grow, "tree int, f array<int>, t array<double>, l array<int>, r array<int>, p array<double>").collect()
-        self.trees_ = [tuple(np.array(g[k]) for k in "ftlrp") for g in sorted(grown, key=lambda g: g["tree"])]
+        grown = picked.groupBy("tree").applyInPandas(grow, "tree int, f array<int>, t array<double>, l array<int>, r array<int>, p array<double>, a array<double>, b array<double>").collect()
+        self.trees_ = [tuple(np.array(g[k]) for k in "ftlrpab") for g in sorted(grown, key=lambda g: g["tree"])]
         self.fitted = True
         self.offset_ = floor_quantile(self.score_samples(df), "score", self.contamination)
         return self
 
     def score_samples(self, df, features=None, out="score"):
-        trees, norm = self.trees_, _harmonic_path(self.max_samples)
+        trees, norm, as_sampled = self.trees_, _harmonic_path(self.max_samples), self.as_sampled
 
         def score(x):
-            total = np.zeros(len(x))
-            for f, t, left, right, path in trees:
-                at = np.zeros(len(x), int)
-                for _ in range(64):
-                    inner = f[at] >= 0
-                    if not inner.any():
-                        break
-                    go = x[np.arange(len(x)), np.maximum(f[at], 0)] < t[at]
-                    at = np.where(inner, np.where(go, left[at], right[at]), at)
-                total += path[at]
+            total, every = np.zeros(len(x)), np.arange(len(x))
+            for f, t, left, right, path, a, b in trees:
+                at, d, rest = np.zeros(len(x), int), 0, np.ones(len(x))
+                span = np.where(f >= 0, b - a, 1.0)  # a leaf's range has no bounds: nothing is cut off there
+                while (inner := f[at] >= 0).any():
+                    v, d = x[every, np.maximum(f[at], 0)], d + 1
+                    if as_sampled:
+                        gap = np.fmax(np.fmax(a[at] - v, v - b[at]), 0.0)
+                        stays = rest * (span[at] / (span[at] + gap))
+                        total += (rest - stays) * d
+                        rest = stays
+                    at = np.where(inner, np.where(v < t[at], left[at], right[at]), at)
+                total += rest * path[at]
             return -(2.0 ** (-total / len(trees) / norm))
 
         return df.withColumn(out, row_function(score, self._ready(df, features)))

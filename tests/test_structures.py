@@ -205,6 +205,35 @@ def test_equal_rows_are_drawn_one_by_one(frame):
     assert 4 <= sum(s == 5 for s in starts) <= 16
 
 
+def test_isolation_forest_takes_off_rows_in_a_gap(frame):
+    # The far rows lie beyond a million: hardly a cut falls between the near rows and new ones at 100 and 1,000.
+    x = np.r_[np.random.default_rng(3).uniform(size=950), np.arange(1, 51) * 1e6]
+    df, names = frame(x[:, None])
+    new, _ = frame(np.array([[100.0], [1000.0], [x[:950].max()], [x[:950].min()], [-50.0], [0.5], [3.5e6], [1e9]]))
+    setting = {"n_estimators": 50, "max_samples": 64, "contamination": 0.05}
+    m = covariance.IsolationForest(**setting).fit(df, names, "id")
+    assert sorted(r["id"] for r in m.predict(df).filter("prediction = -1").collect()) == list(range(950, 1000))
+    assert column(m.predict(new), "prediction") == [-1, -1, 1, 1, -1, 1, -1, -1]
+    plain = covariance.IsolationForest(as_sampled=False, **setting).fit(df, names, "id")
+    walked = column(plain.score_samples(new), "score")
+    assert walked[0] == walked[1] == walked[2]
+
+    def path(tree, v, as_sampled, k=0, d=1):
+        f, t, left, right, p, a, b = (y[k] for y in tree)
+        gap = max(a - v, v - b, 0.0) if as_sampled and f >= 0 else 0.0
+        return p if f < 0 else (gap * d + (b - a) * path(tree, v, as_sampled, left if v < t else right, d + 1)) / (gap + b - a)
+
+    for forest in (m, plain):
+        want = [-(2.0 ** (-np.mean([path(t, r["x0"], forest.as_sampled) for t in forest.trees_]) / covariance._harmonic_path(64))) for r in new.orderBy("id").collect()]
+        assert np.allclose(column(forest.score_samples(new), "score"), want, rtol=1e-12)
+
+
+def test_rows_inside_the_ranges_keep_their_scores(frame):
+    df, names = frame(X)  # every row is in every sample
+    near, plain = (covariance.IsolationForest(n_estimators=5, max_samples=len(X), as_sampled=way).fit(df, names, "id").score_samples(df) for way in (True, False))
+    assert near.exceptAll(plain).count() == 0
+
+
 def test_categories_of_histogram_boosting(spark, frame):
     r = np.random.default_rng(1)
     c = r.integers(0, 30, 900) * 7.0
